@@ -1,0 +1,2 @@
+"""Nothing is built here: the work to match is batch only (no watermark,
+streaming window or incremental state), so there is no streaming operator."""
