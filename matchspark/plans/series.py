@@ -150,7 +150,8 @@ def league_expanding(spark, sf_dir):
     f"""WITH {PARTICIPANTS_CTE}
     SELECT match_id, team, is_home, row_number() OVER w - 1 AS european_matches,
            CAST(sum(goals_for) OVER e AS BIGINT) AS total_goals_for,
-           CAST(sum(goals_against) OVER e AS BIGINT) AS total_goals_against
+           CAST(sum(goals_against) OVER e AS BIGINT) AS total_goals_against,
+           max(goals_for - goals_against) OVER e AS best_goal_diff
     FROM participants {SERIES_WINDOW},
          e AS (PARTITION BY team ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
@@ -159,6 +160,7 @@ def expanding_totals(spark, sf_dir):
         "european_matches": sequences.rows_before(),
         "total_goals_for": sequences.sum_of(F.col("goals_for")),
         "total_goals_against": sequences.sum_of(F.col("goals_against")),
+        "best_goal_diff": sequences.max_of(F.col("goals_for") - F.col("goals_against")),
     }
     ran = sequences.running(participants(spark, sf_dir), ["team"], SERIES_ORDER, F.col("match_date"), measures)
     return ran.select("match_id", "team", "is_home", *measures)
