@@ -7,7 +7,7 @@ generation; a line given as a column folds over a short ``sequence``.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,44 +86,47 @@ def with_outcomes(
 ) -> DataFrame:
     """Result, totals and both-score probabilities from a scoreline grid of ``size`` goals a side.
 
-    The grid is never built as rows: each side keeps an array of its point and
-    cumulative masses. ``rho`` applies the low-score correlation, which changes
+    The grid is never built as rows: each side keeps its point and cumulative
+    masses as columns. ``rho`` applies the low-score correlation, which changes
     four cells only. ``normalise`` divides by the grid's mass; ``complement``
     takes under as one minus over instead of the grid sum.
     """
-    masses = {
-        "__h": F.array(*[pmf(k, F.greatest(F.col(home), F.lit(0.01))) for k in range(size)]),
-        "__a": F.array(*[pmf(k, F.greatest(F.col(away), F.lit(0.01))) for k in range(size)]),
-    }
-    sums = {
-        f"{name}c": F.array(*[_sum([F.col(name)[i] for i in range(k + 1)]) for k in range(size)])
-        for name in ("__h", "__a")
-    }
-    grid = df.withColumns(masses).withColumns(sums)
-    h, a = F.col("__h"), F.col("__a")
-    hc, ac = F.col("__hc"), F.col("__ac")
-    shift = {cell: F.lit(0.0) for cell in ((0, 0), (0, 1), (1, 0), (1, 1))}
+    floor = F.lit(0.01)
+    points, sums = {}, {}
+    for side, rate in (("h", home), ("a", away)):
+        for k in range(size):
+            points[f"__{side}{k}"] = pmf(k, F.greatest(F.col(rate), floor))
+            sums[f"__{side}c{k}"] = _sum([F.col(f"__{side}{i}") for i in range(k + 1)])
+    grid = df.withColumns(points).withColumns(sums)
+    h, a = [F.col(f"__h{k}") for k in range(size)], [F.col(f"__a{k}") for k in range(size)]
+    hc, ac = [F.col(f"__hc{k}") for k in range(size)], [F.col(f"__ac{k}") for k in range(size)]
+    s = {}
     if rho is not None:
         r = F.lit(rho) if isinstance(rho, (int, float)) else rho
-        factors = low_score_factors(F.col(home), F.col(away), r)
-        shift = {(i, j): F.greatest(F.lit(0.0), f * h[i] * a[j]) - h[i] * a[j] for (i, j), f in factors.items()}
-    cells = {f"__s{i}{j}": v for (i, j), v in shift.items()}
-    grid = grid.withColumns(cells)
-    s = {(i, j): F.col(f"__s{i}{j}") for i, j in shift}
+        cells = {
+            f"__s{i}{j}": F.greatest(F.lit(0.0), f * h[i] * a[j]) - h[i] * a[j]
+            for (i, j), f in low_score_factors(F.col(home), F.col(away), r).items()
+        }
+        grid = grid.withColumns(cells)
+        s = {(int(n[3]), int(n[4])): F.col(n) for n in cells}
+
+    def corrected(terms: list[Column], touched: Callable[[int, int], bool]) -> Column:
+        return _sum(terms + [v for (i, j), v in s.items() if touched(i, j)])
+
     raw = {
-        "__mass": hc[size - 1] * ac[size - 1] + _sum(list(s.values())),
-        "__home_win": _sum([h[i] * ac[i - 1] for i in range(1, size)]) + s[1, 0],
-        "__draw": _sum([h[i] * a[i] for i in range(size)]) + s[0, 0] + s[1, 1],
-        "__away_win": _sum([a[i] * hc[i - 1] for i in range(1, size)]) + s[0, 1],
-        "__btts": (hc[size - 1] - h[0]) * (ac[size - 1] - a[0]) + s[1, 1],
+        "__mass": corrected([hc[-1] * ac[-1]], lambda i, j: True),
+        "__home_win": corrected([h[i] * ac[i - 1] for i in range(1, size)], lambda i, j: i > j),
+        "__draw": corrected([h[i] * a[i] for i in range(size)], lambda i, j: i == j),
+        "__away_win": corrected([a[i] * hc[i - 1] for i in range(1, size)], lambda i, j: i < j),
+        "__btts": corrected([(hc[-1] - h[0]) * (ac[-1] - a[0])], lambda i, j: i and j),
     }
     for line in lines:
         t = math.floor(line)
         terms = [h[i] * ac[min(t - i, size - 1)] for i in range(min(t, size - 1) + 1)]
-        raw[f"__under_{_tag(line)}"] = _sum(terms + [v for (i, j), v in s.items() if i + j <= t])
+        raw[f"__under_{_tag(line)}"] = corrected(terms, lambda i, j, t=t: i + j <= t)
     grid = grid.withColumns(raw)
-    unit = F.col("__mass") if normalise else F.lit(1.0)
     mass = F.col("__mass")
+    unit = mass if normalise else F.lit(1.0)
     out = {k: F.col(f"__{k}") / unit for k in ("home_win", "draw", "away_win")}
     out["both_score"] = F.col("__btts") / unit
     for line in lines:

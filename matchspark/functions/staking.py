@@ -73,29 +73,37 @@ def pick_signals(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     Over is kept on equal value.
     """
     on_target = F.abs(F.col("line") - rules.target_line) < 1e-6
-    model_under = single_rate_under(F.col("line"), F.col("pred_total_goals"))
-    model = {"over": 1.0 - model_under, "under": model_under}
+    priced = df.withColumn("__under", single_rate_under(F.col("line"), F.col("pred_total_goals")))
+    model = {"over": 1.0 - F.col("__under"), "under": F.col("__under")}
     columns = {}
     for side in ("over", "under"):
         calibrated = F.when(on_target, F.col(f"cal_{side}_prob"))
         chosen = clip(F.coalesce(calibrated, model[side]), 1e-4, 1 - 1e-4)
         columns[f"{side}_prob"] = F.when(F.col(f"{side}_odds").isNotNull(), chosen)
-    priced = df.withColumns(columns)
+    priced = priced.withColumns(columns)
     options = []
     for rank, side in enumerate(("Over", "Under")):
         p, odds = F.col(f"{side.lower()}_prob"), F.col(f"{side.lower()}_odds")
-        option = F.struct(
-            expected_value(p, odds).alias("edge"),
-            F.lit(-rank).alias("rank"),
-            F.lit(side).alias("selection"),
-            p.alias("probability"),
-            odds.alias("odds"),
+        options.append(
+            F.struct(
+                expected_value(p, odds).alias("edge"),
+                F.lit(-rank).alias("rank"),
+                F.lit(side).alias("selection"),
+                p.alias("probability"),
+                odds.alias("odds"),
+            )
         )
-        options.append(F.when(p.between(rules.min_probability, rules.max_probability), option))
-    best = priced.withColumn("__best", F.greatest(*options)).filter(F.col("__best.edge") >= rules.min_edge)
+    allowed = F.filter(
+        F.array(*options),
+        lambda o: o["probability"].between(rules.min_probability, rules.max_probability)
+        & (o["edge"] >= rules.min_edge),
+    )
+    # a generator of at most one row: a filter here would be pushed below and price every option again
+    best = F.inline(F.array_compact(F.array(F.array_max(allowed))))
     fraction = kelly_stake(kelly(F.col("probability"), F.col("odds")), rules.kelly_share, rules.max_fraction)
     return (
-        best.select(*priced.columns, *[F.col(f"__best.{n}") for n in ("selection", "probability", "odds", "edge")])
+        priced.select(*df.columns, *columns, best)
+        .drop("rank")
         .withColumn("stake_fraction", fraction)
         .withColumn("stake", F.col("stake_fraction") * rules.bankroll)
     )

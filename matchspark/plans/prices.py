@@ -205,24 +205,20 @@ def dc_outcomes(spark, sf_dir):
     return round6(out, "home_exp", "away_exp", *OUTCOMES)
 
 
-def _model_probabilities(df: DataFrame, line) -> DataFrame:
-    """Each model's over probability on a line and their blend."""
-    names = {"poisson": "pred", "gb": "gb", "dc": "dc"}
-    over = {
-        f"{label}_over": poisson.two_rate_over(line, F.col(f"{k}_home"), F.col(f"{k}_away"))
-        for label, k in names.items()
-    }
-    under = {
-        f"{label}_under": poisson.two_rate_under(line, F.col(f"{k}_home"), F.col(f"{k}_away"))
-        for label, k in names.items()
-    }
-    df = df.withColumns({**over, **under})
+def _model_probabilities(df: DataFrame, line: float, tag: str = "") -> DataFrame:
+    """Each model's over and under probability on a line and their blend."""
+    prefixes = {"poisson": "pred", "gb": "gb", "dc": "dc"}
+    models = {}
+    for label, p in prefixes.items():
+        home, away = F.col(f"{p}_home"), F.col(f"{p}_away")
+        models[f"{label}_over{tag}"] = poisson.two_rate_over(line, home, away)
+        models[f"{label}_under{tag}"] = poisson.two_rate_under(line, home, away)
     blends = {
-        side: poisson.ensemble(*[F.col(f"{label}_{side}") for label in ("poisson", "gb", "dc")])
+        f"{side}{tag}": poisson.ensemble(*[F.col(f"{label}_{side}{tag}") for label in prefixes])
         for side in ("over", "under")
     }
-    label = poisson.ensemble_label(F.col("gb_over"), F.col("dc_over"))
-    return df.withColumns({**blends, "model_used": label})
+    label = poisson.ensemble_label(F.col("gb_home"), F.col("dc_home"))
+    return df.withColumns(models).withColumns({**blends, "model_used": label})
 
 
 def _sql_cut(k: str, home: str, away: str) -> str:
@@ -284,27 +280,26 @@ def ensemble(spark, sf_dir):
 
 def all_bets(spark, sf_dir) -> DataFrame:
     """Every match, line and side with a price: blended probability, edges and stake."""
-    models = ["pred_home", "pred_away", "gb_home", "gb_away", "dc_home", "dc_away"]
-    keep = ["match_id", "match_date", "league_code", "home_team", "away_team", *models]
-    lines = {line: (f"over_{t}", f"under_{t}") for line, t in ((1.5, "1_5"), (2.5, "2_5"), (3.5, "3_5"))}
-    rows = None
-    for line, columns in lines.items():  # one line at a time keeps its probabilities plain arithmetic
-        one = _model_probabilities(reshape.price_rows(priced(spark, sf_dir), {line: columns}, keep), line)
-        rows = one if rows is None else rows.unionByName(one)
-    options = {
-        side: {
-            "probability": F.col(side.lower()),
-            "odds": F.col(f"{side.lower()}_odds"),
-            "poisson_prob": F.col(f"poisson_{side.lower()}"),
-            "dc_prob": F.col(f"dc_{side.lower()}"),
-        }
-        for side in ("Over", "Under")
-    }
-    bets = reshape.side_rows(
-        ["match_id", "match_date", "league_code", "home_team", "away_team", "line", "model_used",
-         (F.col("pred_home") + F.col("pred_away")).alias("model_total")],
-        options,
-        rows,
+    df = priced(spark, sf_dir)
+    options = []
+    for line in PRICE_LINES:
+        tag = "_" + str(line).replace(".", "_")
+        df = _model_probabilities(df, line, f"_at{tag}")
+        both = F.col(f"over{tag}").isNotNull() & F.col(f"under{tag}").isNotNull()
+        for side in ("over", "under"):
+            option = F.struct(
+                F.lit(line).alias("line"),
+                F.lit(side.capitalize()).alias("selection"),
+                F.col(f"{side}_at{tag}").alias("probability"),
+                F.col(f"{side}{tag}").alias("odds"),
+                F.col(f"poisson_{side}_at{tag}").alias("poisson_prob"),
+                F.col(f"dc_{side}_at{tag}").alias("dc_prob"),
+            )
+            options.append(F.when(both, option))
+    bets = df.select(
+        "match_id", "match_date", "league_code", "home_team", "away_team", "model_used",
+        (F.col("pred_home") + F.col("pred_away")).alias("model_total"),
+        F.inline(F.array_compact(F.array(*options))),
     )
     edge = staking.probability_edge(F.col("probability"), F.col("odds"))
     return (
