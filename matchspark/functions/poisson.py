@@ -27,12 +27,14 @@ def pmf(k: int | Column, rate: Column) -> Column:
 
 
 def cdf(k: int | Column, rate: Column) -> Column:
-    """P(count <= k); zero below zero."""
+    """P(count <= k); zero below zero. A plain ``k`` is evaluated in Horner form."""
     if isinstance(k, int):
         if k < 0:
             return F.lit(0.0)
-        terms = [F.pow(rate, F.lit(i)) / F.lit(float(math.factorial(i))) for i in range(k + 1)]
-        return F.exp(-rate) * sum(terms[1:], terms[0])
+        total = F.lit(1.0)
+        for i in range(k, 0, -1):
+            total = 1.0 + total * rate / float(i)
+        return F.exp(-rate) * total
     steps = F.sequence(F.lit(0), F.greatest(k, F.lit(0)).cast("int"))
     total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.pow(rate, i) / F.factorial(i))
     return F.when(k < 0, 0.0).otherwise(F.exp(-rate) * total)
@@ -50,16 +52,21 @@ def single_rate_over(line: float | Column, rate: Column, low: float = 0.1, high:
 
 
 def two_rate_under(line: float | Column, home: Column, away: Column, max_goals: int = 10) -> Column:
-    """Independent home and away counts, each cut at ``max_goals``: P(h + a <= floor(line))."""
+    """Independent home and away counts, each cut at ``max_goals``: P(h + a <= floor(line)).
+
+    Up to the cut the sum of the counts is itself a count with the summed rate.
+    """
     if isinstance(line, (int, float)):
         t = math.floor(line)
-        terms = [pmf(h, home) * cdf(min(t - h, max_goals), away) for h in range(min(t, max_goals) + 1)]
-        return sum(terms[1:], terms[0])
+        if t <= max_goals:
+            return cdf(t, home + away)
+        return _sum([pmf(h, home) * cdf(min(t - h, max_goals), away) for h in range(max_goals + 1)])
     t = F.floor(line).cast("int")
-    steps = F.sequence(F.lit(0), F.least(t, F.lit(max_goals)))
-    return F.aggregate(
+    steps = F.sequence(F.lit(0), F.lit(max_goals))
+    cut = F.aggregate(
         steps, F.lit(0.0), lambda acc, h: acc + pmf(h, home) * cdf(F.least(t - h, F.lit(max_goals)), away)
     )
+    return F.when(t <= max_goals, cdf(t, home + away)).otherwise(cut)
 
 
 def two_rate_over(line: float | Column, home: Column, away: Column, max_goals: int = 10) -> Column:
@@ -122,7 +129,10 @@ def with_outcomes(
     }
     for line in lines:
         t = math.floor(line)
-        terms = [h[i] * ac[min(t - i, size - 1)] for i in range(min(t, size - 1) + 1)]
+        if t < size:
+            terms = [cdf(t, F.greatest(F.col(home), floor) + F.greatest(F.col(away), floor))]
+        else:
+            terms = [h[i] * ac[min(t - i, size - 1)] for i in range(size)]
         raw[f"__under_{_tag(line)}"] = corrected(terms, lambda i, j, t=t: i + j <= t)
     grid = grid.withColumns(raw)
     mass = F.col("__mass")

@@ -208,17 +208,18 @@ def dc_outcomes(spark, sf_dir):
 def _model_probabilities(df: DataFrame, line: float, tag: str = "") -> DataFrame:
     """Each model's over and under probability on a line and their blend."""
     prefixes = {"poisson": "pred", "gb": "gb", "dc": "dc"}
-    models = {}
-    for label, p in prefixes.items():
-        home, away = F.col(f"{p}_home"), F.col(f"{p}_away")
-        models[f"{label}_over{tag}"] = poisson.two_rate_over(line, home, away)
-        models[f"{label}_under{tag}"] = poisson.two_rate_under(line, home, away)
+    rates = {label: (F.col(f"{p}_home"), F.col(f"{p}_away")) for label, p in prefixes.items()}
+    under = {f"{label}_under{tag}": poisson.two_rate_under(line, *r) for label, r in rates.items()}
+    mass = {f"{label}_mass": poisson.cdf(10, r[0]) * poisson.cdf(10, r[1]) for label, r in rates.items()}
+    over = {f"{label}_over{tag}": F.col(f"{label}_mass") - F.col(f"{label}_under{tag}") for label in prefixes}
+    if "poisson_mass" not in df.columns:
+        df = df.withColumns(mass)
     blends = {
         f"{side}{tag}": poisson.ensemble(*[F.col(f"{label}_{side}{tag}") for label in prefixes])
         for side in ("over", "under")
     }
     label = poisson.ensemble_label(F.col("gb_home"), F.col("dc_home"))
-    return df.withColumns(models).withColumns({**blends, "model_used": label})
+    return df.withColumns(under).withColumns(over).withColumns({**blends, "model_used": label})
 
 
 def _sql_cut(k: str, home: str, away: str) -> str:
