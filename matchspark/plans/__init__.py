@@ -6,7 +6,7 @@ import importlib
 
 from matchspark.plans.catalog import ORACLE, QUERIES
 
-MODULES = ("series", "prices")
+MODULES = ("series", "prices", "lookups")
 
 
 def registered():
