@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchspark.session import cut
+
 # Country words that may lead a team name.
 COUNTRIES = (
     "England", "Spain", "Germany", "Italy", "France", "Netherlands", "Portugal", "Belgium", "Scotland",
@@ -88,9 +90,11 @@ def resolve(names: DataFrame, targets: DataFrame, aliases: DataFrame | None = No
     canonical, rank``. Ties go to the smallest length difference, then the first
     name. Containment is an equality join on substrings, so no pair of names is
     compared that does not match; for names inside a target only the best target
-    per substring is kept before the join.
+    per substring is kept before the join. The distinct names are written to the
+    shared folder once, so the tables they come from are read once.
     """
-    names, targets = names.select("name").distinct(), targets.select("target").distinct()
+    names = cut(names.select("name").distinct(), "names")
+    targets = cut(targets.select("target").distinct(), "targets")
 
     def hit(tier: int, rank: Column) -> Column:
         return F.struct(F.lit(tier).alias("tier"), rank.cast("int").alias("rank"), F.col("target")).alias("hit")
@@ -100,7 +104,7 @@ def resolve(names: DataFrame, targets: DataFrame, aliases: DataFrame | None = No
         listed = names.join(aliases.withColumnRenamed("raw", "name"), "name")
         found = listed.join(targets, F.col("canonical") == F.col("target"))
         sure.append(found.select("name", hit(1, F.col("rank"))))
-    certain = reduce(DataFrame.unionByName, sure)
+    certain = cut(reduce(DataFrame.unionByName, sure), "certain")
     open_names = names.join(certain.select("name"), "name", "left_anti")
 
     def parts(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:

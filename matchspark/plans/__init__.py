@@ -6,7 +6,7 @@ import importlib
 
 from matchspark.plans.catalog import ORACLE, QUERIES
 
-MODULES = ("series", "prices", "lookups")
+MODULES = ("series", "prices", "lookups", "conforming")
 
 
 def registered():
