@@ -174,6 +174,13 @@ def expected_goals(
     return home, away
 
 
+def result_call(home: Column, draw: Column, away: Column) -> Column:
+    """H or A if it is the likeliest result alone, else D. Equal up to 1e-9 is a tie, whatever the order of sums."""
+    home, draw, away = (F.round(p, 9) for p in (home, draw, away))
+    call = F.when((home > away) & (home > draw), "H").when((away > home) & (away > draw), "A").otherwise("D")
+    return F.when(home.isNotNull(), call)
+
+
 def ensemble(poisson: Column, boosted: Column, strengths: Column, strengths_weight: float = 0.4) -> Column:
     """Blend of up to three model probabilities; a missing model is null."""
     return (
