@@ -83,6 +83,12 @@ def _parts(text: Column, shortest: Column, longest: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, starting_at)))
 
 
+def substrings(df: DataFrame, column: str) -> DataFrame:
+    """Every row once per distinct substring of a (short) name column, as ``part``."""
+    size = F.greatest(F.length(column), F.lit(1))
+    return df.select("*", F.explode(_parts(F.col(column), F.lit(1), size)).alias("part"))
+
+
 def resolve(names: DataFrame, targets: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Target for each distinct name: equal, else alias, else one contains the other (any case).
 
