@@ -6,7 +6,7 @@ import importlib
 
 from matchspark.plans.catalog import ORACLE, QUERIES
 
-MODULES = ("series", "prices", "lookups", "conforming", "reports", "records")
+MODULES = ("series", "prices", "lookups", "conforming", "reports", "records", "fits")
 
 
 def registered():
