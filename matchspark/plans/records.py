@@ -13,7 +13,8 @@ from matchspark.plans.series import sql_rounded
 from matchspark.plans.views import MATCHES_CTE, matches
 from matchspark.sources import markup, text
 
-TODAY = F.lit("1998-06-15").cast("date")
+def today():
+    return F.lit("1998-06-15").cast("date")
 
 
 def _text(value):
@@ -94,7 +95,7 @@ def odds_pages(spark, sf_dir):
         F.lit("Over 1.5"), over, F.lit("Under 1,5"), under, F.lit("Over 2.5"), F.lit("9,99"), F.lit("Over 2.5"), F.lit("1.95"), F.lit("Under 2.5"), F.lit("1.85"),
         F.lit("Over 3.5"), F.lit("n/a"), F.lit("under 3.5"), under,
     )
-    found = text.odds_pages(df.select("match_id", page.alias("page")), ["match_id"], "page", TODAY)
+    found = text.odds_pages(df.select("match_id", page.alias("page")), ["match_id"], "page", today())
     day = F.year("date") * 10000 + F.month("date") * 100 + F.dayofmonth("date")
     return found.select("match_id", day.alias("day_number"), "time", "home_team", "away_team", "league", "home_odds", "draw_odds", "away_odds", *ODDS)
 
@@ -120,7 +121,7 @@ def listed_odds(spark, sf_dir):
             price = F.coalesce(F.format_number(F.col(f"{side}_odds") + k, 2), F.lit("none"))
             parts.append(F.concat(F.lit(f"{side.capitalize()} {k}.5, odds "), price))
     pages = df.select("match_id", F.concat_ws("\n", *parts).alias("page"))
-    found = text.listed_odds(pages, ["match_id"], "page", TODAY)
+    found = text.listed_odds(pages, ["match_id"], "page", today())
     return found.select("match_id", "time", "home_team", "away_team", "league", "tv_channel", *ODDS)
 
 

@@ -30,7 +30,7 @@ def match_folder(spark: SparkSession, folder: str, required: Sequence[str] = REQ
     )
     head = F.min_by("value", F.when(F.col("file_block_start") == 0, F.col("at")))
     files = raw.groupBy("file_path").agg(
-        head.alias("header"), F.count(F.lit(1)).alias("rows"), F.max(F.col("value").contains("�")).alias("odd")
+        head.alias("header"), F.count(F.lit(1)).alias("rows"), F.max(~F.is_valid_utf8("value")).alias("odd")
     )
     usable = files.filter(F.col("rows") > 1)
     groups = usable.groupBy("header", "odd").agg(F.collect_list("file_path").alias("paths")).collect()
@@ -56,9 +56,11 @@ def header_names(line: str) -> list[str]:
 
 def _same_header(spark: SparkSession, paths: Sequence[str], names: Sequence[str], encoding: str) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
-    read = spark.read.csv(
-        list(paths), schema=schema, header=True, encoding=encoding, mode="PERMISSIVE",
-        columnNameOfCorruptRecord=BAD_ROW, enforceSchema=True,
+    # the parser must see all fields of a row, also when few columns are read, to find the long ones
+    reader = spark.read.option("columnPruning", False).schema(schema)
+    read = reader.csv(
+        list(paths), header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW,
+        enforceSchema=True,
     )
     fields = F.size(F.split(F.regexp_replace(F.col(BAD_ROW), '"[^"]*"', ""), ","))
     file = F.col("_metadata.file_name")
