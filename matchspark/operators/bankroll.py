@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.operators import sequences
+from matchspark.session import cut
 
 CHUNK = 4096
 
@@ -31,15 +32,17 @@ def bankroll_path(
     row per chunk then flows in order through the portfolio's task. A chunk
     entered below that bankroll is folded trade by trade there. Paths inside
     the chunks are computed in parallel afterwards. The rule depends on every
-    earlier trade, so this order cannot be split further.
+    earlier trade, so this order cannot be split further. Chunks are written to
+    the shared folder, so the ordered pass reads stakes and gains only.
     """
     numbered = sequences.number(trades, [portfolio], order, block, "__seq")
     row = F.struct("__seq", *[c for c in trades.columns if c != portfolio])
-    chunks = (
+    chunks = cut(
         numbered.groupBy(portfolio, F.floor(F.col("__seq") / chunk).alias("__chunk"))
         .agg(F.array_sort(F.collect_list(row)).alias("__trades"))
         .withColumn("stakes", F.transform("__trades", lambda t: t["stake"].cast("double")))
-        .withColumn("gains", F.transform("__trades", lambda t: t["gain"].cast("double")))
+        .withColumn("gains", F.transform("__trades", lambda t: t["gain"].cast("double"))),
+        "chunks",
     )
     types = dict(trades.dtypes)
     entered = (

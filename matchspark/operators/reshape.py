@@ -40,17 +40,21 @@ def goal_sides(extra: dict[str, tuple[str, str]] | None = None) -> dict[str, tup
 
 def back_to_matches(
     rows: DataFrame,
-    key: str,
+    match: Sequence[str],
     features: Sequence[str],
-    carried: Sequence[str] = (),
+    carried: dict[str, str] | None = None,
     flag: str = "is_home",
 ) -> DataFrame:
-    """Participant features side by side per match: one shuffle, no self-join."""
+    """Participant features side by side per match: one hash aggregate, no self-join.
+
+    ``match`` lists the columns both rows share, the unique match key first;
+    ``carried`` renames home-row columns that become columns of the match.
+    """
     at_home, away = F.col(flag), ~F.col(flag)
-    picks = [F.max(F.when(at_home, F.col(c))).alias(c) for c in carried]
+    picks = [F.max(F.when(at_home, F.col(c))).alias(n) for c, n in (carried or {}).items()]
     picks += [F.max(F.when(at_home, F.col(c))).alias(f"home_{c}") for c in features]
     picks += [F.max(F.when(away, F.col(c))).alias(f"away_{c}") for c in features]
-    return rows.groupBy(key).agg(*picks)
+    return rows.groupBy(*match).agg(*picks)
 
 
 def price_rows(df: DataFrame, lines: dict[float, tuple[str, str]], keep: Sequence[str]) -> DataFrame:

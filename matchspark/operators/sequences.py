@@ -24,8 +24,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BLOCK, CHUNK, POS, STEP, CORE = "__block", "__chunk", "__pos", "__step", "__core"
-CHUNK_ROWS = 512
+BLOCK, CHUNK, POS = "__block", "__chunk", "__pos"
+CHUNK_ROWS = 2048
 
 
 class Running(NamedTuple):
@@ -159,80 +159,51 @@ def form(
     seq: str,
     trailing: dict[str, Trailing] | None = None,
     weighted: dict[str, tuple[str, int]] | None = None,
-    chunk: int = CHUNK_ROWS,
+    chunk: int | None = None,
 ) -> DataFrame:
-    """Bounded-frame features over the row numbering ``seq``.
+    """Bounded-frame features over the row numbering ``seq``: one shuffle, one sort.
 
     ``trailing`` maps an output name to a frame. ``weighted`` maps an output
     name to ``(column, span)``: the exponentially weighted mean of all earlier
     rows, where a null keeps its place and only ages the others. It is a ratio
-    of two geometric sums, so a chunk needs just two numbers per column from
-    its predecessors; those older than 1e-16 of weight are left out.
+    of two geometric running sums, each row lifted by ``q ** -position`` in its
+    chunk; rows further back than a weight of 1e-16 are left out.
     """
     trailing, weighted = trailing or {}, weighted or {}
-    reach = max([t.reach for t in trailing.values()], default=0)
-    if reach >= chunk:
-        raise ValueError(f"frame reaches {reach} rows back, chunk holds {chunk}")
-    if any(span < 2 for _, span in weighted.values()):
+    spans = [span for _, span in weighted.values()]
+    if any(span < 2 for span in spans):
         raise ValueError("span must be at least 2")
+    reach = max([t.reach for t in trailing.values()] + [_memory(s) for s in spans], default=0)
+    if chunk is None:
+        # doubles hold the lift of the fastest decay over this many rows
+        chunk = min([CHUNK_ROWS, *[int(600 / -math.log(_decay(s))) for s in spans]])
+        chunk = max(chunk, reach) if not spans else chunk
     keys = [*entity, CHUNK]
-    core = df.withColumns({CHUNK: F.floor(F.col(seq) / chunk), POS: F.col(seq) % chunk})
-    shown = core
-    if reach:
-        own = F.struct(F.lit(0).alias(STEP), F.lit(True).alias(CORE))
-        ahead = F.struct(F.lit(1).alias(STEP), F.lit(False).alias(CORE))
-        copies = F.when(F.col(POS) >= chunk - reach, F.array(own, ahead)).otherwise(F.array(own))
-        shown = core.select("*", F.inline(copies)).withColumn(CHUNK, F.col(CHUNK) + F.col(STEP))
-    else:
-        shown = core.withColumn(CORE, F.lit(True))
+    own = F.floor(F.col(seq) / chunk)
+    # a row is shown to its own chunk and to the later ones it can reach
+    last = F.floor((F.col(seq) + reach) / chunk)
+    shown = df.select("*", F.explode(F.sequence(own, last)).alias(CHUNK)).withColumn(
+        POS, F.col(seq) - F.col(CHUNK) * chunk
+    )
     ordered = Window.partitionBy(*keys).orderBy(seq)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    folds = [t.build(ordered).alias(n) for n, t in trailing.items()]
+    for name, (column, span) in weighted.items():
+        q = _decay(span)
+        lift = F.pow(F.lit(q), -F.col(POS))
+        top = F.sum(F.col(column) * lift).over(before)
+        bottom = F.sum(F.when(F.col(column).isNotNull(), lift)).over(before)
+        folds.append((top / bottom).alias(name))
+    return shown.select("*", *folds).filter(F.col(POS) >= 0).select(*df.columns, *trailing, *weighted)
 
-    def decay(span: int) -> float:
-        return 1.0 - 2.0 / (span + 1)
 
-    def lifted(column: str, span: int) -> tuple[Column, Column]:
-        lift = F.pow(F.lit(decay(span)), -F.col(POS))
-        return F.col(column) * lift, F.when(F.col(column).isNotNull(), lift)
+def _decay(span: int) -> float:
+    return 1.0 - 2.0 / (span + 1)
 
-    folds = [t.build(ordered).alias(n) for n, t in trailing.items()]
-    for name, (column, span) in weighted.items():
-        value, weight = lifted(column, span)
-        folds.append(F.sum(F.when(F.col(CORE), value)).over(before).alias(f"__n_{name}"))
-        folds.append(F.sum(F.when(F.col(CORE), weight)).over(before).alias(f"__d_{name}"))
-    result = shown.select("*", *folds).filter(CORE)
-    if weighted:
-        result = result.join(_chunk_carry(core, keys, weighted, lifted, decay, chunk), keys, "left")
-    outputs = [F.col(n) for n in trailing]
-    for name, (_, span) in weighted.items():
-        fade = F.pow(F.lit(decay(span)), F.col(POS))
-
-        def total(kind: str, name: str = name, fade: Column = fade, span: int = span) -> Column:
-            local = F.coalesce(F.col(f"__{kind}_{name}"), F.lit(0.0)) / F.lit(decay(span))
-            return (local + F.coalesce(F.col(f"__c{kind}_{name}"), F.lit(0.0))) * fade
-
-        outputs.append((total("n") / F.nullif(total("d"), F.lit(0.0))).alias(name))
-    return result.select(*df.columns, *outputs)
-
-
-def _chunk_carry(core, keys, weighted, lifted, decay, chunk: int) -> DataFrame:
-    """Geometric sums of each chunk, faded to the first row of the chunks after it."""
-    sums, carries = [], []
-    depth = 1
-    for name, (column, span) in weighted.items():
-        value, weight = lifted(column, span)
-        q = decay(span)
-        depth = max(depth, math.ceil(37.0 / -math.log(q) / chunk))
-        end = q ** (chunk - 1)
-        sums += [(F.sum(value) * end).alias(f"__cn_{name}"), (F.sum(weight) * end).alias(f"__cd_{name}")]
-        for kind in ("cn", "cd"):
-            faded = F.col(f"__{kind}_{name}") * F.pow(F.lit(q), F.lit(chunk) * (F.col("__ahead") - 1))
-            carries.append(F.sum(faded).alias(f"__{kind}_{name}"))
-    totals = core.groupBy(*keys).agg(*sums)
-    if depth == 1:
-        return totals.withColumn(CHUNK, F.col(CHUNK) + 1)
-    spread = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("__ahead"))
-    return spread.withColumn(CHUNK, F.col(CHUNK) + F.col("__ahead")).groupBy(*keys).agg(*carries)
+
+def _memory(span: int) -> int:
+    """Rows after which a weight has fallen below 1e-16."""
+    return math.ceil(37.0 / -math.log(_decay(span)))
 
 
 def latest(df: DataFrame, entity: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from matchspark.operators import joins, names, reshape, sequences
 from matchspark.plans.catalog import query, table
 from matchspark.plans.series import LEAGUE_NAMES, league_means, sql_rounded, team_form
 from matchspark.plans.views import MATCHES_CTE, PARTICIPANTS_CTE, SERIES_ORDER, matches, participants, round6
+from matchspark.session import cut
 
 
 def by_hour(time):
@@ -120,12 +121,15 @@ def domestic_form(rows: DataFrame, n: int = 5) -> DataFrame:
 
 
 def with_domestic_form(rows: DataFrame, domestic_rows: DataFrame, minimum: int = 3) -> DataFrame:
-    """Domestic form strictly before each match; null below ``minimum`` domestic matches."""
-    state = domestic_form(domestic_rows).select(
+    """Domestic form strictly before each match; null below ``minimum`` domestic matches.
+
+    The states are written once: the as-of join reads them twice.
+    """
+    states = domestic_form(domestic_rows).select(
         "team", F.col("match_date").alias("dom_date"), "match_id", "is_home", "dom_total_games", *DOMESTIC_FORM
     ).withColumnsRenamed({"match_id": "dom_id", "is_home": "dom_at_home"})
     found = joins.asof(
-        rows, state, ["team"], "match_date", "dom_date", ["dom_total_games", *DOMESTIC_FORM], lambda t: t,
+        rows, cut(states, "states"), ["team"], "match_date", "dom_date", ["dom_total_games", *DOMESTIC_FORM], lambda t: t,
         strict=True, tie=["dom_id", "dom_at_home"],
     )
     enough = F.col("dom_total_games") >= minimum
@@ -177,7 +181,7 @@ def asof_trailing_form(spark, sf_dir):
 def fallback_features(spark, sf_dir):
     """Own form where the team has 20 matches, else domestic form, else the row is dropped."""
     form = team_form(participants(spark, sf_dir), windows=(5,), weighted=False)
-    rows = form.select("match_id", "is_home", "team", "match_date", "matches_played", "avg_for_5")
+    rows = cut(form.select("match_id", "is_home", "team", "match_date", "matches_played", "avg_for_5"), "form")
     dom = reshape.participants(domestic(spark, sf_dir), ["match_id", "match_date"], reshape.goal_sides())
     found = with_domestic_form(rows, dom.drop("opponent"))
     own = F.when(F.col("matches_played") >= 20, F.col("avg_for_5"))

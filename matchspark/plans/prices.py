@@ -10,6 +10,7 @@ from matchspark.operators import bankroll, reshape, sequences
 from matchspark.plans.catalog import query
 from matchspark.plans.views import MATCHES_CTE, matches, round6
 from matchspark.plans.series import sql_rounded
+from matchspark.session import cut
 
 RHO = -0.1
 PRICE_LINES = (1.5, 2.5, 3.5)
@@ -468,7 +469,7 @@ def backtest_summary(spark, sf_dir):
            round(100 * greatest(0, ev) / se, 6) AS value_share FROM t""",
 )
 def portfolio_allocation(spark, sf_dir):
-    shares = bankroll.allocate(value_bets(spark, sf_dir), "league_code", 1000.0)
+    shares = bankroll.allocate(cut(value_bets(spark, sf_dir), "bets"), "league_code", 1000.0)
     kept = [F.round(100 * F.col(n), 6).alias(n) for n in ("kelly_share", "equal_share", "value_share")]
     return shares.select("match_id", "bet", "league_code", *kept)
 
@@ -481,6 +482,6 @@ def portfolio_allocation(spark, sf_dir):
            round(sum(stake * odds * probability) - sum(stake), 4) AS expected_profit FROM t GROUP BY league_code""",
 )
 def portfolio_totals(spark, sf_dir):
-    allocated = bankroll.allocate(value_bets(spark, sf_dir), "league_code", 1000.0)
+    allocated = bankroll.allocate(cut(value_bets(spark, sf_dir), "bets"), "league_code", 1000.0)
     totals = bankroll.allocation_totals(allocated, "league_code", "kelly")
     return totals.withColumns({n: F.round(n, 4) for n in ("total_stake", "expected_return", "expected_profit")})

@@ -177,11 +177,11 @@ def match_features(spark, sf_dir, minimum: int = 5) -> DataFrame:
 
 def feature_table(form: DataFrame, minimum: int = 5) -> DataFrame:
     wide = reshape.back_to_matches(
-        form.withColumnRenamed("team", "__team").withColumn("team", F.col("__team")),
-        "match_id",
+        form,
+        ["match_id", "match_date", "league_code", "season_code"],
         ["team", *FEATURES],
-        carried=["match_date", "league_code", "season_code", "goals_for", "goals_against"],
-    ).withColumnsRenamed({"goals_for": "home_goals", "goals_against": "away_goals"})
+        carried={"goals_for": "home_goals", "goals_against": "away_goals"},
+    )
     averages = [c for c in wide.columns if c.startswith(("home_avg", "away_avg"))]
     return wide.dropna(subset=averages).filter(
         (F.col("home_matches_played") >= minimum) & (F.col("away_matches_played") >= minimum)

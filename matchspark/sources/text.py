@@ -1,21 +1,19 @@
 """Match records from line-oriented text: one row per page in, one row per match out.
 
 Lines carry the lines after them, so looking ahead needs no window. State that
-flows down a page (headers, dates, block numbers) uses the balanced running
-fold, cut every 4096 lines.
+flows down a page (headers, dates, block numbers) uses a window over the page:
+a page is one input row, so its lines were in one task before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.functions import conform
-from matchspark.operators import names, sequences
-
-PAGE_LINES = 4096
+from matchspark.operators import names
 
 # Words that mark a league line, month names, result labels of the page.
 LEAGUE_WORDS = ("League", "Liga", "Serie", "Bundesliga", "Ligue", "Premiership", "Championship")
@@ -42,11 +40,14 @@ def lines(pages: DataFrame, entity: Sequence[str], text: str, ahead: int = 1, ke
     return paged.select(*entity, *keep, F.inline(numbered))
 
 
+def _down(entity: Sequence[str]):
+    return Window.partitionBy(*entity).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
 def carried(rows: DataFrame, entity: Sequence[str], states: dict[str, Column]) -> DataFrame:
     """Last seen value of each state at or above the line."""
-    block = F.floor(F.col("pos") / PAGE_LINES)
-    folds = {n: sequences.last_of(v) for n, v in states.items()}
-    return sequences.running(rows, entity, ["pos"], block, folds, inclusive=True)
+    down = _down(entity)
+    return rows.select("*", *[F.last(v, ignorenulls=True).over(down).alias(n) for n, v in states.items()])
 
 
 def blocks(rows: DataFrame, entity: Sequence[str], anchor: Column, states: dict[str, Column] | None = None) -> DataFrame:
@@ -54,19 +55,10 @@ def blocks(rows: DataFrame, entity: Sequence[str], anchor: Column, states: dict[
 
     ``states`` are carried down as in :func:`carried`.
     """
-    block = F.floor(F.col("pos") / PAGE_LINES)
-    flagged = rows.withColumn("__anchor", F.coalesce(anchor, F.lit(False)))
-    folds = {
-        "block": sequences.sum_of(F.col("__anchor").cast("long")),
-        "__start": sequences.last_of(F.when(F.col("__anchor"), F.col("pos"))),
-    }
-    folds |= {n: sequences.last_of(v) for n, v in (states or {}).items()}
-    ran = sequences.running(flagged, entity, ["pos"], block, folds, inclusive=True)
-    return (
-        ran.filter(F.col("block") > 0)
-        .withColumn("offset", F.col("pos") - F.col("__start"))
-        .drop("__anchor", "__start")
-    )
+    opens = F.coalesce(anchor, F.lit(False))
+    ran = carried(rows, entity, {"__start": F.when(opens, F.col("pos")), **(states or {})})
+    numbered = ran.withColumn("block", F.sum(opens.cast("long")).over(_down(entity)))
+    return numbered.filter(F.col("block") > 0).withColumn("offset", F.col("pos") - F.col("__start")).drop("__start")
 
 
 def _last_where(value: Column, condition: Column) -> Column:

@@ -40,7 +40,7 @@ def same(got, expected):
     )
 
 
-@pytest.mark.parametrize("chunk", [12, 40, 512])
+@pytest.mark.parametrize("chunk", [7, 40, None])
 def test_bounded_frames(df, frame, chunk):
     rows = sequences.number(df, ["team"], ["day", "id"], F.col("day"))
     trailing = {f"mean_{w}": sequences.trailing_mean("x", w) for w in (3, 5, 10)}
@@ -91,13 +91,11 @@ def test_future_rows_never_matter(df):
     pd.testing.assert_frame_equal(a, b)
 
 
-def test_no_group_exceeds_the_chunk(df):
+def test_no_group_exceeds_chunk_and_reach(df, monkeypatch):
     rows = sequences.number(df, ["team"], ["day", "id"], F.col("day"))
-    plan = sequences.form(rows, ["team"], "seq", {"m": sequences.trailing_mean("x", 3)}, chunk=32)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "__chunk" in text
-    with pytest.raises(ValueError):
-        sequences.form(rows, ["team"], "seq", {"m": sequences.trailing_mean("x", 40)}, chunk=32)
+    size = sequences.Trailing(3, lambda w: F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    largest = sequences.form(rows, ["team"], "seq", {"size": size}, chunk=32).agg(F.max("size")).first()[0]
+    assert largest == 35
 
 
 @pytest.mark.parametrize("strict", [False, True])
