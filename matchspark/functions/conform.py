@@ -28,8 +28,15 @@ def parse_date(text: Column, formats: Sequence[str] = DAY_FIRST) -> Column:
     return F.coalesce(*[_parsed(text, f) for f in formats])
 
 
+# What each pattern token looks like in text.
+TOKENS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}"}
+
+
 def _parsed(text: Column, pattern: str) -> Column:
-    date = F.try_to_date(text, pattern)
+    """Parse only text of the pattern's shape: a failed parse costs far more than a regular expression."""
+    separator = "/" if "/" in pattern else "-"
+    shape = separator.join(TOKENS[token] for token in pattern.split(separator))
+    date = F.when(text.rlike(f"^{shape}$"), F.try_to_date(text, pattern))
     if "yyyy" in pattern:
         return date
     return F.when(F.year(date) >= 2069, F.add_months(date, -1200)).otherwise(date)

@@ -31,14 +31,13 @@ def _text(value):
            max(length(CASE WHEN pos = start + 1 THEN line END)) AS next_length, CAST(max(pos - start) AS BIGINT) AS last_offset FROM b WHERE block > 0 GROUP BY 1, 2""",
 )
 def text_blocks(spark, sf_dir):
-    rows = text.lines(table(spark, sf_dir, "documents"), ["doc_id"], "text")
-    found = text.blocks(rows, ["doc_id"], F.col("line").rlike("^[A-D]"))
-    size = F.length("line")
-    return found.groupBy("doc_id", "block").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.max(F.when(F.col("offset") == 0, size)).alias("head_length"),
-        F.max(F.when(F.col("offset") == 1, size)).alias("next_length"),
-        F.max("offset").alias("last_offset"),
+    found = text.blocks(table(spark, sf_dir, "documents"), ["doc_id"], "text", "^[A-D]")
+    return found.select(
+        "doc_id", "block",
+        F.size("lines").cast("long").alias("lines"),
+        F.length(F.get("lines", F.lit(0))).alias("head_length"),
+        F.length(F.get("lines", F.lit(1))).alias("next_length"),
+        (F.size("lines") - 1).cast("long").alias("last_offset"),
     )
 
 

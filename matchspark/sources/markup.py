@@ -102,24 +102,33 @@ def links(df: DataFrame, html: str, keep: Sequence[str] = ()) -> DataFrame:
 CELL = r"(?is)<(t[dh])\b([^>]*)>(.*?)</t[dh]\s*>"
 
 
-def _cells(row: Column) -> Column:
-    """Cells of a table row as structs of attributes and text."""
-    attributes = F.regexp_extract_all(row, F.lit(CELL), 2)
-    inner = F.regexp_extract_all(row, F.lit(CELL), 3)
-    return F.zip_with(
-        attributes, inner, lambda a, i: F.struct(a.alias("attributes"), i.alias("inner"), text_of(i).alias("text"))
+def rows_with_cells(df: DataFrame, html: str, keep: Sequence[str] = (), row_class: str = "") -> DataFrame:
+    """Table rows with their cells as structs ``attributes, stat, inner``.
+
+    The cells pass through a generator so that later filters work on the parsed
+    array instead of parsing it again.
+    """
+    rows = elements(df, html, "tr", keep, with_attributes=row_class)
+    attributes = F.regexp_extract_all("inner", F.lit(CELL), 2)
+    inner = F.regexp_extract_all("inner", F.lit(CELL), 3)
+    cells = F.zip_with(
+        attributes,
+        inner,
+        lambda a, i: F.struct(
+            a.alias("attributes"), F.regexp_extract(a, 'data-stat="([^"]*)"', 1).alias("stat"), i.alias("inner")
+        ),
     )
+    return rows.select(*keep, "position", "attributes", F.explode(F.array(cells)).alias("cells"))
 
 
-def rows_with_cells(df: DataFrame, html: str, keep: Sequence[str] = (), row_class: str = "") -> DataFrame:
-    rows = elements(df, html, "tr", keep, with_attributes=row_class)
-    return rows.select(*keep, "position", "attributes", _cells(F.col("inner")).alias("cells"))
+def cell_text(i: int) -> Column:
+    return text_of(F.get("cells", F.lit(i))["inner"])
 
 
 def stat(name: str) -> Column:
-    """Text of the last cell marked ``data-stat="name"``, null if empty or absent."""
-    marked = F.filter("cells", lambda c: c["attributes"].rlike(f'data-stat="{name}"'))
-    return F.nullif(F.get(F.reverse(marked), F.lit(0))["text"], F.lit(""))
+    """Text of the last cell marked with the statistic, null if empty or absent."""
+    marked = F.filter("cells", lambda c: c["stat"] == name)
+    return F.nullif(text_of(F.get(F.reverse(marked), F.lit(0))["inner"]), F.lit(""))
 
 
 def stat_matches(df: DataFrame, html: str, keep: Sequence[str] = (), minimum_cells: int = 8) -> DataFrame:
@@ -154,11 +163,10 @@ def team_statistics(
 ) -> DataFrame:
     """Team rows by cell number; commas and percent signs dropped, anything else not a number is 0."""
     rows = rows_with_cells(df, html, keep).filter(F.size("cells") >= minimum_cells)
-    text = lambda i: F.get("cells", F.lit(i))["text"]
     return rows.select(
         *keep,
-        text(0).alias("team"),
-        *[conform.stripped_number(text(i), kind).alias(n) for n, (i, kind) in layout.items()],
+        cell_text(0).alias("team"),
+        *[conform.stripped_number(cell_text(i), kind).alias(n) for n, (i, kind) in layout.items()],
     )
 
 
@@ -171,19 +179,17 @@ def absences(df: DataFrame, html: str, keep: Sequence[str] = ()) -> DataFrame:
     """Injured and suspended players from odd/even rows with a linked name."""
     rows = rows_with_cells(df, html, keep, row_class=r'class="[^"]*\b(?:odd|even)\b')
     linked = F.get(F.filter("cells", lambda c: c["attributes"].contains("hauptlink") & c["inner"].rlike("(?i)<a\\b")), F.lit(0))
-    suspended = F.exists("cells", lambda c: F.lower(c["text"]).rlike("suspension|red card|yellow"))
-    plain = F.filter(
-        "cells",
-        lambda c: c["attributes"].contains("class=") & ~c["attributes"].contains("hauptlink")
-        & (F.length(c["text"]) > 3) & (F.length(c["text"]) < 50),
-    )
+    texts = F.transform("cells", lambda c: text_of(c["inner"]))
+    suspended = F.exists(texts, lambda t: F.lower(t).rlike("suspension|red card|yellow"))
+    other = F.filter("cells", lambda c: c["attributes"].contains("class=") & ~c["attributes"].contains("hauptlink"))
+    plain = F.filter(F.transform(other, lambda c: text_of(c["inner"])), lambda t: F.length(t).between(4, 49))
     found = rows.withColumn("__name", linked).filter(F.col("__name").isNotNull())
     return found.select(
         *keep,
         "position",
         text_of(F.regexp_extract("__name.inner", r"(?is)<a\b[^>]*>(.*?)</a>", 1)).alias("player_name"),
         F.when(suspended, "Suspension").otherwise("Injury").alias("injury_type"),
-        F.coalesce(F.lower(F.get(F.reverse(plain), F.lit(0))["text"]), F.lit("")).alias("description"),
+        F.coalesce(F.lower(F.get(F.reverse(plain), F.lit(0))), F.lit("")).alias("description"),
         F.lit(False).alias("is_key_player"),
     )
 
@@ -192,8 +198,7 @@ def managers(df: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
     """Manager or head coach from the first infobox row naming one; ``[n]`` notes removed."""
     box = df.select(*keep, F.regexp_extract(html, r'(?is)<table[^>]*class="[^"]*infobox[^"]*"[^>]*>(.*?)</table>', 1).alias("box"))
     rows = rows_with_cells(box, "box", keep)
-    heading = F.lower(F.get("cells", F.lit(0))["text"])
-    value = F.get("cells", F.lit(1))["text"]
-    named = rows.filter(heading.rlike("manager|head coach") & value.isNotNull())
+    value = cell_text(1)
+    named = rows.filter(F.lower(cell_text(0)).rlike("manager|head coach") & value.isNotNull())
     first = F.min_by(F.regexp_replace(value, r"\[.*?\]", ""), "position").alias("manager")
     return named.groupBy(*keep).agg(first).filter(F.col("manager") != "")

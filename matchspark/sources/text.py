@@ -1,8 +1,8 @@
 """Match records from line-oriented text: one row per page in, one row per match out.
 
-Lines carry the lines after them, so looking ahead needs no window. State that
-flows down a page (headers, dates, block numbers) uses a window over the page:
-a page is one input row, so its lines were in one task before.
+A page is one input row, so its lines are cut into blocks and looked ahead in
+place, with array functions and no shuffle. Only state that flows down a page
+(headers, dates) needs a window, over the page.
 """
 
 from __future__ import annotations
@@ -21,105 +21,128 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 RESULT_LABELS = {"home_odds": "H", "draw_odds": "U", "away_odds": "B"}
 ANCHOR = r"\d{1,2}/\d{1,2}\s+\d{1,2}:\d{2}"
 GOAL_LINES = ("1.5", "2.5", "3.5")
+# Characters that count as white space at the ends of a line.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-
-
-def lines(pages: DataFrame, entity: Sequence[str], text: str, ahead: int = 1, keep: Sequence[str] = ()) -> DataFrame:
-    """Non-empty stripped lines as ``pos, line, ahead`` (the following lines, as an array)."""
-    split = F.filter(F.transform(F.split(text, "\n"), lambda x: stripped(x)), lambda x: x != "")
-    paged = pages.select(*entity, *keep, split.alias("__lines"))
-    numbered = F.transform(
-        "__lines",
-        lambda x, i: F.struct(
-            i.cast("long").alias("pos"), x.alias("line"), F.slice("__lines", i + 2, ahead).alias("ahead")
-        ),
-    )
-    return paged.select(*entity, *keep, F.inline(numbered))
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def page_lines(text: str) -> Column:
+    """Non-empty stripped lines of a page as an array."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: stripped(x)), lambda x: x != "")
 
 
-def _down(entity: Sequence[str]):
-    return Window.partitionBy(*entity).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def lines(pages: DataFrame, entity: Sequence[str], text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Non-empty stripped lines as rows ``pos, line``."""
+    numbered = F.posexplode(page_lines(text)).alias("pos", "line")
+    return pages.select(*entity, *keep, numbered).withColumn("pos", F.col("pos").cast("long"))
 
 
 def carried(rows: DataFrame, entity: Sequence[str], states: dict[str, Column]) -> DataFrame:
     """Last seen value of each state at or above the line."""
-    down = _down(entity)
+    down = Window.partitionBy(*entity).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select("*", *[F.last(v, ignorenulls=True).over(down).alias(n) for n, v in states.items()])
 
 
-def blocks(rows: DataFrame, entity: Sequence[str], anchor: Column, states: dict[str, Column] | None = None) -> DataFrame:
-    """Number the blocks opened by anchor lines, and each line's offset in its block; lines above the first are left out.
+def blocks(pages: DataFrame, entity: Sequence[str], text: str, anchor: str) -> DataFrame:
+    """Blocks opened by lines matching ``anchor``, as ``block`` (from 1) and ``lines`` (the anchor first).
 
-    ``states`` are carried down as in :func:`carried`.
+    Lines above the first anchor are left out.
     """
-    opens = F.coalesce(anchor, F.lit(False))
-    ran = carried(rows, entity, {"__start": F.when(opens, F.col("pos")), **(states or {})})
-    numbered = ran.withColumn("block", F.sum(opens.cast("long")).over(_down(entity)))
-    return numbered.filter(F.col("block") > 0).withColumn("offset", F.col("pos") - F.col("__start")).drop("__start")
+    cut = pages.select(*entity, page_lines(text).alias("__lines"))
+    starts = F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(anchor), i + 1)), lambda i: i.isNotNull())
+    cut = cut.withColumn("__starts", starts)
 
+    def block(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("__starts", i + 1), F.size("__lines") + 1)
+        return F.struct((i + 1).cast("long").alias("block"), F.slice("__lines", start, end - start).alias("lines"))
 
-def _last_where(value: Column, condition: Column) -> Column:
-    return F.max_by(value, F.when(condition & value.isNotNull(), F.col("pos")))
+    return cut.select(*entity, F.inline(F.transform("__starts", block)))
 
 
-def _at(offset: int, value: Column) -> Column:
-    return F.max(F.when(F.col("offset") == offset, value))
+def _last_value(label: str) -> Column:
+    found = F.filter("__priced", lambda p: F.array_contains(p["labels"], label))
+    return F.get(F.reverse(found), F.lit(0))["value"]
 
 
 def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column, depth: int = 25) -> DataFrame:
     """Odds page: a date-time line opens a match; teams follow, then labels whose value is the next line.
 
-    The last value of a label wins; the first league line after the teams is the league.
+    The last value of a label wins; the first league line after the teams is the
+    league. Labels are looked for in the ``depth`` lines from the date on.
     """
-    rows = blocks(lines(pages, entity, text), entity, F.col("line").rlike(ANCHOR))
-    line, near = F.col("line"), F.col("offset").between(3, depth - 1)
-    value = F.translate(F.get("ahead", F.lit(0)), ",", ".").try_cast("double")
-    columns = {
-        "date": _at(0, conform.rolled_date(line, today)),
-        "time": _at(0, conform.clock(line)),
-        "home_team": _at(1, line),
-        "away_team": _at(2, line),
-        "league": F.min_by(line, F.when(near & line.rlike("|".join(LEAGUE_WORDS)), F.col("pos"))),
-    }
-    for name, label in RESULT_LABELS.items():
-        columns[name] = _last_where(value, near & (line == label))
-    for side in ("over", "under"):
-        named = near & line.rlike(f"[{side[0].upper()}{side[0]}]{side[1:]}")
-        seen = F.lit(False)
-        for goal_line in GOAL_LINES:
-            here = line.rlike(goal_line.replace(".", "[.,]"))
-            columns[f"{side}_{goal_line.replace('.', '_')}"] = _last_where(value, named & here & ~seen)
-            seen = seen | here
-    grouped = rows.groupBy(*entity, "block").agg(*[v.alias(k) for k, v in columns.items()])
-    return grouped.filter((F.col("home_team") != "") & (F.col("away_team") != ""))
+    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.slice("lines", 4, depth - 3))
+
+    def labels(x: Column) -> Column:
+        named = [F.when(x == label, name) for name, label in RESULT_LABELS.items()]
+        goal_line = F.coalesce(
+            *[F.when(x.contains(g) | x.contains(g.replace(".", ",")), g.replace(".", "_")) for g in GOAL_LINES]
+        )
+        for side in ("Over", "Under"):
+            said = x.contains(side) | x.contains(side.lower())
+            named.append(F.when(said, F.concat(F.lit(f"{side.lower()}_"), goal_line)))
+        return F.array_compact(F.array(*named))
+
+    def priced(x: Column, i: Column) -> Column:
+        value = F.translate(F.get("lines", i + 4), ",", ".").try_cast("double")
+        return F.struct(value.alias("value"), labels(x).alias("labels"))
+
+    kept = F.filter(F.transform("__near", priced), lambda p: p["value"].isNotNull() & (F.size(p["labels"]) > 0))
+    league = F.filter("__near", lambda x: x.rlike("|".join(LEAGUE_WORDS)))
+    sides = [f"{side}_{g.replace('.', '_')}" for g in GOAL_LINES for side in ("over", "under")]
+    first = F.get("lines", F.lit(0))
+    return (
+        cut.filter(F.size("lines") >= 3)
+        .withColumn("__priced", kept)
+        .select(
+            *entity,
+            "block",
+            conform.rolled_date(first, today).alias("date"),
+            conform.clock(first).alias("time"),
+            F.get("lines", F.lit(1)).alias("home_team"),
+            F.get("lines", F.lit(2)).alias("away_team"),
+            F.get(league, F.lit(0)).alias("league"),
+            *[_last_value(name).alias(name) for name in (*RESULT_LABELS, *sides)],
+        )
+    )
 
 
 def listed_odds(
     pages: DataFrame, entity: Sequence[str], text: str, today: Column, market: str = "TOTALT"
 ) -> DataFrame:
     """Page of quoted lines: teams, league, then one market heading per goal line with two priced buttons below it."""
-    line, offset = F.col("line"), F.col("offset")
-    heading = line.contains(market)
-    marked = lines(pages, entity, text, ahead=4)
-    rows = blocks(marked, entity, line.rlike(ANCHOR), {"__market": F.when(heading, F.col("pos"))})
-    above_market = F.col("__market").isNull() | (F.col("__market") < F.col("pos") - offset)
-    columns = {
-        "date": _at(0, conform.rolled_date(line, today)),
-        "time": _at(0, conform.clock(line)),
-        "home_team": _at(1, conform.quoted(line)),
-        "away_team": _at(2, conform.quoted(line)),
-        "league": _at(3, conform.quoted(line)),
-        "tv_channel": _last_where(line, (offset > 3) & above_market & ~line.startswith("uid=")),
-    }
+    cut = blocks(pages, entity, text, ANCHOR)
+    headings = F.transform("lines", lambda x, i: F.when(x.contains(market), i))
+    cut = cut.withColumn("__headings", F.filter(headings, lambda i: i.isNotNull()))
+    channels = F.filter(
+        F.slice("lines", 5, F.greatest(F.coalesce(F.get("__headings", F.lit(0)), F.size("lines")) - 4, F.lit(0))),
+        lambda x: ~x.startswith("uid="),
+    )
+    columns = {"tv_channel": F.get(F.reverse(channels), F.lit(0))}
+    for i, name in ((1, "home_team"), (2, "away_team"), (3, "league")):
+        columns[name] = conform.quoted(F.get("lines", F.lit(i)))
     for goal_line in GOAL_LINES:
-        here = heading & line.contains(goal_line)
-        for side, place in (("over", 1), ("under", 3)):
-            price = F.regexp_extract(F.get("ahead", F.lit(place)), r"odds\s+([\d.]+)", 1).try_cast("double")
-            columns[f"{side}_{goal_line.replace('.', '_')}"] = F.max(F.when(here, price))
-    return rows.groupBy(*entity, "block").agg(*[v.alias(k) for k, v in columns.items()])
+        here = F.get(F.filter("__headings", lambda i: F.get("lines", i).contains(goal_line)), F.lit(0))
+        for side, below in (("over", 2), ("under", 4)):
+            price = F.regexp_extract(F.get("lines", here + below), r"odds\s+([\d.]+)", 1).try_cast("double")
+            columns[f"{side}_{goal_line.replace('.', '_')}"] = price
+    first = F.get("lines", F.lit(0))
+    return cut.select(
+        *entity,
+        "block",
+        conform.rolled_date(first, today).alias("date"),
+        conform.clock(first).alias("time"),
+        *[v.alias(n) for n, v in columns.items()],
+    )
+
+
+def groups_of(text: Column, pattern: str, count: int) -> Column:
+    """Groups of a whole-text match as an array, from one run of the pattern; null without a match."""
+    joined = F.regexp_replace(text, pattern, "\x01".join(f"${i}" for i in range(1, count + 1)))
+    parts = F.split(joined, "\x01")
+    return F.when(F.size(parts) == count, parts)
 
 
 def results_text(
@@ -128,8 +151,9 @@ def results_text(
     """Results listing: heading lines set the round, date lines the date, match lines emit a record under both."""
     rows = lines(pages, entity, text, keep=[c for c in (competition, season) if c not in entity])
     line = F.col("line")
-    rows = rows.filter(~line.rlike("^[=#]"))
+    rows = rows.filter(~line.startswith("=") & ~line.startswith("#"))
     dated = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+(\w+)/(\d+)(?:\s+(\d{4}))?"
+    rows = rows.withColumn("__dated", line.rlike(dated))
     month_word = F.substring(F.lower(F.regexp_extract(line, dated, 1)), 1, 3)
     place = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month_word)
     month = F.when(place > 0, place).otherwise(1)
@@ -139,18 +163,19 @@ def results_text(
     date = F.try_to_date(F.concat_ws("-", year, month, F.regexp_extract(line, dated, 2)), "y-M-d")
     states = {
         "round": F.when(line.startswith("»"), stripped(F.replace(line, F.lit("»"), F.lit("")))),
-        "__date": F.when(line.rlike(dated), F.struct(date.alias("d"))),
+        "__date": F.when(F.col("__dated"), F.struct(date.alias("d"))),
     }
     under = carried(rows, entity, states)
-    record = r"^(?:(\d{2}\.\d{2})\s+)?(.+?)\s+v\s+(.+?)\s+(\d+-\d+.*)$"
-    goals = conform.score(F.regexp_extract(line, record, 4))
-    found = under.filter(line.rlike(record) & ~line.startswith("»") & ~line.rlike(dated)).select(
+    record = r"^(?:\d{2}\.\d{2}\s+)?(.+?)\s+v\s+(.+?)\s+(\d+-\d+.*)$"
+    parsed = under.filter(~line.startswith("»") & ~F.col("__dated")).withColumn("__parts", groups_of(line, record, 3))
+    goals = conform.score(F.col("__parts")[2])
+    found = parsed.select(
         *entity,
         *[c for c in (competition, season) if c not in entity],
         "pos",
         F.col("__date.d").alias("match_date"),
-        stripped(F.regexp_extract(line, record, 2)).alias("home_team"),
-        stripped(F.regexp_extract(line, record, 3)).alias("away_team"),
+        stripped(F.col("__parts")[0]).alias("home_team"),
+        stripped(F.col("__parts")[1]).alias("away_team"),
         goals[0].alias("home_goals"),
         goals[1].alias("away_goals"),
         F.coalesce("round", F.lit("")).alias("round"),
@@ -193,18 +218,20 @@ def results_prose(pages: DataFrame, entity: Sequence[str], text: str, season: st
     rows = carried(lines(pages, entity, text), entity, {"matchday": day})
     country = "(?:" + "|".join(sorted(names.COUNTRIES, key=len, reverse=True)) + ")"
     name = r"[A-Za-zÀ-ÿ\s\-'\.]+"
-    record = rf"({name}?)\s+{country}\s*\|\s*(\d+)\s*[-–]\s*(\d+)\s*\|\s*{country}\s+({name})"
+    record = rf"^.*?({name}?)\s+{country}\s*\|\s*(\d+)\s*[-–]\s*(\d+)\s*\|\s*{country}\s+({name}).*$"
     matchday = F.coalesce("matchday", F.lit(1))
     month = F.lpad((F.lit(9) + F.floor((matchday - 1) / 2)).cast("string"), 2, "0")
     approximate = F.concat_ws("-", F.lit("2024"), month, (F.lit(15) + matchday % 2 * 7).cast("string"))
-    found = rows.filter(line.rlike(record)).select(
+    parsed = rows.filter(line.contains("|")).withColumn("__parts", groups_of(line, record, 4))
+    parts = F.col("__parts")
+    found = parsed.filter(parts.isNotNull()).select(
         *entity,
         "pos",
         approximate.alias("date"),
-        stripped(F.regexp_extract(line, record, 1)).alias("home_team"),
-        stripped(F.regexp_extract(line, record, 4)).alias("away_team"),
-        F.regexp_extract(line, record, 2).cast("int").alias("home_goals"),
-        F.regexp_extract(line, record, 3).cast("int").alias("away_goals"),
+        stripped(parts[0]).alias("home_team"),
+        stripped(parts[3]).alias("away_team"),
+        parts[1].try_cast("int").alias("home_goals"),
+        parts[2].try_cast("int").alias("away_goals"),
         F.concat(F.lit("Matchday "), matchday).alias("round"),
         F.lit(season).alias("season"),
     )
