@@ -40,6 +40,38 @@ def asof_snapshot(spark, sf_dir):
     )
 
 
+def with_tenure(snapshots: DataFrame, team: str, manager: str, date: str) -> DataFrame:
+    """Each snapshot with the date the same manager was first seen at the team."""
+    first = snapshots.groupBy(team, manager).agg(F.min(date).alias("since"))
+    return snapshots.select(team, manager, date).distinct().join(first, [team, manager])
+
+
+def manager_features(matches_: DataFrame, snapshots: DataFrame, block=lambda t: t, new: int = 30, long: int = 365) -> DataFrame:
+    """Tenure in days of the latest known manager at the match, and the new and experienced flags."""
+    known = with_tenure(snapshots, "team", "manager", "seen")
+    found = joins.asof(matches_, known, ["team"], "match_date", "seen", ["manager", "since"], block, tie=["manager"])
+    days = F.datediff("match_date", "since")
+    return found.withColumns(
+        {"tenure_days": days, "new_manager": (days < new).cast("int"), "experienced_manager": (days > long).cast("int")}
+    ).drop("since")
+
+
+@query(
+    "manager_tenure",
+    f"""WITH {PARTICIPANTS_CTE}, s AS (SELECT DISTINCT l_suppkey % 120 AS team, 'M' || CAST(l_linenumber % 3 AS VARCHAR) AS manager, CAST(l_shipdate AS DATE) AS seen FROM lineitem WHERE l_quantity > 40),
+    k AS (SELECT *, min(seen) OVER (PARTITION BY team, manager) AS since FROM s QUALIFY row_number() OVER (PARTITION BY team, seen ORDER BY manager DESC) = 1)
+    SELECT p.match_id, p.is_home, p.team, k.manager, CAST(p.match_date - k.since AS INT) AS tenure_days, CAST(p.match_date - k.since < 30 AS INT) AS new_manager, CAST(p.match_date - k.since > 365 AS INT) AS experienced_manager
+    FROM participants p ASOF LEFT JOIN k ON p.team = k.team AND p.match_date >= k.seen""",
+)
+def manager_tenure(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 40)
+    snapshots = items.select(
+        (F.col("l_suppkey") % 120).alias("team"), F.concat(F.lit("M"), (F.col("l_linenumber") % 3).cast("string")).alias("manager"), F.to_date("l_shipdate").alias("seen")
+    )
+    rows = participants(spark, sf_dir).select("match_id", "is_home", "team", "match_date")
+    return manager_features(rows, snapshots).drop("match_date")
+
+
 @query(
     "range_event_counts",
     """WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'),

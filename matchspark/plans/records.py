@@ -124,6 +124,25 @@ def listed_odds(spark, sf_dir):
     return found.select("match_id", "time", "home_team", "away_team", "league", "tv_channel", *ODDS)
 
 
+@query(
+    "inline_odds",
+    f"""WITH {MATCHES_CTE} SELECT match_id, 'Home ' || CAST(home_team AS VARCHAR) AS home_team, CASE WHEN match_id % 2 = 0 THEN 'Serie A' END AS league, {", ".join(f"round({s}_odds + {k}, 2) AS {s}_{k}_5" for k in (1, 2, 3) for s in ("over", "under"))} FROM matches""",
+)
+def inline_odds(spark, sf_dir):
+    parts = [
+        F.concat(F.lit("Lør. "), F.date_format("match_date", "dd/MM"), F.lit(" 13:30")), F.concat(F.lit("Home "), _text(F.col("home_team"))), F.lit("Away"),
+        F.when(F.col("match_id") % 2 == 0, "Serie A").otherwise("TV"), F.lit("OVER 1.5 7.77"),
+    ]
+    for k in (1, 2, 3):
+        for side in ("over", "UNDER"):
+            price = F.coalesce(F.translate(F.format_number(F.col(f"{side.lower()}_odds") + k, 2), ".", ","), F.lit("-"))
+            parts.append(F.concat(F.lit(f"{side} {k},5 "), price))
+    pages = matches(spark, sf_dir).select("match_id", F.concat_ws("\n", *parts).alias("page"))
+    found = text.inline_odds(pages, ["match_id"], "page", today())
+    over = F.when(F.col("over_1_5") != 7.77, F.col("over_1_5")).alias("over_1_5")
+    return found.select("match_id", "home_team", "league", over, *ODDS[1:])
+
+
 @query(
     "results_prose",
     f"""WITH {MATCHES_CTE} SELECT match_id, CASE WHEN match_id % 3 = 0 THEN 'Sturm' ELSE 'Malmo' END AS home_team, 'Saint-Gilloise' AS away_team, CAST(home_goals AS INT) AS home_goals, CAST(away_goals AS INT) AS away_goals,

@@ -107,23 +107,19 @@ def ewma_form(spark, sf_dir):
     return round6(form.select("match_id", "team", "is_home", *EWMA_NAMES), *EWMA_NAMES)
 
 
-def league_means(df: DataFrame, minimum: int = 10) -> DataFrame:
-    """Expanding league means of earlier matches; below ``minimum`` matches, the overall mean."""
+def league_means(df: DataFrame, minimum: int = 10, group: str = "league_code", prefix: str = "league_avg") -> DataFrame:
+    """Expanding group means of earlier matches; below ``minimum`` matches, the overall mean."""
     goals = {"home": F.col("home_goals"), "away": F.col("away_goals")}
     goals["total"] = goals["home"] + goals["away"]
     measures = {f"__s_{k}": sequences.sum_of(v) for k, v in goals.items()}
     measures |= {f"__k_{k}": sequences.count_of(v) for k, v in goals.items()}
-    ran = sequences.running(df, ["league_code"], SERIES_ORDER, F.col("match_date"), measures)
-    overall = df.agg(*[F.avg(v).alias(k) for k, v in goals.items()])
+    ran = sequences.running(df, [group], SERIES_ORDER, F.col("match_date"), measures)
+    overall = df.agg(F.struct(*[F.avg(v).alias(k) for k, v in goals.items()])).scalar()  # one row, read once
+    means = {
+        k: F.when(F.col(f"__k_{k}") >= minimum, F.col(f"__s_{k}") / F.col(f"__k_{k}")) for k in goals
+    }
     return ran.select(
-        *df.columns,
-        *[
-            F.coalesce(
-                F.when(F.col(f"__k_{k}") >= minimum, F.col(f"__s_{k}") / F.col(f"__k_{k}")),
-                overall.select(k).scalar(),
-            ).alias(f"league_avg_{k}_goals")
-            for k in goals
-        ],
+        *df.columns, *[F.coalesce(v, overall[k]).alias(f"{prefix}_{k}_goals") for k, v in means.items()]
     )
 
 

@@ -109,6 +109,35 @@ def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column
     )
 
 
+def inline_odds(pages: DataFrame, entity: Sequence[str], text: str, today: Column, depth: int = 20) -> DataFrame:
+    """Odds page whose over/under lines carry their own price, e.g. 'Over 2.5 1.75'; the last line of a kind wins.
+
+    The fourth line is the league if it holds a league word.
+    """
+    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.slice("lines", 1, depth))
+    columns = {}
+    for goal_line in GOAL_LINES:
+        priced = F.transform(
+            F.filter("__near", lambda x: x.contains(goal_line) | x.contains(goal_line.replace(".", ","))),
+            lambda x: F.struct(F.lower(x).contains("over").alias("over"), F.lower(x).contains("under").alias("under"), conform.price_after(x, goal_line).alias("price")),
+        )
+        for side in ("over", "under"):
+            said = (lambda p: p["over"]) if side == "over" else (lambda p: p["under"] & ~p["over"])
+            mine = F.filter(priced, lambda p: said(p) & p["price"].isNotNull())
+            columns[f"{side}_{goal_line.replace('.', '_')}"] = F.get(F.reverse(mine), F.lit(0))["price"]
+    first, fourth = F.get("lines", F.lit(0)), F.get("lines", F.lit(3))
+    return cut.filter(F.size("lines") >= 2).select(
+        *entity,
+        "block",
+        conform.rolled_date(first, today).alias("date"),
+        conform.clock(first).alias("time"),
+        F.get("lines", F.lit(1)).alias("home_team"),
+        F.get("lines", F.lit(2)).alias("away_team"),
+        F.when(fourth.rlike("|".join(LEAGUE_WORDS)), fourth).alias("league"),
+        *[v.alias(n) for n, v in columns.items()],
+    )
+
+
 def listed_odds(
     pages: DataFrame, entity: Sequence[str], text: str, today: Column, market: str = "TOTALT"
 ) -> DataFrame:
