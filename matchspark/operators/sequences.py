@@ -110,7 +110,7 @@ def running(
     )
     here = marked.select("*", *[m.rows(inside).alias(f"__l_{n}") for n, m in measures.items()])
     return here.join(carried, keys, "left").select(
-        *[F.col(c) for c in df.columns if c not in measures],
+        *[F.col(f"`{c}`") for c in df.columns if c not in measures],
         *[m.merge(F.col(f"__c_{n}"), F.col(f"__l_{n}")).alias(n) for n, m in measures.items()],
     )
 
@@ -194,7 +194,9 @@ def form(
         top = F.sum(F.col(column) * lift).over(before)
         bottom = F.sum(F.when(F.col(column).isNotNull(), lift)).over(before)
         folds.append((top / bottom).alias(name))
-    return shown.select("*", *folds).filter(F.col(POS) >= 0).select(*df.columns, *trailing, *weighted)
+    return shown.select("*", *folds).filter(F.col(POS) >= 0).select(
+        *[F.col(f"`{c}`") for c in df.columns], *trailing, *weighted
+    )
 
 
 def _decay(span: int) -> float:

@@ -53,8 +53,10 @@ def domestic_dataset(
         "market_total_line": F.lit(line),
     }
     match = ["match_id", "match_date", "league_code", "season_code", "home_team", "away_team"]
-    rated = league_means(df.withColumns({**absent, **odds}))
-    numeric = ["home_goals", "away_goals", "total_goals", *odds, *[f"league_avg_{k}_goals" for k in ("home", "away", "total")]]
+    numeric = ["home_goals", "away_goals", "total_goals", *odds]
+    statistics = [c for pair in PAIRED.values() for c in pair]
+    rated = league_means(df.withColumns({**absent, **odds}).select(*match, *numeric, *statistics))
+    numeric += [f"league_avg_{k}_goals" for k in ("home", "away", "total")]
     sides = reshape.goal_sides(PAIRED)
     rows = reshape.participants(rated, [*match, *numeric], sides).withColumnsRenamed(
         {"goals_for": "for", "goals_against": "against"}

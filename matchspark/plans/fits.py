@@ -5,33 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.functions import conform, poisson
-from matchspark.operators import evaluation, models, strengths
+from matchspark.functions import conform
+from matchspark.operators import bankroll, evaluation, models, strengths
+from matchspark.plans import lifecycle
 from matchspark.plans.catalog import query
 from matchspark.plans.series import match_features
 from matchspark.plans.views import matches
-from matchspark.session import cut
 
 VALIDATION, TEST = "1999", "2000"
 
 
-def model_table(spark, sf_dir) -> tuple[DataFrame, list[str]]:
-    """Match features with splits, written once because every fit reads it many times."""
-    df = match_features(spark, sf_dir)
-    features = conform.feature_columns(df.columns)
-    complete = conform.complete_core(df, features)
-    split = conform.split_name(F.col("season_code"), VALIDATION, TEST)
-    stored = cut(complete.withColumn("dataset_split", split), "features")
-    return stored, evaluation.varying_columns(stored, features)
-
-
-def regressions(spark, sf_dir):
-    df, features = model_table(spark, sf_dir)
-    train = df.filter(F.col("dataset_split") == "train")
-    fitted = {s: models.goal_regression(train, features, f"{s}_goals") for s in ("home", "away")}
-    return df, features, fitted
-
-
 def split_errors(df: DataFrame) -> DataFrame:
     aggregates = []
     for side in ("home", "away"):
@@ -42,22 +25,33 @@ def split_errors(df: DataFrame) -> DataFrame:
 
 @query("glm_poisson")
 def glm_poisson(spark, sf_dir):
-    df, _, fitted = regressions(spark, sf_dir)
-    return split_errors(models.predict_goals(df, fitted["home"], fitted["away"]))
+    stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    train = stored.filter(F.col("dataset_split") == "train")
+    fitted = {s: models.goal_regression(train, features, f"{s}_goals") for s in ("home", "away")}
+    return split_errors(models.predict_goals(stored, fitted["home"], fitted["away"]))
 
 
 @query("isotonic_cal")
 def isotonic_cal(spark, sf_dir):
     """Raw and calibrated over 2.5 probability of every match."""
-    df, _, fitted = regressions(spark, sf_dir)
-    scored = models.predict_goals(df, fitted["home"], fitted["away"])
-    scored = scored.withColumn("over_prob", poisson.single_rate_over(2.5, F.col("pred_total_goals")))
-    scored = cut(scored.withColumn("over", (F.col("home_goals") + F.col("away_goals") > 2.5).cast("int")), "scored")
-    model = models.calibrator(scored.filter(F.col("dataset_split") == "validation"), "over_prob", "over")
-    result = models.calibrated(scored, model, "over_prob", "cal_over_prob")
+    stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    result = lifecycle.predict(stored, lifecycle.train(stored, features))
     return result.select("match_id", "dataset_split", "pred_home", "pred_away", "over_prob", "cal_over_prob")
 
 
+@query("model_backtest")
+def model_backtest(spark, sf_dir):
+    """Train, predict, pick, settle: summary of each league's bankroll on the test seasons."""
+    stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    predicted = lifecycle.predict(stored, lifecycle.train(stored, features))
+    prices = matches(spark, sf_dir).select(
+        "match_id", F.col("over_odds").alias("best_over_odds"), F.col("under_odds").alias("best_under_odds"), F.lit(2.5).alias("market_total_line")
+    )
+    total = F.col("home_goals") + F.col("away_goals")
+    picked = lifecycle.signals(predicted.join(prices, "match_id").withColumn("total_goals", total))
+    return bankroll.summary(lifecycle.backtest(picked, F.col("league_code")), "portfolio")
+
+
 @query("strengths_fit")
 def strengths_fit(spark, sf_dir):
     recent = conform.within_days_of_latest(matches(spark, sf_dir), "match_date", 3 * 365)
@@ -67,7 +61,7 @@ def strengths_fit(spark, sf_dir):
 
 @query("gbt_goals")
 def gbt_goals(spark, sf_dir):
-    df, features = model_table(spark, sf_dir)
-    seen = df.filter(F.col("dataset_split") != "test").withColumn("held_out", F.col("dataset_split") == "validation")
+    stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    seen = stored.filter(F.col("dataset_split") != "test").withColumn("held_out", F.col("dataset_split") == "validation")
     fitted = {s: models.boosted_goals(seen, features, f"{s}_goals", "held_out", rounds=10, depth=4, rate=0.1) for s in ("home", "away")}
-    return split_errors(models.predict_goals(df, fitted["home"], fitted["away"]))
+    return split_errors(models.predict_goals(stored, fitted["home"], fitted["away"]))

@@ -39,13 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    made = tempfile.mkdtemp(prefix="matchspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchspark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back with a short lineage."""
+    """Write ``df`` once to the shared folder and read it back with a short lineage.
+
+    Tables stay until the folder is cleared: later reads of the result need them.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,6 +19,12 @@ EXPECTED = """array<struct<datetime: string, h: struct<title: string>, a: struct
   goals: struct<h: string, a: string>, xG: struct<h: string, a: string>>>"""
 
 
+# Script variable, cell class and row classes of the pages read.
+SCRIPT_VARIABLE = "datesData"
+PLAYER_CELL = "hauptlink"
+PLAYER_ROW = r'class="[^"]*\b(?:odd|even)\b'
+
+
 def fixtures(df: DataFrame, column: str, keep: Sequence[str] = (), played: bool = True) -> DataFrame:
     """Nested fixture JSON to flat rows; ``played`` leaves out those without a score."""
     parsed = df.select(*keep, F.from_json(column, FIXTURE).alias("j"))
@@ -51,7 +57,7 @@ def unescaped(text: Column) -> Column:
     return F.from_json(F.concat(F.lit('["'), unicode, F.lit('"]')), "array<string>")[0]
 
 
-def script_matches(df: DataFrame, html: str, keep: Sequence[str] = (), variable: str = "datesData") -> DataFrame:
+def script_matches(df: DataFrame, html: str, keep: Sequence[str] = (), variable: str = SCRIPT_VARIABLE) -> DataFrame:
     """Expected-goal matches from JSON held in a script tag; elements with bad numbers are left out."""
     raw = F.regexp_extract(html, rf"var\s+{variable}\s*=\s*JSON\.parse\('(.+?)'\)", 1)
     rows = df.filter(F.col(html).contains(variable)).select(*keep, F.inline(F.from_json(unescaped(raw), EXPECTED)))
@@ -177,11 +183,11 @@ def won_share(won: Column, tackles: Column) -> Column:
 
 def absences(df: DataFrame, html: str, keep: Sequence[str] = ()) -> DataFrame:
     """Injured and suspended players from odd/even rows with a linked name."""
-    rows = rows_with_cells(df, html, keep, row_class=r'class="[^"]*\b(?:odd|even)\b')
-    linked = F.get(F.filter("cells", lambda c: c["attributes"].contains("hauptlink") & c["inner"].rlike("(?i)<a\\b")), F.lit(0))
+    rows = rows_with_cells(df, html, keep, row_class=PLAYER_ROW)
+    linked = F.get(F.filter("cells", lambda c: c["attributes"].contains(PLAYER_CELL) & c["inner"].rlike("(?i)<a\\b")), F.lit(0))
     texts = F.transform("cells", lambda c: text_of(c["inner"]))
     suspended = F.exists(texts, lambda t: F.lower(t).rlike("suspension|red card|yellow"))
-    other = F.filter("cells", lambda c: c["attributes"].contains("class=") & ~c["attributes"].contains("hauptlink"))
+    other = F.filter("cells", lambda c: c["attributes"].contains("class=") & ~c["attributes"].contains(PLAYER_CELL))
     plain = F.filter(F.transform(other, lambda c: text_of(c["inner"])), lambda t: F.length(t).between(4, 49))
     found = rows.withColumn("__name", linked).filter(F.col("__name").isNotNull())
     return found.select(
