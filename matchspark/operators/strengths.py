@@ -3,8 +3,9 @@
 The matches are first compressed to weights per (home, away, score), which are
 all the likelihood needs. Each sweep then takes one Newton step for every
 team's attack, one for every team's defense, and one for the two scalars. Given
-the other block, teams are independent, so a step is one aggregate per team;
-strengths stay a table and only the two scalars pass through the driver.
+the other block, teams are independent, so a step is one aggregate per team.
+Strengths and scalars stay a table; the driver reads one row per sweep to see
+whether it moved.
 """
 
 from __future__ import annotations
@@ -36,18 +37,25 @@ def score_weights(matches: DataFrame, rate: float = 0.0018) -> DataFrame:
     return known.groupBy("home_team", "away_team", "home_goals", "away_goals").agg(F.sum(weight).alias("weight"))
 
 
-def _rated(weights: DataFrame, teams: DataFrame, advantage: float, rho: float) -> DataFrame:
-    """Scores with expected goals and the slopes of the log-likelihood in log expected goals and rho."""
-    for side in ("home", "away"):
-        named = teams.select(
-            F.col("team").alias(f"{side}_team"), F.col("attack").alias(f"{side}_att"), F.col("defense").alias(f"{side}_def")
-        )
-        weights = weights.join(named, f"{side}_team")
-    home_log = F.col("home_att") + F.col("away_def") + advantage
+def _rated(weights: DataFrame, teams: DataFrame) -> DataFrame:
+    """Scores with expected goals and the slopes of the log-likelihood in log expected goals and rho.
+
+    The two scalars are read from the team table, not written into the plan:
+    the generated code stays the same from sweep to sweep and is compiled once.
+    """
+    home = teams.select(
+        F.col("team").alias("home_team"), F.col("attack").alias("home_att"), F.col("defense").alias("home_def"),
+        "advantage", "rho",
+    )
+    away = teams.select(
+        F.col("team").alias("away_team"), F.col("attack").alias("away_att"), F.col("defense").alias("away_def")
+    )
+    joined = weights.join(home, "home_team").join(away, "away_team")
+    home_log = F.col("home_att") + F.col("away_def") + F.col("advantage")
     away_log = F.col("away_att") + F.col("home_def")
-    rated = weights.withColumns({"l": clip(F.exp(home_log), 0.01, 6.0), "m": clip(F.exp(away_log), 0.01, 6.0)})
-    h, a, lam, mu = F.col("home_goals"), F.col("away_goals"), F.col("l"), F.col("m")
-    tau = F.greatest(low_score_factor(h, a, lam, mu, F.lit(rho)), F.lit(0.001))
+    rated = joined.withColumns({"l": clip(F.exp(home_log), 0.01, 6.0), "m": clip(F.exp(away_log), 0.01, 6.0)})
+    h, a, lam, mu, rho = (F.col(c) for c in ("home_goals", "away_goals", "l", "m", "rho"))
+    rated = rated.withColumn("tau", F.greatest(low_score_factor(h, a, lam, mu, rho), F.lit(0.001)))
 
     def cell(i: int, j: int, value: Column) -> Column:
         return F.when((h == i) & (a == j), value).otherwise(0.0)
@@ -55,62 +63,71 @@ def _rated(weights: DataFrame, teams: DataFrame, advantage: float, rho: float) -
     in_home = cell(0, 0, -lam * mu * rho) + cell(0, 1, lam * rho)
     in_away = cell(0, 0, -lam * mu * rho) + cell(1, 0, mu * rho)
     in_rho = cell(0, 0, -lam * mu) + cell(0, 1, lam) + cell(1, 0, mu) + cell(1, 1, F.lit(-1.0))
-    chance = tau * pmf(h.cast("int"), lam) * pmf(a.cast("int"), mu)
+    chance = F.col("tau") * pmf(h.cast("int"), lam) * pmf(a.cast("int"), mu)
     return rated.withColumns(
         {
-            "home_slope": h - lam + in_home / tau,
-            "away_slope": a - mu + in_away / tau,
-            "rho_slope": in_rho / tau,
+            "home_slope": h - lam + in_home / F.col("tau"),
+            "away_slope": a - mu + in_away / F.col("tau"),
+            "rho_slope": in_rho / F.col("tau"),
             "loss": -F.col("weight") * F.ln(F.greatest(chance, F.lit(1e-10))),
         }
     )
 
 
-def _step(weights: DataFrame, teams: DataFrame, advantage: float, rho: float, block: str) -> DataFrame:
-    """One Newton step of ``attack`` or ``defense`` for every team."""
-    rated = _rated(weights, teams, advantage, rho)
+def _team_step(weights: DataFrame, teams: DataFrame, block: str) -> DataFrame:
+    """One Newton step of ``attack`` or ``defense`` for every team; its size is kept as ``{block}_move``."""
     home_owner, away_owner = ("home_team", "away_team") if block == "attack" else ("away_team", "home_team")
     shares = F.array(
         F.struct(F.col(home_owner).alias("team"), F.col("home_slope").alias("slope"), F.col("l").alias("curve")),
         F.struct(F.col(away_owner).alias("team"), F.col("away_slope").alias("slope"), F.col("m").alias("curve")),
     )
     sums = (
-        rated.select("weight", F.inline(shares))
+        _rated(weights, teams)
+        .select("weight", F.inline(shares))
         .groupBy("team")
         .agg(F.sum(F.col("weight") * F.col("slope")).alias("slope"), F.sum(F.col("weight") * F.col("curve")).alias("curve"))
     )
     raw = (F.col("slope") - 2 * RIDGE * F.col(block)) / (F.col("curve") + 2 * RIDGE)
-    moved = teams.join(sums, "team").withColumn("move", clip(raw, -1.0, 1.0))
-    kept = [c for c in ("attack", "defense") if c != block]
-    return moved.select("team", *kept, (F.col(block) + F.col("move")).alias(block), "move")
+    move = f"{block}_move"
+    moved = teams.drop(move).join(sums, "team").withColumn(move, clip(raw, -1.0, 1.0))
+    return moved.withColumn(block, F.col(block) + F.col(move)).drop("slope", "curve")
+
+
+def _scalar_step(weights: DataFrame, teams: DataFrame) -> DataFrame:
+    """One Newton step of home advantage and correlation, within their bounds."""
+    w = F.col("weight")
+    totals = _rated(weights, teams).agg(
+        F.struct(
+            F.try_divide(F.sum(w * F.col("home_slope")), F.sum(w * F.col("l"))).alias("advantage"),
+            F.try_divide(F.sum(w * F.col("rho_slope")), F.sum(w * F.pow("rho_slope", F.lit(2)))).alias("rho"),
+            F.sum("loss").alias("loss"),
+        )
+    ).scalar()
+    moves = {n: F.coalesce(totals[n], F.lit(0.0)) for n in ("advantage", "rho")}
+    return teams.withColumns(
+        {
+            "advantage": clip(F.col("advantage") + moves["advantage"], -0.5, 1.5),
+            "rho": clip(F.col("rho") + moves["rho"], -0.5, 0.5),
+            "scalar_move": F.greatest(F.abs(moves["advantage"]), F.abs(moves["rho"])),
+            "loss": totals["loss"],
+        }
+    )
 
 
-def fit(
-    matches: DataFrame, rate: float = 0.0018, sweeps: int = 30, tolerance: float = 1e-5
-) -> Strengths:
+def fit(matches: DataFrame, rate: float = 0.0018, sweeps: int = 30, tolerance: float = 1e-5) -> Strengths:
     """Strengths, home advantage and correlation; attack and defense are centred after the fit."""
     weights = cut(score_weights(matches, rate), "weights")
     names = weights.select(F.col("home_team").alias("team")).union(weights.select("away_team")).distinct()
-    teams = cut(names.select("team", F.lit(0.0).alias("attack"), F.lit(0.0).alias("defense")), "strengths")
-    advantage, rho, loss = 0.25, -0.1, float("nan")
+    start = {"attack": 0.0, "defense": 0.0, "advantage": 0.25, "rho": -0.1}
+    teams = cut(names.withColumns({k: F.lit(v) for k, v in start.items()}), "strengths")
+    moves = F.greatest(*[F.max(F.abs(f"{m}_move")) for m in ("attack", "defense", "scalar")])
     for _ in range(sweeps):
-        attacked = cut(_step(weights, teams, advantage, rho, "attack"), "attack")
-        teams = cut(_step(weights, attacked.drop("move"), advantage, rho, "defense"), "defense")
-        rated = _rated(weights, teams, advantage, rho)
-        w = F.col("weight")
-        row = rated.agg(
-            F.sum(w * F.col("home_slope")), F.sum(w * F.col("l")), F.sum(w * F.col("rho_slope")),
-            F.sum(w * F.pow("rho_slope", F.lit(2))), F.sum("loss"),
-        ).first()
-        largest = max(t.agg(F.max(F.abs("move"))).first()[0] for t in (attacked, teams))
-        teams = teams.drop("move")
-        moves = row[0] / row[1], row[2] / row[3] if row[3] else 0.0
-        advantage, before = min(max(advantage + moves[0], -0.5), 1.5), (advantage, rho)
-        rho, loss = min(max(rho + moves[1], -0.5), 0.5), row[4]
-        if max(largest, abs(advantage - before[0]), abs(rho - before[1])) < tolerance:
+        teams = cut(_team_step(weights, teams, "attack"), "attack")
+        teams = cut(_team_step(weights, teams, "defense"), "defense")
+        teams = cut(_scalar_step(weights, teams), "strengths")
+        last = teams.agg(moves.alias("move"), *[F.first(c).alias(c) for c in ("advantage", "rho", "loss")]).first()
+        if last["move"] < tolerance:
             break
-    mean = teams.agg(F.avg("attack").alias("attack"), F.avg("defense").alias("defense"))
-    centred = teams.select(
-        "team", *[(F.col(c) - mean.select(c).scalar()).alias(c) for c in ("attack", "defense")]
-    )
-    return Strengths(centred, advantage, rho, loss)
+    mean = teams.agg(F.struct(F.avg("attack").alias("attack"), F.avg("defense").alias("defense"))).scalar()
+    centred = teams.select("team", *[(F.col(c) - mean[c]).alias(c) for c in ("attack", "defense")])
+    return Strengths(centred, last["advantage"], last["rho"], last["loss"])

@@ -101,7 +101,7 @@ def test_strengths(spark):
             "match_date": (pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 300, n), unit="D")).date,
         }
     )
-    fitted = strengths.fit(spark.createDataFrame(frame), sweeps=60, tolerance=1e-7)
+    fitted = strengths.fit(spark.createDataFrame(frame), sweeps=8, tolerance=1e-6)
     table = fitted.teams.toPandas().set_index("team").loc[teams]
     assert abs(table.attack.sum()) < 1e-9 and abs(table.defense.sum()) < 1e-9
     latest = max(frame.match_date)
