@@ -95,10 +95,19 @@ def number(value: Column) -> Column:
     return F.when(~F.isnan(parsed), parsed)
 
 
+# Text that is a number. A cast that fails costs far more than this check.
+NUMERIC = {"double": r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$", "int": r"^[+-]?\d+$"}
+
+
+def number_text(text: Column, kind: str = "double") -> Column:
+    """Number of a text that is nothing else, null otherwise."""
+    return F.when(text.rlike(NUMERIC[kind]), text.try_cast(kind))
+
+
 def stripped_number(text: Column, kind: str = "double") -> Column:
     """Number after removing thousands commas and percent signs, else 0."""
     bare = F.regexp_replace(text, "[,%]" if kind == "double" else ",", "")
-    return F.coalesce(bare.try_cast(kind), F.lit(0).cast(kind))
+    return F.coalesce(number_text(bare, kind), F.lit(0).cast(kind))
 
 
 def decimal_in(text: Column) -> Column:

@@ -86,16 +86,17 @@ def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column
         return F.array_compact(F.array(*named))
 
     def priced(x: Column, i: Column) -> Column:
-        value = F.translate(F.get("lines", i + 4), ",", ".").try_cast("double")
-        return F.struct(value.alias("value"), labels(x).alias("labels"))
+        value = conform.number_text(F.translate(F.get("lines", i + 4), ",", "."))
+        return F.struct(value.alias("value"), x.alias("line"))
 
-    kept = F.filter(F.transform("__near", priced), lambda p: p["value"].isNotNull() & (F.size(p["labels"]) > 0))
+    valued = F.filter(F.transform("__near", priced), lambda p: p["value"].isNotNull())
+    named = F.transform(valued, lambda p: F.struct(p["value"].alias("value"), labels(p["line"]).alias("labels")))
     league = F.filter("__near", lambda x: x.rlike("|".join(LEAGUE_WORDS)))
     sides = [f"{side}_{g.replace('.', '_')}" for g in GOAL_LINES for side in ("over", "under")]
     first = F.get("lines", F.lit(0))
     return (
         cut.filter(F.size("lines") >= 3)
-        .withColumn("__priced", kept)
+        .select("*", F.explode(F.array(named)).alias("__priced"))  # a generator, so it is evaluated once
         .select(
             *entity,
             "block",
