@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm import exact_dedup, simhash
+from matchspark.llm import decontaminate, exact_dedup, packing, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that some window of it repeats."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.matches(documents(spark, sf_dir), benchmark)
+    return found.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(
+        F.max("similarity").alias("similarity"), F.max_by("pos", F.struct("similarity", -F.col("pos"))).alias("start_word"),
+        F.max_by("n_words", F.struct("similarity", -F.col("pos"))).alias("n_words"),
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in sequences of 2048 tokens."""
+    return packed(documents(spark, sf_dir))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    found = packing.pack(docs)
+    names = {"id": "doc_id", "crc": "ids_crc32", "total": "doc_tokens", "sequence": "sequence_id"}
+    return found.withColumnsRenamed(names)

@@ -52,3 +52,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Most rows of a side that is sent to every task: a few columns each, so a few tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a written table if it was counted to be small; else leave the join to shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
