@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm import decontaminate, exact_dedup, packing, simhash
+from matchspark.llm import decontaminate, exact_dedup, language, licenses, packing, simhash, toxicity
+from matchspark.llm.text import held_out
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +76,40 @@ def packed(docs: DataFrame) -> DataFrame:
     found = packing.pack(docs)
     names = {"id": "doc_id", "crc": "ids_crc32", "total": "doc_tokens", "sequence": "sequence_id"}
     return found.withColumnsRenamed(names)
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    """Fitted on the documents outside the held-out fold."""
+    return language.fit(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest language of every document."""
+    docs = documents(spark, sf_dir)
+    found = language.identify(docs, language_model(docs))
+    named = found.select(F.col("id").alias("doc_id"), F.col("lang").alias("lang_pred"), "score", "rejected")
+    return named.withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"), 3, 1))
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    found = toxicity.score(docs, model).select(F.col("id").alias("doc_id"), "score")
+    flags = {"held_out": held_out(F.col("doc_id"), 3, 1), "predicted": (F.col("score") >= 0.7).cast("int")}
+    return found.withColumns(flags)
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What licence statements every document holds."""
+    found = licenses.scan(documents(spark, sf_dir))
+    named = F.array_sort(F.array_distinct(F.concat("base_labels", "detections.label")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join(named, ",").alias("labels"), "score",
+        F.size("detections").alias("n_detections"),
+    )
