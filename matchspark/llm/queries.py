@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm import decontaminate, exact_dedup, language, licenses, packing, simhash, toxicity
+from matchspark.llm import bloom_lm, decontaminate, exact_dedup, language, licenses, packing, simhash, toxicity
 from matchspark.llm.text import held_out
 
 QUERIES: dict = {}
@@ -113,3 +113,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join(named, ",").alias("labels"), "score",
         F.size("detections").alias("n_detections"),
     )
+
+
+@query
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is, by exact token counts and by the filter's model."""
+    docs = documents(spark, sf_dir)
+    model = bloom_lm.fit(docs.filter(~held_out(F.col("doc_id"), 7, 2)))
+    found = bloom_lm.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.withColumns({"held_out": held_out(F.col("doc_id"), 7, 2), "train_tokens": F.lit(model.tokens).cast("long")})
