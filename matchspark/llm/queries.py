@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm import bloom_lm, decontaminate, exact_dedup, language, licenses, packing, simhash, toxicity
+from matchspark.llm import bloom_lm, decontaminate, exact_dedup, language, licenses, packing, quotes, simhash, toxicity
 from matchspark.llm.text import held_out
 
 QUERIES: dict = {}
@@ -122,3 +122,46 @@ def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = bloom_lm.fit(docs.filter(~held_out(F.col("doc_id"), 7, 2)))
     found = bloom_lm.score(docs, model).withColumnRenamed("id", "doc_id")
     return found.withColumns({"held_out": held_out(F.col("doc_id"), 7, 2), "train_tokens": F.lit(model.tokens).cast("long")})
+
+
+@query(
+    sql="""
+    with recursive m as (
+      select distinct conv_id, turn, role, coalesce(text, '') as text from conversations
+    ), one as (
+      select conv_id, turn, min(text) as text from m group by all
+    ), line as (
+      select conv_id, turn, n, trim(regexp_replace(lower(said), '\\s+', ' ', 'g')) as said
+      from (select conv_id, turn, unnest(string_split(text, chr(10))) as said, generate_subscripts(string_split(text, chr(10)), 1) as n from one)
+    ), passage as (
+      select distinct conv_id, turn, said, len(string_split(said, ' ')) as words
+      from (
+        select conv_id, turn, said from line where said <> ''
+        union all
+        select conv_id, turn, string_agg(said, ' ' order by n) from line where said <> '' group by conv_id, turn
+      )
+    ), origin as (
+      select conv_id, said, min(turn) as source from passage group by all
+    ), vote as (
+      select p.conv_id, p.turn + back as turn, back, source, sum(words) as words
+      from passage p join origin using (conv_id, said), (values (1), (2)) b(back)
+      where source < p.turn + back group by all
+    ), parent as (
+      select conv_id, turn, arg_max(source, (-back, words, source)) as parent from vote group by all
+    ), node as (
+      select m.conv_id, turn, role, text, parent from m left join parent using (conv_id, turn)
+    ), walk as (
+      select conv_id, turn, turn as thread, 0::bigint as depth from node where parent is null
+      union all
+      select n.conv_id, n.turn, w.thread, w.depth + 1 from node n join walk w on n.conv_id = w.conv_id and n.parent = w.turn
+    )
+    select conv_id, turn, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as body, parent, thread, depth,
+      row_number() over (partition by conv_id, thread order by turn) - 1 as nth
+    from node join walk using (conv_id, turn)
+    """
+)
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of all conversations, rebuilt from messages that quote what they answer."""
+    mail = quotes.as_mail(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = quotes.conversations(mail)
+    return found.select(F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "role", "body", "parent", "thread", "depth", "nth")
