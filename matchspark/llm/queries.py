@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchspark.llm import bloom_lm, decontaminate, exact_dedup, language, licenses, packing, quotes, simhash, toxicity
+from matchspark.llm import (
+    bloom_lm,
+    decontaminate,
+    exact_dedup,
+    language,
+    licenses,
+    packing,
+    quotes,
+    simhash,
+    toxicity,
+    wrappers,
+)
 from matchspark.llm.text import held_out
 
 QUERIES: dict = {}
@@ -165,3 +176,10 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = quotes.as_mail(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     found = quotes.conversations(mail)
     return found.select(F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "role", "body", "parent", "thread", "depth", "nth")
+
+
+@query
+def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = wrappers.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
