@@ -23,7 +23,10 @@ def clip(value: Column, low: float, high: float) -> Column:
 def pmf(k: int | Column, rate: Column) -> Column:
     if isinstance(k, int):
         return F.exp(-rate) * F.pow(rate, F.lit(k)) / F.lit(float(math.factorial(k)))
-    return F.exp(-rate) * F.pow(rate, k) / F.factorial(k.cast("int"))
+    # a running product: factorials end at 20
+    counts = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).when(k.isNotNull(), F.array().cast("array<int>"))
+    product = F.aggregate(counts, F.lit(1.0), lambda acc, i: acc * rate / i)
+    return F.when(k < 0, 0.0).otherwise(F.exp(-rate) * product)
 
 
 def cdf(k: int | Column, rate: Column) -> Column:
@@ -35,8 +38,9 @@ def cdf(k: int | Column, rate: Column) -> Column:
         for i in range(k, 0, -1):
             total = 1.0 + total * rate / float(i)
         return F.exp(-rate) * total
-    steps = F.sequence(F.lit(0), F.greatest(k, F.lit(0)).cast("int"))
-    total = F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.pow(rate, i) / F.factorial(i))
+    # Horner form, from the last count to the first
+    counts = F.when(k >= 1, F.sequence(k.cast("int"), F.lit(1))).when(k.isNotNull(), F.array().cast("array<int>"))
+    total = F.aggregate(counts, F.lit(1.0), lambda acc, i: 1.0 + acc * rate / i)
     return F.when(k < 0, 0.0).otherwise(F.exp(-rate) * total)
 
 
@@ -95,14 +99,14 @@ def with_outcomes(
 
     The grid is never built as rows: each side keeps its point and cumulative
     masses as columns. ``rho`` applies the low-score correlation, which changes
-    four cells only. ``normalise`` divides by the grid's mass; ``complement``
+    four cells only; a null rate gives nulls. ``normalise`` divides by the grid's mass; ``complement``
     takes under as one minus over instead of the grid sum.
     """
-    floor = F.lit(0.01)
+    rates = {s: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.01))) for s, c in (("h", home), ("a", away))}
     points, sums = {}, {}
-    for side, rate in (("h", home), ("a", away)):
+    for side in rates:
         for k in range(size):
-            points[f"__{side}{k}"] = pmf(k, F.greatest(F.col(rate), floor))
+            points[f"__{side}{k}"] = pmf(k, rates[side])
             sums[f"__{side}c{k}"] = _sum([F.col(f"__{side}{i}") for i in range(k + 1)])
     grid = df.withColumns(points).withColumns(sums)
     h, a = [F.col(f"__h{k}") for k in range(size)], [F.col(f"__a{k}") for k in range(size)]
@@ -130,7 +134,7 @@ def with_outcomes(
     for line in lines:
         t = math.floor(line)
         if t < size:
-            terms = [cdf(t, F.greatest(F.col(home), floor) + F.greatest(F.col(away), floor))]
+            terms = [cdf(t, rates["h"] + rates["a"])]
         else:
             terms = [h[i] * ac[min(t - i, size - 1)] for i in range(size)]
         raw[f"__under_{_tag(line)}"] = corrected(terms, lambda i, j, t=t: i + j <= t)

@@ -7,9 +7,10 @@ Two forms replace it, both exact:
   monotone expression of the order (a day, an hour, a range of line numbers).
   It folds inside each block, folds block totals per entity, and joins the
   carried-in value back. Per entity only one row per block meets in one task.
-* :func:`form` (bounded frames) cuts by row number into chunks of fixed length.
-  The last rows of a chunk are shown to the next chunk as well, so a frame of
-  ``w`` rows always finds its predecessors. No group exceeds chunk + reach rows.
+* :func:`form` cuts by row number into chunks of fixed length. For bounded frames
+  the last rows of a chunk are shown to the next chunk as well, so a frame of ``w``
+  rows always finds its predecessors: no group exceeds chunk + reach rows.
+  Exponentially weighted means carry the folded state of a chunk to the next.
 
 Entity and order columns must not be null, and the order must be unique within
 an entity, so results do not depend on input order.
@@ -161,23 +162,21 @@ def form(
     weighted: dict[str, tuple[str, int]] | None = None,
     chunk: int | None = None,
 ) -> DataFrame:
-    """Bounded-frame features over the row numbering ``seq``: one shuffle, one sort.
+    """Features over the row numbering ``seq`` (0-based, without gaps).
 
-    ``trailing`` maps an output name to a frame. ``weighted`` maps an output
-    name to ``(column, span)``: the exponentially weighted mean of all earlier
-    rows, where a null keeps its place and only ages the others. It is a ratio
-    of two geometric running sums, each row lifted by ``q ** -position`` in its
-    chunk; rows further back than a weight of 1e-16 are left out.
+    ``trailing`` maps an output name to a bounded frame: one shuffle, one sort.
+    ``weighted`` maps an output name to ``(column, span)``: the exponentially
+    weighted mean of all earlier rows, where a null keeps its place and only ages
+    the others; see :func:`_weighted`.
     """
     trailing, weighted = trailing or {}, weighted or {}
-    spans = [span for _, span in weighted.values()]
-    if any(span < 2 for span in spans):
-        raise ValueError("span must be at least 2")
-    reach = max([t.reach for t in trailing.values()] + [_memory(s) for s in spans], default=0)
-    if chunk is None:
-        # doubles hold the lift of the fastest decay over this many rows
-        chunk = min([CHUNK_ROWS, *[int(600 / -math.log(_decay(s))) for s in spans]])
-        chunk = max(chunk, reach) if not spans else chunk
+    out = _frames(df, entity, seq, trailing, chunk) if trailing else df
+    return _weighted(out, entity, seq, weighted, chunk) if weighted else out
+
+
+def _frames(df: DataFrame, entity: Sequence[str], seq: str, trailing: dict[str, Trailing], chunk: int | None) -> DataFrame:
+    reach = max(t.reach for t in trailing.values())
+    chunk = chunk or max(CHUNK_ROWS, reach)
     keys = [*entity, CHUNK]
     own = F.floor(F.col(seq) / chunk)
     # a row is shown to its own chunk and to the later ones it can reach
@@ -186,17 +185,59 @@ def form(
         POS, F.col(seq) - F.col(CHUNK) * chunk
     )
     ordered = Window.partitionBy(*keys).orderBy(seq)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     folds = [t.build(ordered).alias(n) for n, t in trailing.items()]
-    for name, (column, span) in weighted.items():
+    return shown.select("*", *folds).filter(F.col(POS) >= 0).select(*[F.col(f"`{c}`") for c in df.columns], *trailing)
+
+
+def _weighted(
+    df: DataFrame, entity: Sequence[str], seq: str, weighted: dict[str, tuple[str, int]], chunk: int | None
+) -> DataFrame:
+    """Exponentially weighted means, as ratios of two geometric running sums.
+
+    Inside a chunk each row is lifted by ``q ** -position``. What earlier chunks leave is
+    the sum of the last one that has values and of the chunks before it that are within a
+    weight of 1e-16 of it: counted from the newest value, not from the row, so a run of nulls
+    of any length carries the mean forward.
+    """
+    if any(span < 2 for _, span in weighted.values()):
+        raise ValueError("span must be at least 2")
+    if chunk is None:
+        # doubles hold the lift of the fastest decay over this many rows
+        chunk = min([CHUNK_ROWS, *[int(600 / -math.log(_decay(s))) for _, s in weighted.values()]])
+    keys = [*entity, CHUNK]
+    placed = df.withColumn(CHUNK, F.floor(F.col(seq) / chunk))
+    position = F.col(seq) - F.col(CHUNK) * chunk
+    before = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    by_chunk = Window.partitionBy(*entity).orderBy(CHUNK)
+    earlier = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    sums, folds, states, carried, merged = [], [], [], [], {}
+    for i, (name, (column, span)) in enumerate(weighted.items()):
         q = _decay(span)
-        lift = F.pow(F.lit(q), -F.col(POS))
-        top = F.sum(F.col(column) * lift).over(before)
-        bottom = F.sum(F.when(F.col(column).isNotNull(), lift)).over(before)
-        folds.append((top / bottom).alias(name))
-    return shown.select("*", *folds).filter(F.col(POS) >= 0).select(
-        *[F.col(f"`{c}`") for c in df.columns], *trailing, *weighted
-    )
+        lift = F.pow(F.lit(q), -position)
+        parts = {"t": F.col(column) * lift, "b": F.when(F.col(column).isNotNull(), lift)}
+        sums += [F.sum(v).alias(f"__{k}{i}") for k, v in parts.items()]
+        folds += [F.sum(v).over(before).alias(f"__{k}l{i}") for k, v in parts.items()]
+        fade = math.exp(chunk * math.log(q))
+        depth = math.ceil(_memory(span) / chunk)
+
+        def faded(part: str, i: int = i, fade: float = fade, depth: int = depth) -> Column:
+            past = [F.lag(f"__{part}{i}", d).over(by_chunk) * F.lit(fade**d) for d in range(1, depth + 1)]
+            return sum((F.coalesce(x, F.lit(0.0)) for x in past), F.col(f"__{part}{i}"))
+
+        state = F.struct(faded("t").alias("t"), faded("b").alias("b"), F.col(CHUNK).alias("at"))
+        states.append(F.when(F.col(f"__b{i}").isNotNull(), state).alias(f"__s{i}"))
+        carried.append(F.last(f"__s{i}", ignorenulls=True).over(earlier).alias(f"__c{i}"))
+        # past e ** -650, about the least a double holds, what was left keeps a weight that any new value drowns
+        age = (F.col(CHUNK) - F.col(f"__c{i}.at")) * (chunk * -math.log(q))
+        weight = F.when(age < 650, F.col(f"__c{i}.b") * F.exp(-age)).otherwise(F.lit(1e-200))
+        weight = F.when(F.col(f"__c{i}.b").isNotNull(), weight)
+        old = F.col(f"__c{i}.t") / F.col(f"__c{i}.b") * weight
+        top, bottom = (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)) for x, y in ((old, f"__tl{i}"), (weight, f"__bl{i}")))
+        merged[name] = (top / F.nullif(bottom, F.lit(0.0))).alias(name)
+    totals = placed.groupBy(*keys).agg(*sums)
+    left = totals.select(*keys, *states).select(*keys, *carried)
+    here = placed.select("*", *folds)
+    return here.join(left, keys, "left").select(*[F.col(f"`{c}`") for c in df.columns], *merged.values())
 
 
 def _decay(span: int) -> float:

@@ -26,7 +26,8 @@ class Strengths(NamedTuple):
     teams: DataFrame  # team, attack, defense
     home_advantage: float
     rho: float
-    loss: float
+    loss: float  # of the step before the last
+    converged: bool
 
 
 def score_weights(matches: DataFrame, rate: float = 0.0018) -> DataFrame:
@@ -54,8 +55,12 @@ def _rated(weights: DataFrame, teams: DataFrame) -> DataFrame:
     home_log = F.col("home_att") + F.col("away_def") + F.col("advantage")
     away_log = F.col("away_att") + F.col("home_def")
     rated = joined.withColumns({"l": clip(F.exp(home_log), 0.01, 6.0), "m": clip(F.exp(away_log), 0.01, 6.0)})
+    # where expected goals or the correlation are held at a bound, they do not follow the parameters
+    free = {"l": F.exp(home_log).between(0.01, 6.0), "m": F.exp(away_log).between(0.01, 6.0)}
     h, a, lam, mu, rho = (F.col(c) for c in ("home_goals", "away_goals", "l", "m", "rho"))
-    rated = rated.withColumn("tau", F.greatest(low_score_factor(h, a, lam, mu, rho), F.lit(0.001)))
+    factor = low_score_factor(h, a, lam, mu, rho)
+    rated = rated.withColumn("tau", F.greatest(factor, F.lit(0.001)))
+    follows = (factor > 0.001).cast("double")
 
     def cell(i: int, j: int, value: Column) -> Column:
         return F.when((h == i) & (a == j), value).otherwise(0.0)
@@ -66,9 +71,9 @@ def _rated(weights: DataFrame, teams: DataFrame) -> DataFrame:
     chance = F.col("tau") * pmf(h.cast("int"), lam) * pmf(a.cast("int"), mu)
     return rated.withColumns(
         {
-            "home_slope": h - lam + in_home / F.col("tau"),
-            "away_slope": a - mu + in_away / F.col("tau"),
-            "rho_slope": in_rho / F.col("tau"),
+            "home_slope": F.when(free["l"], h - lam + follows * in_home / F.col("tau")).otherwise(0.0),
+            "away_slope": F.when(free["m"], a - mu + follows * in_away / F.col("tau")).otherwise(0.0),
+            "rho_slope": follows * in_rho / F.col("tau"),
             "loss": -F.col("weight") * F.ln(F.greatest(chance, F.lit(1e-10))),
         }
     )
@@ -94,28 +99,43 @@ def _team_step(weights: DataFrame, teams: DataFrame, block: str) -> DataFrame:
 
 
 def _scalar_step(weights: DataFrame, teams: DataFrame) -> DataFrame:
-    """One Newton step of home advantage and correlation, within their bounds."""
+    """One Newton step of home advantage, the common level of attack and correlation, within their bounds.
+
+    Advantage and level pull on the same home goals, so both are solved for at once: away goals set the level.
+    """
     w = F.col("weight")
     totals = _rated(weights, teams).agg(
         F.struct(
-            F.try_divide(F.sum(w * F.col("home_slope")), F.sum(w * F.col("l"))).alias("advantage"),
+            F.try_divide(F.sum(w * F.col("home_slope")), F.sum(w * F.col("l"))).alias("home"),
+            F.sum(w * F.col("away_slope")).alias("away"),
+            F.sum(w * F.col("m")).alias("curve"),
             F.try_divide(F.sum(w * F.col("rho_slope")), F.sum(w * F.pow("rho_slope", F.lit(2)))).alias("rho"),
             F.sum("loss").alias("loss"),
         )
     ).scalar()
-    moves = {n: F.coalesce(totals[n], F.lit(0.0)) for n in ("advantage", "rho")}
+    held = teams.agg(F.struct(F.sum("attack").alias("attack"), F.count(F.lit(1)).alias("n"))).scalar()
+    level = (totals["away"] - 2 * RIDGE * held["attack"]) / (totals["curve"] + 2 * RIDGE * held["n"])
+    level = clip(F.coalesce(level, F.lit(0.0)), -1.0, 1.0)
+    advantage = F.coalesce(totals["home"], F.lit(0.0)) - level
+    rho = F.coalesce(totals["rho"], F.lit(0.0))
     return teams.withColumns(
         {
-            "advantage": clip(F.col("advantage") + moves["advantage"], -0.5, 1.5),
-            "rho": clip(F.col("rho") + moves["rho"], -0.5, 0.5),
-            "scalar_move": F.greatest(F.abs(moves["advantage"]), F.abs(moves["rho"])),
+            "attack": F.col("attack") + level,
+            "advantage": clip(F.col("advantage") + advantage, -0.5, 1.5),
+            "rho": clip(F.col("rho") + rho, -0.5, 0.5),
+            "scalar_move": F.greatest(F.abs(level), F.abs(advantage), F.abs(rho)),
             "loss": totals["loss"],
         }
     )
 
 
 def fit(matches: DataFrame, rate: float = 0.0018, sweeps: int = 30, tolerance: float = 1e-5) -> Strengths:
-    """Strengths, home advantage and correlation; attack and defense are centred after the fit."""
+    """Strengths, home advantage and correlation; attack and defense are centred after the fit.
+
+    Raising every attack and lowering every defense alike changes no expected goals; only the ridge
+    holds that direction, so each sweep sets it by the ridge's own minimum instead of creeping along.
+    ``converged`` tells whether the last sweep's moves were below ``tolerance`` within ``sweeps``.
+    """
     weights = cut(score_weights(matches, rate), "weights")
     names = weights.select(F.col("home_team").alias("team")).union(weights.select("away_team")).distinct()
     start = {"attack": 0.0, "defense": 0.0, "advantage": 0.25, "rho": -0.1}
@@ -124,10 +144,12 @@ def fit(matches: DataFrame, rate: float = 0.0018, sweeps: int = 30, tolerance: f
     for _ in range(sweeps):
         teams = cut(_team_step(weights, teams, "attack"), "attack")
         teams = cut(_team_step(weights, teams, "defense"), "defense")
-        teams = cut(_scalar_step(weights, teams), "strengths")
+        half = teams.agg(((F.avg("defense") - F.avg("attack")) / 2).alias("half")).scalar()
+        level = teams.withColumns({"attack": F.col("attack") + half, "defense": F.col("defense") - half})
+        teams = cut(_scalar_step(weights, level), "strengths")
         last = teams.agg(moves.alias("move"), *[F.first(c).alias(c) for c in ("advantage", "rho", "loss")]).first()
         if last["move"] < tolerance:
             break
     mean = teams.agg(F.struct(F.avg("attack").alias("attack"), F.avg("defense").alias("defense"))).scalar()
     centred = teams.select("team", *[(F.col(c) - mean[c]).alias(c) for c in ("attack", "defense")])
-    return Strengths(centred, last["advantage"], last["rho"], last["loss"])
+    return Strengths(centred, last["advantage"], last["rho"], last["loss"], last["move"] < tolerance)

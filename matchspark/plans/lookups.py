@@ -58,13 +58,13 @@ def manager_features(matches_: DataFrame, snapshots: DataFrame, block=lambda t:
 
 @query(
     "manager_tenure",
-    f"""WITH {PARTICIPANTS_CTE}, s AS (SELECT DISTINCT l_suppkey % 120 AS team, 'M' || CAST(l_linenumber % 3 AS VARCHAR) AS manager, CAST(l_shipdate AS DATE) AS seen FROM lineitem WHERE l_quantity > 40),
+    f"""WITH {PARTICIPANTS_CTE}, s AS (SELECT DISTINCT l_suppkey % 120 AS team, 'M' || CAST(l_linenumber % 3 AS VARCHAR) AS manager, CAST(l_shipdate AS DATE) AS seen FROM lineitem),
     k AS (SELECT *, min(seen) OVER (PARTITION BY team, manager) AS since FROM s QUALIFY row_number() OVER (PARTITION BY team, seen ORDER BY manager DESC) = 1)
     SELECT p.match_id, p.is_home, p.team, k.manager, CAST(p.match_date - k.since AS INT) AS tenure_days, CAST(p.match_date - k.since < 30 AS INT) AS new_manager, CAST(p.match_date - k.since > 365 AS INT) AS experienced_manager
     FROM participants p ASOF LEFT JOIN k ON p.team = k.team AND p.match_date >= k.seen""",
 )
 def manager_tenure(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") > 40)
+    items = table(spark, sf_dir, "lineitem")
     snapshots = items.select(
         (F.col("l_suppkey") % 120).alias("team"), F.concat(F.lit("M"), (F.col("l_linenumber") % 3).cast("string")).alias("manager"), F.to_date("l_shipdate").alias("seen")
     )
@@ -305,7 +305,7 @@ def trailing_avg_priority(spark, sf_dir):
     """WITH names AS (SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT s_name FROM supplier
                       UNION ALL SELECT 'fc ' || lower(n_name) || ' city' FROM nation)),
     targets AS (SELECT DISTINCT target FROM (SELECT lower(p_type) AS target FROM part UNION ALL SELECT n_name FROM nation
-                UNION ALL SELECT s_name FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT p_name || ' united' FROM part WHERE p_size < 20)),
+                UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE reverse(s_name) END FROM supplier UNION ALL SELECT CASE WHEN p_size < 20 THEN p_name || ' united' ELSE reverse(p_name) END FROM part)),
     aliases AS (SELECT p_name AS raw, 'NATION_' || CAST(p_size % 25 AS VARCHAR) AS canonical, min(p_partkey) AS rank FROM part WHERE p_name LIKE '%bolt' GROUP BY 1, 2),
     hits AS (SELECT name, target, 0 AS tier, 0 AS rank FROM names JOIN targets ON name = target
       UNION ALL SELECT name, target, 1, rank FROM names JOIN aliases ON raw = name JOIN targets ON canonical = target
@@ -322,8 +322,8 @@ def fuzzy_names(spark, sf_dir):
     targets = (
         part.select(F.lower("p_type").alias("target"))
         .union(nation.select("n_name"))
-        .union(supplier.filter(F.col("s_suppkey") % 2 == 0).select("s_name"))
-        .union(part.filter(F.col("p_size") < 20).select(F.concat("p_name", F.lit(" united"))))
+        .union(supplier.select(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.reverse("s_name"))))
+        .union(part.select(F.when(F.col("p_size") < 20, F.concat("p_name", F.lit(" united"))).otherwise(F.reverse("p_name"))))
     )
     aliases = (
         part.filter(F.col("p_name").endswith("bolt"))
@@ -346,15 +346,14 @@ def unmapped_names(spark, sf_dir):
 
 @query(
     "full_outer_stats",
-    """WITH c AS (SELECT c_nationkey AS nationkey, count(*) AS accounts, round(sum(c_acctbal), 4) AS balance FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1),
+    """WITH c AS (SELECT c_nationkey AS nationkey, count(*) AS accounts, round(sum(c_acctbal), 4) AS balance FROM customer GROUP BY 1),
     s AS (SELECT s_nationkey AS nationkey, round(sum(s_acctbal), 4) AS balance, count(*) AS suppliers FROM supplier GROUP BY 1),
     n AS (SELECT n_nationkey + 5 AS nationkey, n_name FROM nation)
     SELECT nationkey, c.accounts, c.balance, s.suppliers, n.n_name FROM c FULL JOIN s USING (nationkey) FULL JOIN n USING (nationkey)""",
 )
 def full_outer_stats(spark, sf_dir):
     customers = (
-        table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "MACHINERY")
-        .groupBy(F.col("c_nationkey").alias("nationkey"))
+        table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nationkey"))
         .agg(F.count(F.lit(1)).alias("accounts"), F.round(F.sum("c_acctbal"), 4).alias("balance"))
     )
     suppliers = (

@@ -79,13 +79,13 @@ ODDS = [f"{s}_{k}_5" for k in (1, 2, 3) for s in ("over", "under")]
 
 @query(
     "odds_pages",
-    f"""WITH {MATCHES_CTE} SELECT match_id, CASE WHEN month(match_date) < 6 THEN 1999 ELSE 1998 END * 10000 + month(match_date) * 100 + day(match_date) AS day_number, '18:45' AS time,
+    f"""WITH {MATCHES_CTE} SELECT match_id, CASE WHEN strftime(match_date, '%m-%d') <> '02-29' THEN CASE WHEN month(match_date) < 6 THEN 1999 ELSE 1998 END * 10000 + month(match_date) * 100 + day(match_date) END AS day_number, '18:45' AS time,
       'Home ' || CAST(home_team AS VARCHAR) AS home_team, 'Away ' || CAST(away_team AS VARCHAR) AS away_team, 'England - Premier League' AS league,
       round(over_odds, 2) AS home_odds, 3.4e0 AS draw_odds, round(under_odds, 2) AS away_odds, round(over_odds, 2) AS over_1_5, round(under_odds, 2) AS under_1_5, 1.95e0 AS over_2_5, 1.85e0 AS under_2_5,
-      CAST(NULL AS DOUBLE) AS over_3_5, round(under_odds, 2) AS under_3_5 FROM matches WHERE NOT (month(match_date) = 2 AND day(match_date) = 29)""",
+      CAST(NULL AS DOUBLE) AS over_3_5, round(under_odds, 2) AS under_3_5 FROM matches""",
 )
 def odds_pages(spark, sf_dir):
-    df = matches(spark, sf_dir).filter(~((F.month("match_date") == 2) & (F.dayofmonth("match_date") == 29)))
+    df = matches(spark, sf_dir)
     over, under = (F.coalesce(F.translate(F.format_number(c, 2), ".", ","), F.lit("-")) for c in ("over_odds", "under_odds"))
     page = F.concat_ws(
         "\n", F.lit("Fotball"), F.concat(F.lit("Tir. "), F.date_format("match_date", "dd/MM"), F.lit(" 18:45")),
@@ -126,7 +126,7 @@ def listed_odds(spark, sf_dir):
 
 @query(
     "inline_odds",
-    f"""WITH {MATCHES_CTE} SELECT match_id, 'Home ' || CAST(home_team AS VARCHAR) AS home_team, CASE WHEN match_id % 2 = 0 THEN 'Serie A' END AS league, {", ".join(f"round({s}_odds + {k}, 2) AS {s}_{k}_5" for k in (1, 2, 3) for s in ("over", "under"))} FROM matches""",
+    f"""WITH {MATCHES_CTE} SELECT match_id, 'Home ' || CAST(home_team AS VARCHAR) AS home_team, CASE WHEN match_id % 2 = 0 THEN 'Serie A' END AS league, {", ".join(f"{'coalesce(round(over_odds + 1, 2), 7.77e0)' if (s, k) == ('over', 1) else f'round({s}_odds + {k}, 2)'} AS {s}_{k}_5" for k in (1, 2, 3) for s in ("over", "under"))} FROM matches""",
 )
 def inline_odds(spark, sf_dir):
     parts = [
@@ -139,14 +139,13 @@ def inline_odds(spark, sf_dir):
             parts.append(F.concat(F.lit(f"{side} {k},5 "), price))
     pages = matches(spark, sf_dir).select("match_id", F.concat_ws("\n", *parts).alias("page"))
     found = text.inline_odds(pages, ["match_id"], "page", today())
-    over = F.when(F.col("over_1_5") != 7.77, F.col("over_1_5")).alias("over_1_5")
-    return found.select("match_id", "home_team", "league", over, *ODDS[1:])
+    return found.select("match_id", "home_team", "league", *ODDS)
 
 
 @query(
     "results_prose",
     f"""WITH {MATCHES_CTE} SELECT match_id, CASE WHEN match_id % 3 = 0 THEN 'Sturm' ELSE 'Malmo' END AS home_team, 'Saint-Gilloise' AS away_team, CAST(home_goals AS INT) AS home_goals, CAST(away_goals AS INT) AS away_goals,
-      'Matchday ' || CAST(match_id % 8 + 1 AS VARCHAR) AS round, '2024-' || lpad(CAST(9 + (match_id % 8) // 2 AS VARCHAR), 2, '0') || '-' || CAST(15 + (match_id % 8 + 1) % 2 * 7 AS VARCHAR) AS date FROM matches""",
+      'Matchday ' || CAST(match_id % 8 + 1 AS VARCHAR) AS round, CAST(make_date(2025, 9, 15) + to_months(CAST((match_id % 8) // 2 AS INT)) + to_days(CAST((match_id % 8 + 1) % 2 * 7 AS INT)) AS DATE) AS date FROM matches""",
 )
 def results_prose(spark, sf_dir):
     df = matches(spark, sf_dir)

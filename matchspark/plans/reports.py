@@ -277,14 +277,14 @@ def top_strengths(spark, sf_dir):
 
 @query(
     "set_ops",
-    f"""WITH {MATCHES_CTE}, a AS (SELECT match_id, home_team, over_odds FROM matches WHERE league_code = 'L1'), b AS (SELECT match_id, away_team, under_odds FROM matches WHERE league_code = 'L2'),
+    f"""WITH {MATCHES_CTE}, a AS (SELECT match_id, home_team, over_odds FROM matches WHERE league_code <= 'L2'), b AS (SELECT match_id, away_team, under_odds FROM matches WHERE league_code > 'L2'),
     u AS (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b)
     SELECT match_id, home_team, away_team, round(over_odds, 6) AS over_odds, round(under_odds, 6) AS under_odds FROM u WHERE match_id NOT IN (SELECT match_id FROM matches WHERE season_code = '1996')""",
 )
 def set_ops(spark, sf_dir):
     df = matches(spark, sf_dir)
-    a = df.filter(F.col("league_code") == "L1").select("match_id", "home_team", "over_odds")
-    b = df.filter(F.col("league_code") == "L2").select("match_id", "away_team", "under_odds")
+    a = df.filter(F.col("league_code") <= "L2").select("match_id", "home_team", "over_odds")
+    b = df.filter(F.col("league_code") > "L2").select("match_id", "away_team", "under_odds")
     union = a.unionByName(b, allowMissingColumns=True)
     closed = df.filter(F.col("season_code") == "1996").select("match_id")
     kept = union.join(closed, "match_id", "left_anti")
@@ -293,13 +293,13 @@ def set_ops(spark, sf_dir):
 
 @query(
     "team_sets",
-    f"""WITH {MATCHES_CTE} SELECT team FROM (SELECT home_team AS team FROM matches WHERE league_code = 'L1' UNION SELECT away_team FROM matches WHERE league_code = 'L3')
+    f"""WITH {MATCHES_CTE} SELECT team FROM (SELECT home_team AS team FROM matches WHERE league_code <= 'L2' UNION SELECT away_team FROM matches WHERE league_code > 'L2')
     EXCEPT SELECT c_custkey * 3 FROM customer""",
 )
 def team_sets(spark, sf_dir):
     df = matches(spark, sf_dir)
-    home = df.filter(F.col("league_code") == "L1").select(F.col("home_team").alias("team"))
-    away = df.filter(F.col("league_code") == "L3").select("away_team")
+    home = df.filter(F.col("league_code") <= "L2").select(F.col("home_team").alias("team"))
+    away = df.filter(F.col("league_code") > "L2").select("away_team")
     known = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 3).alias("team"))
     return home.union(away).distinct().join(known, "team", "left_anti")
 

@@ -67,13 +67,13 @@ def _last_value(label: str) -> Column:
     return F.get(F.reverse(found), F.lit(0))["value"]
 
 
-def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column, depth: int = 25) -> DataFrame:
+def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column) -> DataFrame:
     """Odds page: a date-time line opens a match; teams follow, then labels whose value is the next line.
 
     The last value of a label wins; the first league line after the teams is the
-    league. Labels are looked for in the ``depth`` lines from the date on.
+    league. A match ends where the next one opens.
     """
-    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.slice("lines", 4, depth - 3))
+    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.slice("lines", 4, F.greatest(F.size("lines") - 3, F.lit(0))))
 
     def labels(x: Column) -> Column:
         named = [F.when(x == label, name) for name, label in RESULT_LABELS.items()]
@@ -110,12 +110,12 @@ def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column
     )
 
 
-def inline_odds(pages: DataFrame, entity: Sequence[str], text: str, today: Column, depth: int = 20) -> DataFrame:
+def inline_odds(pages: DataFrame, entity: Sequence[str], text: str, today: Column) -> DataFrame:
     """Odds page whose over/under lines carry their own price, e.g. 'Over 2.5 1.75'; the last line of a kind wins.
 
     The fourth line is the league if it holds a league word.
     """
-    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.slice("lines", 1, depth))
+    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.col("lines"))
     columns = {}
     for goal_line in GOAL_LINES:
         priced = F.transform(
@@ -242,7 +242,10 @@ def coded_name(df: DataFrame, column: str, aliases: DataFrame | None) -> DataFra
 
 
 def results_prose(pages: DataFrame, entity: Sequence[str], text: str, season: str = "2025-26") -> DataFrame:
-    """'Team Country | 2–0 | Country Team' lines under 'Matchday n' headings."""
+    """'Team Country | 2–0 | Country Team' lines under 'Matchday n' headings.
+
+    The date is an estimate: two matchdays a month, on the 22nd and the 15th, from September of the season's first year.
+    """
     line = F.col("line")
     day = F.regexp_extract(line, r"(?i)matchday\s*(\d+)", 1).try_cast("int")
     rows = carried(lines(pages, entity, text), entity, {"matchday": day})
@@ -250,8 +253,9 @@ def results_prose(pages: DataFrame, entity: Sequence[str], text: str, season: st
     name = r"[A-Za-zÀ-ÿ\s\-'\.]+"
     record = rf"^.*?({name}?)\s+{country}\s*\|\s*(\d+)\s*[-–]\s*(\d+)\s*\|\s*{country}\s+({name}).*$"
     matchday = F.coalesce("matchday", F.lit(1))
-    month = F.lpad((F.lit(9) + F.floor((matchday - 1) / 2)).cast("string"), 2, "0")
-    approximate = F.concat_ws("-", F.lit("2024"), month, (F.lit(15) + matchday % 2 * 7).cast("string"))
+    first = F.make_date(F.lit(int(season[:4])), F.lit(9), F.lit(15))
+    months = F.floor((matchday - 1) / 2).cast("int")
+    approximate = F.date_add(F.add_months(first, months), matchday % 2 * 7)
     parsed = rows.filter(line.contains("|")).withColumn("__parts", groups_of(line, record, 4))
     parts = F.col("__parts")
     found = parsed.filter(parts.isNotNull()).select(
