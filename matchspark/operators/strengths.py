@@ -142,11 +142,11 @@ def fit(matches: DataFrame, rate: float = 0.0018, sweeps: int = 30, tolerance: f
     teams = cut(names.withColumns({k: F.lit(v) for k, v in start.items()}), "strengths")
     moves = F.greatest(*[F.max(F.abs(f"{m}_move")) for m in ("attack", "defense", "scalar")])
     for _ in range(sweeps):
-        teams = cut(_team_step(weights, teams, "attack"), "attack")
-        teams = cut(_team_step(weights, teams, "defense"), "defense")
+        teams = cut(_team_step(weights, teams, "attack"), "attack", teams)
+        teams = cut(_team_step(weights, teams, "defense"), "defense", teams)
         half = teams.agg(((F.avg("defense") - F.avg("attack")) / 2).alias("half")).scalar()
         level = teams.withColumns({"attack": F.col("attack") + half, "defense": F.col("defense") - half})
-        teams = cut(_scalar_step(weights, level), "strengths")
+        teams = cut(_scalar_step(weights, level), "strengths", teams)
         last = teams.agg(moves.alias("move"), *[F.first(c).alias(c) for c in ("advantage", "rho", "loss")]).first()
         if last["move"] < tolerance:
             break

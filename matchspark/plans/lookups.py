@@ -443,23 +443,28 @@ def _month_key():
     return joins.composite_key(month, (F.col("home_team") % 12).cast("string"), (F.col("away_team") % 12).cast("string"))
 
 
-def xg_joined(spark, sf_dir, dedupe: bool = True) -> DataFrame:
+def xg_joined(spark, sf_dir) -> DataFrame:
     left = matches(spark, sf_dir).withColumn("__key", _month_key())
     right = domestic(spark, sf_dir).withColumn("__key", _month_key())
-    order = [F.col("match_date"), F.col("match_id")] if dedupe else None
+    order = [F.col("match_date"), F.col("match_id")]
     return joins.merge_on_key(left, right, "__key", XG_NAMES, order).drop("__key")
 
 
 @query(
     "composite_key_fan_out",
     f"""WITH {MATCHES_CTE}, {DOMESTIC_CTE},
-    k AS (SELECT *, strftime(date_trunc('month', match_date), '%Y-%m-%d') || '_' || CAST(home_team % 12 AS VARCHAR) || '_' || CAST(away_team % 12 AS VARCHAR) AS k FROM domestic)
+    k AS (SELECT *, strftime(match_date, '%Y-%m-%d') || '_' || CAST(home_team AS VARCHAR) || '_' || CAST(away_team AS VARCHAR) AS k FROM domestic)
     SELECT m.match_id, count(r.k) AS pairs, round(avg(r.home_xg), 6) AS home_xg
-    FROM matches m LEFT JOIN k r ON r.k = strftime(date_trunc('month', m.match_date), '%Y-%m-%d') || '_' || CAST(m.home_team % 12 AS VARCHAR) || '_' || CAST(m.away_team % 12 AS VARCHAR)
+    FROM matches m LEFT JOIN k r ON r.k = strftime(m.match_date, '%Y-%m-%d') || '_' || CAST(m.home_team AS VARCHAR) || '_' || CAST(m.away_team AS VARCHAR)
     GROUP BY m.match_id""",
 )
 def composite_key_fan_out(spark, sf_dir):
-    joined = xg_joined(spark, sf_dir, dedupe=False)
+    """Every match with all expected-goal rows of its date and teams: a key as selective as the matches are many."""
+    left, right = (
+        df.withColumn("__key", joins.composite_key(F.col("match_date"), F.col("home_team").cast("string"), F.col("away_team").cast("string")))
+        for df in (matches(spark, sf_dir), domestic(spark, sf_dir))
+    )
+    joined = joins.merge_on_key(left, right, "__key", XG_NAMES, None).drop("__key")
     return joined.groupBy("match_id").agg(F.count("home_xg").alias("pairs"), F.round(F.avg("home_xg"), 6).alias("home_xg"))
 
 

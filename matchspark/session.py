@@ -45,11 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back with a short lineage.
 
-    Tables stay until the folder is cleared: later reads of the result need them.
+    The table stays for later reads of the result. A loop names the table of its last
+    round as ``replaces``: it is deleted once the new one is complete, if ``cut`` wrote it.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    old = vars(replaces).get("_cut_path") if replaces is not None else None
+    if old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return table

@@ -42,7 +42,8 @@ def write_seasons(df: DataFrame, path: str, current: str) -> None:
     stored = files.optional_table(df.sparkSession, path)
     if stored is not None:
         closed = stored.filter(F.col("season_code") != current).select("league_code", "season_code").distinct()
-        closed = closed.withColumn("season_code", F.col("season_code").cast("string"))
+        # partition values are read as numbers, which lose their leading zeros
+        closed = closed.withColumn("season_code", F.lpad(F.col("season_code").cast("string"), 4, "0"))
         seasoned = cut(seasoned.join(closed, ["league_code", "season_code"], "left_anti"), "seasons")
     write_partitions(seasoned, path, ["league_code", "season_code"])
 

@@ -107,25 +107,18 @@ def test_strengths(spark):
     latest = max(frame.match_date)
     frame["weight"] = [np.exp(-0.0018 * (latest - d).days) for d in frame.match_date]
     # undo the centring along the one direction left open (attack up, defense down changes nothing but the ridge)
-    best = None
-    for shift in np.linspace(-1.5, 1.5, 3001):
-        pass_through = dense_rate_gap(frame, teams, table, fitted, shift)
-        if best is None or abs(pass_through) < abs(best[1]):
-            best = (shift, pass_through)
-    attack = table.attack.to_numpy() + best[0] / 2
-    defense = table.defense.to_numpy() + best[0] / 2
-    gradient = dense_gradient(frame, teams, attack, defense, fitted.home_advantage, fitted.rho)
+    def level(shift):
+        strength = (table.attack.to_numpy() + shift / 2, table.defense.to_numpy() + shift / 2)
+        return *strength, dense_gradient(frame, teams, *strength, fitted.home_advantage, fitted.rho)
+
+    low, high = -1.5, 1.5
+    for _ in range(30):
+        shift = (low + high) / 2
+        low, high = (shift, high) if level(shift)[2][:-2].sum() < 0 else (low, shift)
+    attack, defense, gradient = level(shift)
     assert fitted.converged and np.abs(gradient).max() < 0.05
 
 
-def dense_rate_gap(frame, teams, table, fitted, shift):
-    """Weighted goals minus expected goals when all strengths rise together."""
-    att, dfn = table.attack.to_dict(), table.defense.to_dict()
-    lam = np.exp(frame.home_team.map(att) + frame.away_team.map(dfn) + fitted.home_advantage + shift)
-    mu = np.exp(frame.away_team.map(att) + frame.home_team.map(dfn) + shift)
-    return float((frame.weight * (frame.home_goals + frame.away_goals - lam - mu)).sum())
-
-
 def test_bundle_round_trip(spark, goals, tmp_path):
     df = spark.createDataFrame(goals)
     model = models.goal_regression(df, ["a", "b"], "goals")
