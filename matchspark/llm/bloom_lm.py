@@ -80,18 +80,17 @@ def _middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (1.5 * top - 1) / 2, 0.0)
 
 
-def _probes(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of each key in a filter of the given number of bits."""
-    a, b = _mixed(keys + np.uint64(0x632BE59BD9B4E019)), _mixed(keys ^ np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-    for i in range(PROBES):
-        yield (a + np.uint64(i) * b) % sizes
+def _steps(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and step of each key's places in a filter; probe i is at (start + i * step) modulo the filter's bits."""
+    return _mixed(keys + np.uint64(0x632BE59BD9B4E019)), _mixed(keys ^ np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
 def filter_bits(keys: np.ndarray) -> bytes:
     size = -(-max(64, len(keys) * BITS) // 8) * 8
     bits = np.zeros(size, dtype=bool)
-    for place in _probes(keys, np.uint64(size)):
-        bits[place] = True
+    a, b = _steps(keys)
+    for i in range(PROBES):
+        bits[(a + np.uint64(i) * b) % np.uint64(size)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -114,12 +113,11 @@ class LogFilter(NamedTuple):
             size = sizes[bucket]
             there = size > 0
             alive, own, bucket, size = alive[there], own[there], bucket[there], size[there]
-            place = list(_probes(own, size))
-            hit = np.ones(len(own), dtype=bool)
-            for p in place:
-                p = p + offsets[bucket]
-                hit &= (data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
+            a, b = _steps(own)
+            for i in range(PROBES):
+                p = (a + np.uint64(i) * b) % size + offsets[bucket]
+                hit = (data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                alive, a, b, size, bucket = alive[hit], a[hit], b[hit], size[hit], bucket[hit]
             found[alive] = level
             level += 1
         return found
@@ -267,7 +265,8 @@ def fit(docs: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES, frequen
 def probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """P(token | token before) of all tokens of the texts, one after the other."""
     before, single, pair = _keys(texts)
-    own = model.single.count(single)
+    distinct, place = np.unique(single, return_inverse=True)
+    own = model.single.count(distinct)[place]
     first = before == START
     context = np.empty(len(own))
     context[1:] = own[:-1]
