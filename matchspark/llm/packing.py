@@ -54,7 +54,6 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    slow = Tokenizer.from_file(path)
     added = [t["content"] for t in spec.get("added_tokens", [])]
     # printable stand-ins of the 256 bytes in byte-level vocabularies: printable ones stand for themselves
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,6 +61,11 @@ def encoder(path: str):
     of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     ranks = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
     fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    del spec, ranks
+
+    @functools.lru_cache(maxsize=1)
+    def slow() -> Tokenizer:
+        return Tokenizer.from_file(path)
 
     def encode(text: str) -> list[int]:
         if not any(a in text for a in added):
@@ -69,7 +73,7 @@ def encoder(path: str):
                 return fast.encode_ordinary(text)
             except (ValueError, RuntimeError):
                 pass
-        return slow.encode(text, add_special_tokens=False).ids
+        return slow().encode(text, add_special_tokens=False).ids
 
     return encode
 
