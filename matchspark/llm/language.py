@@ -40,7 +40,7 @@ SLACK = 0.3
 #: … and short texts, whose cosines are lower, below this share of that again for each halving under FULL letters.
 FULL, HALVING = 400, 0.75
 UNKNOWN = "und"
-BATCH_CELLS = 1 << 22
+BATCH_CELLS = 1 << 20
 
 
 class Model(NamedTuple):
@@ -90,11 +90,13 @@ def counts(text: str, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, int]:
 
 def _vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of length one, and the numbers of letters."""
-    found = [counts(t, len(idf)) for t in texts]
-    rows = np.array([c for c, _ in found], dtype=np.float32).reshape(-1, len(idf))
-    rows = np.where(rows > 0, 1 + np.log(np.maximum(rows, 1)), 0).astype(np.float32) * idf
+    rows, letters_of = np.zeros((len(texts), len(idf)), dtype=np.float32), np.zeros(len(texts), np.int64)
+    for at, text in enumerate(texts):
+        found, letters_of[at] = counts(text, len(idf))
+        there = np.flatnonzero(found)
+        rows[at, there] = (1 + np.log(found[there])) * idf[there]
     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-    return rows, np.array([n for _, n in found])
+    return rows, letters_of
 
 
 def _inverse_frequencies(rows: DataFrame) -> np.ndarray:
