@@ -107,8 +107,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How toxic every document is."""
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"), 3, 1))
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id"), 3, 1))
+    model = toxicity.fit(docs, labels)
     found = toxicity.score(docs, model).select(F.col("id").alias("doc_id"), "score")
     flags = {"held_out": held_out(F.col("doc_id"), 3, 1), "predicted": (F.col("score") >= 0.7).cast("int")}
     return found.withColumns(flags)

@@ -7,15 +7,15 @@ which terms are toxic together, such as an insult with a group, and which are
 harmless together, what weights alone cannot say. Features are not scaled by the
 text's length, so a few insults count the same in a long text.
 
-It is fitted by mini-batch AdaGrad on a bounded sample: at most ``SAMPLE``
-labelled texts of each label, those that come first by a hash of their text.
+It is fitted by mini-batch AdaGrad on a bounded sample: the texts of at most
+``SAMPLE`` labels of each kind, those that come first by a hash of their id.
 Places get parameters if at least ``MIN_TEXTS`` sampled texts hold them and the labels
 of these texts differ from the others' by ``MIN_DEVIATIONS`` standard deviations.
 
 Defined results: null is the empty text; texts without a known term have the score
 of the bias; without learning rows every score is 0.5; if all learning rows have one
-label, scores are near it. Rows repeat as given; conflicting labels are all used;
-rows without text or label are not learned from. Other columns play no part.
+label, scores are near it. Rows are scored as given; conflicting labels are all used;
+rows without id, text or label are not learned from, of texts with one id one is. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm.text import slices, text_bytes
@@ -133,28 +133,30 @@ def learn(texts: list[np.ndarray], labels: np.ndarray) -> Model:
     return model._replace(bias=bias)
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn from rows with a label of 0 or 1."""
-    known = rows.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).dropna()
-    known = known.filter(F.col("label").isin(0, 1))
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for value, n in sizes.items():
-        # a tenth more than needed: enough left although the hash only nearly halves and quarters
-        share = F.when(F.col("label") == value, min(1.0, 1.1 * sample / n + 50 / n)).otherwise(share)
-    mark = F.xxhash64("text")
-    sampled = known.filter(F.pmod(mark, F.lit(1_000_000)) / 1_000_000 < share).withColumn("mark", mark)
+def fit(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE
+) -> Model:
+    """Learn from the texts of ``docs`` that ``labels`` marks 0 or 1.
+
+    The sample is drawn from the labels, by a hash of their id, before any text is read: at most
+    2 * ``sample`` ids, which go to every task, so no text is shuffled.
+    """
+    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).dropna()
+    drawn = [known.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    chosen = F.broadcast(drawn[0].union(drawn[1]).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             cells = [places(t).astype("<i4").tobytes() for t in text_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], ["label", "mark", "places"])
-
-    found = sampled.select("label", "mark", "text").mapInArrow(run, "label int, mark long, places binary")
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("mark", "places"))
-    got = found.withColumn("nth", nth).filter(F.col("nth") <= sample).collect()
-    got.sort(key=lambda r: (r["label"], r["mark"], r["places"]))
-    return learn([np.frombuffer(r["places"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got], float))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cells, pa.binary())], ["id", "label", "places"])
+
+    texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
+    rows = texts.join(chosen, "id").select("id", "label", "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    # repeated rows of an id are one text
+    found = rows.mapInArrow(run, f"id {kind}, label int, places binary").groupBy("id", "label").agg(F.min("places").alias("places"))
+    got = sorted((r["label"], r["places"], str(r["id"])) for r in found.collect())
+    return learn([np.frombuffer(p, "<i4").astype(np.int64) for _, p, _ in got], np.array([y for y, _, _ in got], float))
 
 
 def score(docs: DataFrame, model: Model, id: Column | str = "doc_id", text: str = "text") -> DataFrame:

@@ -78,9 +78,10 @@ def test_toxicity_odd_rows(spark):
         [(1, None, None, "s", None), (2, "", "en", "s", None), (None, "you idiot", "en", None, None), (3, "word " * 30000, "x", "s", None)],
         SCHEMA,
     )
-    labelled = docs.withColumn("toxic", docs["doc_id"].isNull().cast("int"))
-    for rows in (labelled, labelled.limit(0)):
-        model = toxicity.fit(rows)
+    labels = spark.createDataFrame([(1, 0), (2, 0), (2, 1), (3, 1), (None, 1), (9, 1), (3, None), (1, 7)], "doc_id long, toxic int")
+    twice = docs.union(docs)
+    for rows, marks in ((docs, labels), (twice, labels), (docs, labels.limit(0)), (docs.limit(0), labels)):
+        model = toxicity.fit(rows, marks)
         scores = toxicity.score(docs, model).collect()
         assert len(scores) == 4 and all(0 <= r["score"] <= 1 for r in scores)
     assert {r["score"] for r in scores} == {0.5}
