@@ -28,6 +28,8 @@ class Strengths(NamedTuple):
     rho: float
     loss: float  # of the step before the last
     converged: bool
+    levels: DataFrame  # as teams, before centring, with advantage and rho
+    weights: DataFrame  # what was fitted: summed weight of each pairing and score
 
 
 def score_weights(matches: DataFrame, rate: float = 0.0018) -> DataFrame:
@@ -152,4 +154,20 @@ def fit(matches: DataFrame, rate: float = 0.0018, sweeps: int = 30, tolerance: f
             break
     mean = teams.agg(F.struct(F.avg("attack").alias("attack"), F.avg("defense").alias("defense"))).scalar()
     centred = teams.select("team", *[(F.col(c) - mean[c]).alias(c) for c in ("attack", "defense")])
-    return Strengths(centred, last["advantage"], last["rho"], last["loss"], last["move"] < tolerance)
+    return Strengths(centred, last["advantage"], last["rho"], last["loss"], last["move"] < tolerance, teams, weights)
+
+
+def expected_for(fitted: Strengths) -> DataFrame:
+    """(team, expected): weighted goals that the fit gives each team, with the ridge's share.
+
+    At the optimum they equal the weighted goals that the team scored.
+    """
+    rated = _rated(fitted.weights, fitted.levels)
+    w = F.col("weight")
+    sides = F.array(
+        F.struct(F.col("home_team").alias("team"), (w * (F.col("home_goals") - F.col("home_slope"))).alias("goals")),
+        F.struct(F.col("away_team").alias("team"), (w * (F.col("away_goals") - F.col("away_slope"))).alias("goals")),
+    )
+    sums = rated.select(F.inline(sides)).groupBy("team").agg(F.sum("goals").alias("goals"))
+    both = sums.join(fitted.levels.select("team", "attack"), "team")
+    return both.select("team", (F.col("goals") + 2 * RIDGE * F.col("attack")).alias("expected"))

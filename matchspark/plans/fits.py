@@ -1,4 +1,9 @@
-"""Queries that fit models: no SQL counterpart, checked against dense solvers in the tests."""
+"""Queries that fit models.
+
+Fits themselves have no SQL; the ``…_balance`` queries return what a right fit must reproduce
+from the data, which SQL computes: totals that the score equations tie to the goals scored.
+The tests also hold the fits against dense solvers.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from matchspark.operators import bankroll, evaluation, models, strengths
 from matchspark.plans import lifecycle
 from matchspark.plans.catalog import query
 from matchspark.plans.series import match_features
-from matchspark.plans.views import matches
+from matchspark.plans.views import MATCHES_CTE, PARTICIPANTS_CTE, matches
 
 VALIDATION, TEST = "1999", "2000"
 
@@ -65,3 +70,52 @@ def gbt_goals(spark, sf_dir):
     seen = stored.filter(F.col("dataset_split") != "test").withColumn("held_out", F.col("dataset_split") == "validation")
     fitted = {s: models.boosted_goals(seen, features, f"{s}_goals", "held_out", rounds=10, depth=4, rate=0.1) for s in ("home", "away")}
     return split_errors(models.predict_goals(stored, fitted["home"], fitted["away"]))
+
+
+PLAYED_CTE = f"""{PARTICIPANTS_CTE}, played AS (
+      SELECT match_id, is_home, season_code, goals_for, row_number() OVER (PARTITION BY team ORDER BY match_date, match_id) - 1 AS before FROM participants),
+    fitted AS (SELECT h.match_id, h.goals_for AS home_goals, a.goals_for AS away_goals, h.season_code FROM played h JOIN played a ON h.match_id = a.match_id AND h.is_home AND NOT a.is_home
+      WHERE h.before >= 5 AND a.before >= 5)"""
+
+
+@query(
+    "glm_balance",
+    f"""WITH {PLAYED_CTE} SELECT side, count(*) AS n, round(avg(goals), 5) AS mean_goals
+    FROM (SELECT 'home' AS side, home_goals AS goals, season_code FROM fitted UNION ALL SELECT 'away', away_goals, season_code FROM fitted)
+    WHERE season_code < '{VALIDATION}' GROUP BY 1""",
+)
+def glm_balance(spark, sf_dir):
+    """Mean prediction on the training rows: the intercept is not penalised, so it equals the mean of the goals."""
+    stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    rows = stored.filter(F.col("dataset_split") == "train")
+    means = []
+    for side in ("home", "away"):
+        scored = models.goal_regression(rows, features, f"{side}_goals").transform(rows)
+        mean = F.round(F.avg(f"{side}_goals_predicted"), 5).alias("mean_goals")
+        means.append(scored.agg(F.count(F.lit(1)).alias("n"), mean).select(F.lit(side).alias("side"), "n", "mean_goals"))
+    return means[0].union(means[1])
+
+
+@query(
+    "isotonic_balance",
+    f"""WITH {PLAYED_CTE} SELECT count(*) AS n, round(avg(CAST(home_goals + away_goals > 2.5 AS INT)), 5) AS mean_over FROM fitted WHERE season_code = '{VALIDATION}'""",
+)
+def isotonic_balance(spark, sf_dir):
+    """Mean calibrated probability on the calibration rows: pooling keeps the share of outcomes."""
+    stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    scored = lifecycle.predict(stored.filter(F.col("dataset_split") == "validation"), lifecycle.train(stored, features))
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cal_over_prob"), 5).alias("mean_over"))
+
+
+@query(
+    "strengths_balance",
+    f"""WITH {MATCHES_CTE}, recent AS (SELECT * FROM matches WHERE match_date >= (SELECT max(match_date) FROM matches) - 1095),
+    w AS (SELECT *, exp(-0.0018e0 * date_diff('day', match_date, max(match_date) OVER ())) AS weight FROM recent)
+    SELECT team, round(sum(weight * goals), 3) AS expected
+    FROM (SELECT home_team AS team, weight, home_goals AS goals FROM w UNION ALL SELECT away_team, weight, away_goals FROM w) GROUP BY 1""",
+)
+def strengths_balance(spark, sf_dir):
+    """Weighted goals the fitted strengths give each team: those it scored."""
+    recent = conform.within_days_of_latest(matches(spark, sf_dir), "match_date", 3 * 365)
+    expected = strengths.expected_for(strengths.fit(recent, tolerance=1e-9))
+    return expected.select("team", F.round("expected", 3).alias("expected"))
