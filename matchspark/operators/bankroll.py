@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.operators import sequences
@@ -27,33 +27,44 @@ def bankroll_path(
     """Stake, profit and bankroll after each trade when a stake is min(wanted, cap * bankroll).
 
     ``trades`` holds ``stake`` (wanted) and ``gain`` (profit per unit staked).
-    Trades are cut into chunks of a portfolio. A chunk entered with at least a
-    known bankroll never meets the cap, so it only adds a fixed sum; just one
-    row per chunk then flows in order through the portfolio's task. A chunk
-    entered below that bankroll is folded trade by trade there. Paths inside
-    the chunks are computed in parallel afterwards. The rule depends on every
-    earlier trade, so this order cannot be split further. Chunks are written to
-    the shared folder, so the ordered pass reads stakes and gains only.
+    Trades are cut into chunks of a portfolio, measured in parallel: what a chunk adds
+    if no stake meets the cap, its highest point, and the least bankroll with which none
+    does. These three numbers a chunk go in order through the portfolio's task. Only
+    from the first chunk on that is entered with less, chunks of that portfolio are
+    folded trade by trade in order, as the rule then depends on every earlier trade.
+    Paths inside the chunks are computed in parallel afterwards.
     """
     numbered = sequences.number(trades, [portfolio], order, block, "__seq")
     row = F.struct("__seq", *[c for c in trades.columns if c != portfolio])
+    measure = F.pandas_udf(_measuring(cap), "total double, top double, need double")
     chunks = cut(
         numbered.groupBy(portfolio, F.floor(F.col("__seq") / chunk).alias("__chunk"))
         .agg(F.array_sort(F.collect_list(row)).alias("__trades"))
         .withColumn("stakes", F.transform("__trades", lambda t: t["stake"].cast("double")))
-        .withColumn("gains", F.transform("__trades", lambda t: t["gain"].cast("double"))),
+        .withColumn("gains", F.transform("__trades", lambda t: t["gain"].cast("double")))
+        .withColumn("measured", measure("stakes", "gains")),
         "chunks",
     )
-    types = dict(trades.dtypes)
-    entered = (
-        chunks.select(portfolio, "__chunk", "stakes", "gains")
+    earlier = Window.partitionBy(portfolio).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    state = chunks.select(portfolio, "__chunk", "measured.*")
+    state = state.withColumn("__bankroll", start + F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
+    highest = F.max(F.col("__bankroll") + F.col("top")).over(earlier)
+    state = state.withColumn("__peak", F.coalesce(highest, F.lit(float("-inf"))))
+    first = F.min(F.struct("__chunk", "__bankroll", "__peak")).alias("__first")
+    capped = state.filter("__bankroll < need").groupBy(portfolio).agg(first)
+    capped = cut(capped.select(F.col(portfolio).alias("__of"), "__first"), "capped")
+    same = F.col(portfolio).eqNullSafe(F.col("__of"))
+    free = state.join(capped, same, "left").filter(F.coalesce(F.col("__chunk") < F.col("__first.__chunk"), F.lit(True)))
+    bound = chunks.join(capped, same).filter(F.col("__chunk") >= F.col("__first.__chunk"))
+    folded = (
+        bound.select(portfolio, "__chunk", "stakes", "gains", "__first.__bankroll", "__first.__peak")
         .repartition(portfolio)
         .sortWithinPartitions(portfolio, "__chunk")
         .mapInPandas(
-            _entering(portfolio, start, cap),
-            f"`{portfolio}` {types[portfolio]}, __chunk bigint, __bankroll double, __peak double",
+            _entering(portfolio, cap), f"`{portfolio}` {dict(trades.dtypes)[portfolio]}, __chunk bigint, __bankroll double, __peak double"
         )
     )
+    entered = free.select(portfolio, "__chunk", "__bankroll", "__peak").unionByName(folded)
     fold = F.pandas_udf(_folding(cap), "stake array<double>, bankroll array<double>, peak array<double>")
     kept = [c for c in trades.columns if c not in (portfolio, "stake")]
     point = F.arrays_zip("__trades", "__path.stake", "__path.bankroll", "__path.peak")
@@ -87,16 +98,32 @@ def _fold_chunk(stakes, gains, bankroll: float, cap: float):
     return taken, after
 
 
-def _entering(portfolio: str, start: float, cap: float):
-    """Bankroll and peak on entering each chunk, streaming over chunks sorted by portfolio and number."""
+def _measuring(cap: float):
+    """Of each chunk: its sum, its highest point and the least bankroll with which no stake meets the cap."""
+
+    def run(stakes: pd.Series, gains: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, g in zip(stakes, gains):
+            flat = np.cumsum(s * g)
+            rows.append((flat[-1], flat.max(), np.max(s / cap - np.concatenate(([0.0], flat[:-1])))))
+        return pd.DataFrame(rows, columns=["total", "top", "need"], dtype=float)
+
+    return run
+
+
+def _entering(portfolio: str, cap: float):
+    """Bankroll and peak on entering each chunk, streaming over chunks sorted by portfolio and number.
+
+    Each row carries the state on entering the portfolio's first row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, bankroll, peak = object(), start, -np.inf
+        current, bankroll, peak = object(), 0.0, 0.0
         for batch in batches:
             out = []
-            for key, stakes, gains in zip(batch[portfolio], batch["stakes"], batch["gains"]):
+            for key, stakes, gains, *entry in zip(*(batch[c] for c in (portfolio, "stakes", "gains", "__bankroll", "__peak"))):
                 if key != current:
-                    current, bankroll, peak = key, start, -np.inf
+                    current, (bankroll, peak) = key, entry
                 out.append((bankroll, peak))
                 after = _fold_chunk(stakes, gains, bankroll, cap)[1]
                 bankroll, peak = after[-1], max(peak, after.max())
