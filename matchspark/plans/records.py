@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchspark.operators import joins
 from matchspark.plans.catalog import query, table
 from matchspark.plans.series import sql_rounded
-from matchspark.plans.views import MATCHES_CTE, matches
+from matchspark.plans.views import MATCHES_CTE, matches, round6
 from matchspark.sources import markup, text
 
 def today():
@@ -284,3 +285,63 @@ def manager_rows(spark, sf_dir):
         F.lit('[3]</td></tr><tr><th>Team manager</th><td>Second</td></tr></table><table><tr><th>Manager</th><td>No</td></tr></table>'),
     )
     return markup.managers(matches(spark, sf_dir).select("match_id", page.alias("page")), "page", ["match_id"])
+
+
+# --- statistics tables of several teams a page
+
+PAGE_ROWS, CELLS = 16, 20
+
+
+def _cell(i: int):
+    return (F.col("match_id") * 31 + i * 7) % 1500
+
+
+def statistics_pages(spark, sf_dir, table: str):
+    """Pages of up to 16 table rows, one for each match; some rows are too short to count."""
+    layout, _ = markup.LAYOUTS[table]
+    kinds = {i: kind for i, kind in layout.values()}
+    cells = []
+    for i in range(1, CELLS):
+        value = F.format_number(_cell(i), 0)
+        cells.append(F.concat(F.lit("<td>"), F.concat(value, F.lit(".5%")) if kinds.get(i) == "double" else value, F.lit("</td>")))
+    short = F.col("match_id") % 9 == 0
+    row = F.concat(F.lit("<tr><th>T"), _text(F.col("match_id")), F.lit("</th>"), F.when(short, F.concat(*cells[:5])).otherwise(F.concat(*cells)), F.lit("</tr>"))
+    rows = matches(spark, sf_dir).select(F.floor(F.col("match_id") / PAGE_ROWS).alias("page"), F.struct("match_id", row.alias("row")).alias("row"))
+    listed = rows.groupBy("page").agg(F.sort_array(F.collect_list("row")).alias("rows"))  # 16 at most
+    body = F.array_join(F.col("rows.row"), "\n")
+    return listed.select("page", F.concat(F.lit("<table><tbody><tr><th>Squad</th></tr>"), body, F.lit("</tbody></table>")).alias("html"))
+
+
+def _statistics_sql(table: str) -> str:
+    layout, _ = markup.LAYOUTS[table]
+    value = {n: f"(match_id * 31 + {i * 7}) % 1500" for n, (i, _) in layout.items()}
+    columns = [
+        f"CAST({value[n]} AS INT) AS {n}" if kind == "int" else f"CAST({value[n]} AS DOUBLE) + 0.5e0 AS {n}" for n, (_, kind) in layout.items()
+    ]
+    if table == "defensive":
+        won, all_ = value["tackles_won"], value["tackles"]
+        columns.append(f"CASE WHEN {all_} > 0 THEN round(({won}) / CAST({all_} AS DOUBLE) * 100, 6) ELSE 0 END AS tackles_won_pct")
+    return f"""WITH {MATCHES_CTE} SELECT match_id // {PAGE_ROWS} AS page, 'T' || CAST(match_id AS VARCHAR) AS team, {", ".join(columns)}
+      FROM matches WHERE match_id % 9 <> 0"""
+
+
+def _statistics_query(table: str):
+    @query(f"{table}_rows", _statistics_sql(table))
+    def rows(spark, sf_dir):
+        found = markup.table_statistics(statistics_pages(spark, sf_dir, table), "html", table, ["page"])
+        return round6(found, "tackles_won_pct") if table == "defensive" else found
+
+    return rows
+
+
+STATISTICS = {table: _statistics_query(table) for table in markup.LAYOUTS}
+
+
+@query(
+    "team_statistics",
+    f"""SELECT page, team, {", ".join(n for layout, _ in markup.LAYOUTS.values() for n in layout)}, tackles_won_pct
+    FROM ({_statistics_sql("possession")}) {" ".join(f"FULL JOIN ({_statistics_sql(t)}) USING (page, team)" for t in ("passing", "defensive", "shooting"))}""",
+)
+def team_statistics(spark, sf_dir):
+    """All statistics tables of a team side by side."""
+    return joins.merge_tables([rows(spark, sf_dir) for rows in STATISTICS.values()], ["page", "team"])

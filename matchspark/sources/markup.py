@@ -164,6 +164,22 @@ POSSESSION = {
 }
 
 
+PASSING = {
+    "passes_completed": (3, "int"), "passes_attempted": (4, "int"), "pass_completion_pct": (5, "double"),
+    "progressive_passes": (16, "int"), "passes_into_final_third": (14, "int"), "passes_into_penalty_area": (15, "int"),
+}
+DEFENSIVE = {
+    "tackles": (2, "int"), "tackles_won": (3, "int"), "tackles_def_3rd": (4, "int"), "tackles_mid_3rd": (5, "int"),
+    "tackles_att_3rd": (6, "int"), "interceptions": (14, "int"), "blocks": (11, "int"), "clearances": (18, "int"),
+}
+SHOOTING = {
+    "goals": (2, "int"), "shots": (3, "int"), "shots_on_target": (4, "int"), "shots_on_target_pct": (5, "double"),
+    "xg": (10, "double"), "npxg": (11, "double"), "xg_per_shot": (13, "double"),
+}
+#: Cells that a row of each table has at least.
+LAYOUTS = {"possession": (POSSESSION, 15), "passing": (PASSING, 20), "defensive": (DEFENSIVE, 20), "shooting": (SHOOTING, 15)}
+
+
 def team_statistics(
     df: DataFrame, html: str, layout: dict[str, tuple[int, str]], keep: Sequence[str] = (), minimum_cells: int = 15
 ) -> DataFrame:
@@ -176,6 +192,15 @@ def team_statistics(
     )
 
 
+def table_statistics(df: DataFrame, html: str, table: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Team rows of one of the ``LAYOUTS``; the defensive one with the share of tackles won."""
+    layout, cells = LAYOUTS[table]
+    found = team_statistics(df, html, layout, keep, cells)
+    if table != "defensive":
+        return found
+    return found.withColumn("tackles_won_pct", won_share(F.col("tackles_won"), F.col("tackles")))
+
+
 def won_share(won: Column, tackles: Column) -> Column:
     """Share won in percent, 0 without any."""
     return F.when(tackles > 0, won / tackles * 100).otherwise(0.0)
