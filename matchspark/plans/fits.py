@@ -7,6 +7,8 @@ The tests also hold the fits against dense solvers.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from matchspark.plans import lifecycle
 from matchspark.plans.catalog import query
 from matchspark.plans.series import match_features
 from matchspark.plans.views import MATCHES_CTE, PARTICIPANTS_CTE, matches
+from matchspark.session import shared_dir
 
 VALIDATION, TEST = "1999", "2000"
 
@@ -119,3 +122,27 @@ def strengths_balance(spark, sf_dir):
     recent = conform.within_days_of_latest(matches(spark, sf_dir), "match_date", 3 * 365)
     expected = strengths.expected_for(strengths.fit(recent, tolerance=1e-9))
     return expected.select("team", F.round("expected", 3).alias("expected"))
+
+
+@query(
+    "score_upcoming",
+    f"""WITH {PLAYED_CTE} SELECT dataset_split, count(*) AS n, count(*) AS priced, CASE WHEN dataset_split = 'train' THEN round(avg(home_goals), 4) END AS mean_home, CASE WHEN dataset_split = 'train' THEN round(avg(away_goals), 4) END AS mean_away
+    FROM (SELECT *, CASE WHEN season_code >= '{TEST}' THEN 'test' WHEN season_code = '{VALIDATION}' THEN 'validation' ELSE 'train' END AS dataset_split FROM fitted) GROUP BY 1""",
+)
+def score_upcoming(spark, sf_dir):
+    """Models, features and calibrator written, read back and applied to every match, with all outcome columns.
+
+    Rows whose outcomes add up to one are counted; on the training rows unclipped predictions average to the goals.
+    """
+    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    lifecycle.save(lifecycle.train(stored, features), path)
+    fitted = lifecycle.load(spark, path)
+    scored = lifecycle.predict_outcomes(stored, fitted)
+    for side in ("home", "away"):
+        model = getattr(fitted, side)
+        scored = model.transform(scored).drop("raw_features", "scaled_features")
+    whole = F.abs(F.col("home_win") + F.col("draw") + F.col("away_win") - 1) < 0.05
+    priced = whole & F.col("cal_over_prob").between(0, 1) & (F.abs(F.col("over_2_5") + F.col("under_2_5") - 1) < 0.05)
+    means = {s: F.when(F.col("dataset_split") == "train", F.round(F.avg(f"{s}_goals_predicted"), 4)).alias(f"mean_{s}") for s in ("home", "away")}
+    return scored.groupBy("dataset_split").agg(F.count(F.lit(1)).alias("n"), F.count_if(priced).alias("priced"), *means.values())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,19 +62,40 @@ def upsert_seasons(
     write_partitions(cut(merged, "upsert"), path, [season])
 
 
-def save_bundle(path: str, models: dict[str, PipelineModel], features: Sequence[str], metrics: DataFrame | None = None) -> None:
-    """Models, feature list and metrics under one folder."""
+def save_bundle(
+    path: str,
+    models: dict[str, PipelineModel],
+    features: Sequence[str],
+    metrics: DataFrame | None = None,
+    calibrator: IsotonicRegressionModel | None = None,
+    strengths: DataFrame | None = None,
+) -> None:
+    """Models, feature list and, where given, metrics, calibrator and team strengths under one folder."""
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")
     spark = SparkSession.active()
     spark.createDataFrame([(i, f) for i, f in enumerate(features)], "place int, feature string").write.mode(
         "overwrite"
     ).parquet(f"{path}/features")
-    if metrics is not None:
-        metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    if calibrator is not None:
+        calibrator.write().overwrite().save(f"{path}/calibrator")
+    for name, table in (("metrics", metrics), ("strengths", strengths)):
+        if table is not None:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_bundle(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[dict[str, PipelineModel], list[str]]:
     models = {n: PipelineModel.load(f"{path}/{n}") for n in names}
     rows = spark.read.parquet(f"{path}/features").orderBy("place").collect()
     return models, [r["feature"] for r in rows]
+
+
+def load_calibrator(spark: SparkSession, path: str) -> IsotonicRegressionModel | None:
+    """The bundle's calibrator, or None if it was saved without."""
+    stored = files.optional_table(spark, f"{path}/calibrator/metadata", "text")
+    return None if stored is None else IsotonicRegressionModel.load(f"{path}/calibrator")
+
+
+def load_strengths(spark: SparkSession, path: str) -> DataFrame | None:
+    """The bundle's team strengths, or None if it was saved without."""
+    return files.optional_table(spark, f"{path}/strengths")

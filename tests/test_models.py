@@ -123,7 +123,15 @@ def test_bundle_round_trip(spark, goals, tmp_path):
     df = spark.createDataFrame(goals)
     model = models.goal_regression(df, ["a", "b"], "goals")
     metrics = df.agg(F.avg("goals").alias("mean"))
-    sinks.save_bundle(str(tmp_path / "bundle"), {"home": model}, ["a", "b"], metrics)
+    hits = df.select((F.col("goals") / 10).alias("p"), (F.col("goals") > 1).cast("int").alias("hit"))
+    curve = models.calibrator(hits, "p", "hit")
+    teams = spark.createDataFrame([("x", 0.1)], "team string, attack double")
+    sinks.save_bundle(str(tmp_path / "bundle"), {"home": model}, ["a", "b"], metrics, curve, teams)
+    again = sinks.load_calibrator(spark, str(tmp_path / "bundle"))
+    assert again.boundaries == curve.boundaries and again.predictions == curve.predictions
+    assert sinks.load_strengths(spark, str(tmp_path / "bundle")).collect() == teams.collect()
+    sinks.save_bundle(str(tmp_path / "bare"), {"home": model}, ["a"])
+    assert sinks.load_calibrator(spark, str(tmp_path / "bare")) is None and sinks.load_strengths(spark, str(tmp_path / "bare")) is None
     loaded, features = sinks.load_bundle(spark, str(tmp_path / "bundle"), ["home"])
     assert features == ["a", "b"]
     a = models.predict_goals(df, model, model).toPandas()
