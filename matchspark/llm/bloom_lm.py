@@ -48,6 +48,8 @@ FREQUENT = 1 << 20
 #: Tokens of learning text for each bucket, and the most buckets.
 BUCKET_TOKENS, MAX_BUCKETS = 1 << 18, 1 << 20
 LEVELS = 48
+#: Bytes of text, or of packed keys, that a worker takes apart at once.
+SLICE = 2 << 20
 
 
 def token_hashes(text: bytes) -> np.ndarray:
@@ -140,7 +142,7 @@ class Model(NamedTuple):
 
 def _token_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             found, n = np.unique(np.concatenate([token_hashes(t) for t in text_bytes(batch.column(0))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -167,7 +169,7 @@ def _filters(rows: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     """(grams, bucket, level, n, total, bits): filters of each bucket and level; n entries that occur total times."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             _, _, keys = _keys([token_hashes(t) for t in text_bytes(batch.column(0))])
             yield _packed(2, *np.unique(keys, return_counts=True), buckets)
 
@@ -197,7 +199,7 @@ def _filters(rows: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             for r in batch.to_pylist():
                 if here != (r["grams"], r["bucket"]):
                     yield from done()
@@ -284,7 +286,7 @@ def score(docs: DataFrame, model: Model, id: Column | str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = shared.value, TaskContext.get().partitionId() << 40
         unit = np.log10(model.tokens + model.types + 1)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE):
             texts = [token_hashes(t) for t in text_bytes(batch.column(1))]
             lengths = np.array([len(t) for t in texts])
             starts = np.cumsum(lengths) - lengths

@@ -28,11 +28,11 @@ def held_out(id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about SLICE_BYTES, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about ``size`` bytes, or one row."""
     for batch in batches:
         if batch.num_rows:
-            step = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+            step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
             for start in range(0, batch.num_rows, step):
                 yield batch.slice(start, step)
 
