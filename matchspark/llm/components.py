@@ -52,7 +52,7 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.select("a", "b").dropna().filter("a <> b").distinct(), "links")
     before = _state(links)
     while before[0]:
-        links = cut(_small_star(_large_star(links)), "stars")
+        links = cut(_small_star(_large_star(links)), "stars", links)
         after = _state(links)
         if after == before:
             break

@@ -96,11 +96,11 @@ def _threads(nodes: DataFrame) -> DataFrame:
     state = nodes.select(
         "node", F.coalesce("up", "node").alias("root"), F.col("up").isNotNull().cast("long").alias("depth")
     )
-    state = cut(state, "threads")
+    state = last = cut(state, "threads")
     while True:
         above = state.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         moved = state.join(above, "root").select("node", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), "more")
-        moved = cut(moved, "threads")
+        moved = last = cut(moved, "threads", last)
         if moved.filter("more > 0").isEmpty():
             return moved.select("node", "root", "depth")
         state = moved.drop("more")
