@@ -8,9 +8,10 @@ counted, folded in each task before it is shuffled, by 64-bit hash.
 *Filter.* A count c is held as the level 1 + floor(log2 c): an n-gram is entered
 in the filters of all levels up to its own. n-grams are dealt to buckets by hash,
 and each bucket builds its own filters of ``BITS`` bits for each entry, so no task
-sees them all. The filters go to every worker. They may take ``MAX_BYTES``; what
-does not fit is left out from the lowest counts of pairs up, and then of tokens:
-such pairs are scored by their second token alone. No text is scored less.
+sees them all. Filters of an order (tokens, then pairs) go to every worker if all of its
+levels fit in what is left of ``MAX_BYTES``. Else they stay where they lie: the distinct keys of
+each part of the texts are sent to their bucket, and the levels found there back to the part.
+Either way every n-gram is probed in all levels, so scores do not depend on what fits.
 
 *Scoring.* The level of an n-gram is found by probing level after level until one
 fails. P(w | u) = (1 - g) * count(u w) / count(u) + g * (count(w) + 1) / (N + V + 1);
@@ -50,6 +51,8 @@ BUCKET_TOKENS, MAX_BUCKETS = 1 << 18, 1 << 20
 LEVELS = 48
 #: Bytes of text, or of packed keys, that a worker takes apart at once.
 SLICE = 2 << 20
+#: Bytes of text whose keys are sent to their buckets together.
+PART = 8 << 20
 
 
 def token_hashes(text: bytes) -> np.ndarray:
@@ -128,6 +131,22 @@ class LogFilter(NamedTuple):
         return _middle(self.level(keys))
 
 
+class Found(NamedTuple):
+    """Levels of the keys of a part of the texts, as their buckets found them."""
+
+    keys: np.ndarray  # sorted; what is not here has level 0
+    levels: np.ndarray
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.levels[at], 0)
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        return _middle(self.level(keys))
+
+
 class Model(NamedTuple):
     tokens: int
     types: int
@@ -138,6 +157,8 @@ class Model(NamedTuple):
     frequent_counts: np.ndarray
     complete: bool  # the frequent tokens are all there are
     counts: DataFrame | None  # (h, n) of all tokens
+    filters: DataFrame | None = None  # filters of the orders that do not go to every worker
+    away: tuple[int, ...] = ()  # those orders
 
 
 def _token_counts(rows: DataFrame) -> DataFrame:
@@ -213,9 +234,9 @@ def _filters(rows: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(build, "grams int, bucket int, level int, n long, total long, bits binary")
 
 
-def _gathered(filters: DataFrame, grams: int, lowest: int, buckets: int) -> LogFilter:
+def _gathered(filters: DataFrame, grams: int, buckets: int) -> LogFilter:
     by_level: dict[int, list] = {}
-    kept = filters.filter((F.col("grams") == grams) & (F.col("level") >= lowest))
+    kept = filters.filter(F.col("grams") == grams)
     for r in kept.select("level", "bucket", "bits").collect():
         by_level.setdefault(r["level"], []).append((r["bucket"], bytes(r["bits"])))
     found = {}
@@ -227,7 +248,7 @@ def _gathered(filters: DataFrame, grams: int, lowest: int, buckets: int) -> LogF
         sizes[own] = lengths
         offsets[own] = np.cumsum(lengths) - lengths
         found[level] = (offsets, sizes, np.frombuffer(b"".join(x for _, x in parts), np.uint8))
-    return LogFilter(buckets, lowest, found)
+    return LogFilter(buckets, 1, found)
 
 
 def fit(docs: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES, frequent: int = FREQUENT) -> Model:
@@ -241,15 +262,14 @@ def fit(docs: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES, frequen
     filters = cut(_filters(rows, counts, buckets), "filters")
     sized = filters.groupBy("grams", "level").agg(F.sum(F.octet_length("bits")).alias("bytes"), F.sum("total").alias("total"))
     stats = {(r["grams"], r["level"]): (r["bytes"], r["total"]) for r in sized.collect()}
-    lowest, left = {}, max_bytes
+    away, left = [], max_bytes
     for grams in (1, 2):  # single tokens first
-        top = max((lv for g, lv in stats if g == grams), default=0)
-        low = top + 1
-        while low > 1 and stats[grams, low - 1][0] <= left:
-            low -= 1
-            left -= stats[grams, low][0]
-        lowest[grams] = low
-    seen = stats.get((2, max(lowest[2], 2)), (0, 0))[1]
+        need = sum(size for (g, _), (size, _) in stats.items() if g == grams)
+        if need > left:
+            away.append(grams)
+        else:
+            left -= need
+    seen = stats.get((2, 2), (0, 0))[1]
     novel = min(max(1 - seen / max(n, 1), 0.05), 0.95)
     spread = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).count().collect()
     room, least = frequent, LEVELS
@@ -260,8 +280,102 @@ def fit(docs: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES, frequen
     top = counts.filter(F.col("n") >= 2**least).toArrow()
     hashes, held = np.asarray(top.column(0)).view(np.uint64), np.asarray(top.column(1))
     order = np.argsort(hashes)
-    single, pair = (_gathered(filters, g, lowest[g], buckets) for g in (1, 2))
-    return Model(n, types, novel, single, pair, hashes[order], held[order], len(order) == types, counts)
+    single, pair = (LogFilter(buckets, 1, {}) if g in away else _gathered(filters, g, buckets) for g in (1, 2))
+    kept = filters.filter(F.col("grams").isin(away)) if away else None
+    return Model(n, types, novel, single, pair, hashes[order], held[order], len(order) == types, counts, kept, tuple(away))
+
+
+def _found_away(rows: DataFrame, model: Model) -> DataFrame:
+    """(part, kind, grams, keys, levels, id, text): the rows with kind 1, and before them the levels of their part's keys with kind 0."""
+    kind = rows.schema["id"].dataType.simpleString()
+    buckets, away = model.single.buckets, model.away
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, room = TaskContext.get().partitionId() << 40, PART
+        for batch in slices(batches, SLICE):
+            if room <= 0:
+                part, room = part + 1, PART
+            room -= batch.nbytes
+            yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int64()), *batch.columns], ["part", "id", "text"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> Iterator[pa.RecordBatch]:
+            for grams, keys in held.items():
+                own = np.unique(np.concatenate(keys))
+                bounds = np.arange(buckets, dtype=np.uint64) << shift if buckets > 1 else np.zeros(1, np.uint64)
+                cuts = [*np.searchsorted(own, bounds), len(own)]
+                out = [(grams, i, here, own[p:q].tobytes()) for i, (p, q) in enumerate(zip(cuts, cuts[1:])) if q > p]
+                columns = list(zip(*out))
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["grams", "bucket", "part", "data"])
+
+        here, held = None, {}
+        for batch in slices(batches, SLICE):
+            parts = np.asarray(batch.column(0))
+            starts = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
+            for a, b in zip(starts, [*starts[1:], len(parts)]):
+                if here != int(parts[a]):
+                    yield from done()
+                    here, held = int(parts[a]), {g: [] for g in away}
+                _, single, pair = _keys([token_hashes(t) for t in text_bytes(batch.column(2).slice(a, b - a))])
+                for g in away:
+                    held[g].append(np.unique(single if g == 1 else pair))
+        yield from done()
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, own = None, LogFilter(1, 1, {})
+        for batch in slices(batches, SLICE):
+            out = []
+            for r in batch.to_pylist():
+                if here != (r["grams"], r["bucket"]):
+                    here, own = (r["grams"], r["bucket"]), LogFilter(1, 1, {})
+                if r["part"] < 0:
+                    bits = np.frombuffer(r["data"], np.uint8)
+                    own.by_level[r["level"]] = np.zeros(1, np.uint64), np.array([8 * len(bits)], np.uint64), bits
+                    continue
+                keys = np.frombuffer(r["data"], np.uint64)
+                level = own.level(keys)
+                there = level > 0
+                out.append((r["part"], r["grams"], keys[there].tobytes(), level[there].astype(np.uint8).tobytes()))
+            if out:
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], ["part", "grams", "keys", "levels"])
+
+    parts = cut(rows.mapInArrow(dealt, f"part long, id {kind}, text string"), "parts")
+    keys = parts.mapInArrow(sent, "grams int, bucket int, part long, data binary").withColumn("level", F.lit(0))
+    held = model.filters.select("grams", "bucket", F.lit(-1).cast("long").alias("part"), F.col("bits").alias("data"), "level")
+    by_bucket = keys.unionByName(held).repartition("grams", "bucket").sortWithinPartitions("grams", "bucket", "part", "level")
+    found = by_bucket.mapInArrow(probed, "part long, grams int, keys binary, levels binary")
+    empty = {c: F.lit(None).cast(t) for c, t in (("grams", "int"), ("keys", "binary"), ("levels", "binary"))}
+    asked = found.select("part", F.lit(0).alias("kind"), "grams", "keys", "levels", F.lit(None).cast(kind).alias("id"), F.lit(None).cast("string").alias("text"))
+    texts = parts.withColumns({"kind": F.lit(1), **empty}).select(*asked.columns)
+    return asked.unionAll(texts).repartition("part").sortWithinPartitions("part", "kind")
+
+
+def _with_models(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[Model, pa.RecordBatch]]:
+    """Batches (id, text) with the model that knows the levels of their keys, from the rows of :func:`_found_away`."""
+    here, keys, found, own = None, {}, {}, None
+    for batch in slices(batches, SLICE):
+        parts, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        starts = np.flatnonzero(np.concatenate(([True], (parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1]))))
+        for a, b in zip(starts, [*starts[1:], len(parts)]):
+            piece = batch.slice(a, b - a)
+            if here != int(parts[a]):
+                here, own, keys, found = int(parts[a]), None, {g: [] for g in model.away}, {g: [] for g in model.away}
+            if kinds[a] == 0:
+                for g, k, v in zip(*(piece.column(i).to_pylist() for i in (2, 3, 4))):
+                    keys[g].append(k)
+                    found[g].append(v)
+                continue
+            if own is None:
+                looked = {}
+                for g in model.away:
+                    k, v = np.frombuffer(b"".join(keys[g]), np.uint64), np.frombuffer(b"".join(found[g]), np.uint8)
+                    order = np.argsort(k)
+                    looked["single" if g == 1 else "pair"] = Found(k[order], v[order].astype(np.int64))
+                own = model._replace(**looked)
+            yield own, pa.RecordBatch.from_arrays([piece.column(5), piece.column(6)], ["id", "text"])
 
 
 def probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -281,12 +395,13 @@ def probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, id: Column | str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of each row; scores are log10."""
-    shared = docs.sparkSession.sparkContext.broadcast(model._replace(counts=None))  # bounded by MAX_BYTES and FREQUENT
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(counts=None, filters=None))  # bounded by MAX_BYTES and FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = shared.value, TaskContext.get().partitionId() << 40
+        pieces = _with_models(batches, model) if model.away else ((model, b) for b in slices(batches, SLICE))
         unit = np.log10(model.tokens + model.types + 1)
-        for batch in slices(batches, SLICE):
+        for model, batch in pieces:
             texts = [token_hashes(t) for t in text_bytes(batch.column(1))]
             lengths = np.array([len(t) for t in texts])
             starts = np.cumsum(lengths) - lengths
@@ -310,6 +425,8 @@ def score(docs: DataFrame, model: Model, id: Column | str = "doc_id", text: str
     key = F.col(id) if isinstance(id, str) else id
     rows = docs.select(key.alias("id"), F.col(text).cast("string").alias("text"))
     kind = f"id {rows.schema['id'].dataType.simpleString()}"
+    if model.away:
+        rows = _found_away(rows, model)
     scored = rows.mapInArrow(run, f"{kind}, row long, n_tokens long, n_known long, base double, score double, rest array<long>")
     if not model.complete:
         scored = cut(scored, "scores")

@@ -76,3 +76,18 @@ def test_probabilities_are_nearly_normalised(spark):
     after = [np.array([bloom_lm.token_hashes(b"w7")[0], bloom_lm.token_hashes(w.encode())[0]]) for w in words]
     total = bloom_lm.probabilities(model, after)[1::2].sum()
     assert 0.6 < total < 1.5
+
+
+@pytest.mark.parametrize("kept", [0, 1])
+def test_scores_do_not_depend_on_what_fits(spark, documents, monkeypatch, kept):
+    """With no room, or room for single tokens only, every n-gram is still probed in all levels."""
+    monkeypatch.setattr(bloom_lm, "BUCKET_TOKENS", 1 << 12)
+    monkeypatch.setattr(bloom_lm, "PART", 1 << 14)
+    monkeypatch.setattr(bloom_lm, "SLICE", 1 << 13)
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, "")], "doc_id long, text string"))
+    whole = bloom_lm.fit(documents)
+    singles = sum(len(data) for _, _, data in whole.single.by_level.values())
+    part = bloom_lm.fit(documents, max_bytes=kept * singles)
+    assert part.away == ((2,) if kept else (1, 2)) and part.novel == whole.novel and whole.single.buckets > 1
+    want, got = (sorted((str(r["id"]), r["n_tokens"], round(r["score"], 6)) for r in bloom_lm.score(docs, m).collect()) for m in (whole, part))
+    assert got == want
