@@ -9,9 +9,9 @@ takes the language of the centroid of the largest cosine. A text farther from
 it than any plausible text of the language is rejected.
 
 Document frequencies count all learning rows, in one distributed pass. The
-centroids are fitted on a bounded sample: the ``SAMPLE`` learning rows of each
+centroids are fitted on a bounded sample: the ``SAMPLE`` distinct texts of each
 language, at most ``SAMPLE_ALL`` in all, that come first by a hash of the text;
-texts of fewer than ``SHORT`` letters are left out of it.
+texts of fewer than ``SHORT`` letters fill it up where there are not enough others.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and rejected; without any learning row all texts are. Equal cosines go to the
@@ -137,17 +137,23 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", centroids: int
     """Learn from the rows whose text and language are not null."""
     known = rows.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
     idf = _inverse_frequencies(known)
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    is_long = F.length(F.regexp_replace("text", r"\P{L}+", "")) >= SHORT
+    hashed = known.filter(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("place"), is_long.alias("long"))
+    n = F.approx_count_distinct("place", 0.05).alias("n")
+    # distinct texts of each language, long and short ones; copies count once
+    distinct = {(r["lang"], r["long"]): r["n"] for r in hashed.groupBy("lang", "long").agg(n).collect()}
+    sizes = {r["lang"] for r in known.select("lang").distinct().collect()}
     each = max(1, min(SAMPLE, SAMPLE_ALL // max(len(sizes), 1)))
-    # three times as many as needed, so that enough are left after the short ones; the rest is cut on arrival
+    # twice as many as needed, so that enough come whatever the estimate is off; the rest is cut on arrival
     share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, min(1.0, 3 * each / n)).otherwise(share)
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    sampled = known.filter(place < share)
-    long_enough = F.length(F.regexp_replace("text", r"\P{L}+", "")) >= SHORT
-    sampled = sampled.filter(long_enough).select("lang", F.xxhash64("text").alias("place"), "text").distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    for name, long in distinct:
+        enough = not long and distinct.get((name, True), 0) >= 2 * each
+        part = 0.0 if enough else min(1.0, 2 * each / max(distinct[name, long], 1))
+        share = F.when((F.col("lang") == name) & (F.col("long") == long), part).otherwise(share)
+    at = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
+    sampled = known.withColumn("long", is_long).filter(at < share).select("lang", "long", F.xxhash64("text").alias("place"), "text")
+    sampled = sampled.filter(F.col("text").rlike(r"\p{L}")).distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("long"), "place", "text"))
     sampled = sampled.withColumn("nth", nth).filter(F.col("nth") <= each).select("lang", "place", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

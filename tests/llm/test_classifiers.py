@@ -51,6 +51,22 @@ def test_language_odd_rows(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_is_full_whatever_copies_and_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 50)
+    seen = {}
+    clustered = language._clustered
+    monkeypatch.setattr(language, "_clustered", lambda rows, k, rounds: seen.setdefault(len(seen), len(rows)) and clustered(rows, k, rounds))
+    letter = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [("der hund und die katze gingen über den berg und sahen das tal", "de")] * 30000
+    rows += [(f"der hund {letter(i)} und die katze gingen über den berg und sahen das tal", "de") for i in range(300)]
+    rows += [("kurz", "de")] * 5000 + [(f"the cat {letter(i)}", "en") for i in range(300)] + [("12 34", "xx")]
+    docs = spark.createDataFrame([(i, t, x, None, None) for i, (t, x) in enumerate(rows)], SCHEMA)
+    model = language.fit(docs)
+    assert list(seen.values()) == [50, 50]
+    found = language.identify(spark.createDataFrame([(1, "the cat abc"), (2, "der hund und die katze")], "doc_id long, text string"), model)
+    assert {r["id"]: r["lang"] for r in found.collect()} == {1: "en", 2: "de"}
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
