@@ -53,18 +53,48 @@ def boosted_goals(
     depth: int = 5,
     rate: float = 0.05,
     seed: int = 42,
+    patience: int = 50,
     **settings,
 ) -> PipelineModel:
-    """Gradient-boosted trees, stopped early on the rows flagged by ``validation``. The loss is squared error."""
+    """Gradient-boosted trees up to the best round on the rows flagged by ``validation``. The loss is squared error.
+
+    Rounds go on until ``patience`` of them bring nothing better. Spark stops at the first small gain and cannot
+    resume, so the fit is repeated with twice the rounds until that is seen; equal seeds give equal first trees.
+    """
     trees = GBTRegressor(
-        featuresCol="raw_features", labelCol=label, predictionCol=f"{label}_predicted", maxIter=rounds, maxDepth=depth,
-        stepSize=rate, validationIndicatorCol=validation, subsamplingRate=settings.pop("subsample", 0.8),
+        featuresCol="raw_features", labelCol=label, predictionCol=f"{label}_predicted", maxDepth=depth,
+        stepSize=rate, subsamplingRate=settings.pop("subsample", 0.8),
         featureSubsetStrategy=settings.pop("columns", "0.8"), minInstancesPerNode=settings.pop("leaf", 20), seed=seed,
         **settings,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw_features"), trees]).fit(
-        train_and_validation
-    )
+    assembler = VectorAssembler(inputCols=list(features), outputCol="raw_features")
+    rows = assembler.transform(train_and_validation).select("raw_features", label, validation).persist()
+    train, held = rows.filter(~F.col(validation)), rows.filter(F.col(validation))
+    tried = min(rounds, 2 * patience)
+    model = trees.fit(train, {trees.maxIter: tried})
+    best = tried
+    if not held.isEmpty():
+        while True:
+            best = best_round(model.evaluateEachIteration(held, "squared"), patience)
+            if tried - best >= patience or tried == rounds:
+                break
+            tried = min(rounds, 2 * tried)
+            model = trees.fit(train, {trees.maxIter: tried})
+    if best < tried:
+        model = trees.fit(train, {trees.maxIter: best})
+    rows.unpersist()
+    return PipelineModel([assembler, model])
+
+
+def best_round(errors: Sequence[float], patience: int) -> int:
+    """The round of the least error, counted from 1, before ``patience`` rounds in a row bring nothing better."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
 
 
 def importances(model: PipelineModel, features: Sequence[str], top: int = 20) -> DataFrame:

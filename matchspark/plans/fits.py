@@ -71,7 +71,7 @@ def strengths_fit(spark, sf_dir):
 def gbt_goals(spark, sf_dir):
     stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
     seen = stored.filter(F.col("dataset_split") != "test").withColumn("held_out", F.col("dataset_split") == "validation")
-    fitted = {s: models.boosted_goals(seen, features, f"{s}_goals", "held_out", rounds=10, depth=4, rate=0.1) for s in ("home", "away")}
+    fitted = {s: models.boosted_goals(seen, features, f"{s}_goals", "held_out", rounds=500, depth=6, rate=0.05) for s in ("home", "away")}
     return split_errors(models.predict_goals(stored, fitted["home"], fitted["away"]))
 
 

@@ -146,3 +146,11 @@ def test_boosted_goals(spark, goals):
     assert ((scored.goals_predicted - scored.goals) ** 2).mean() < scored.goals.var()
     top = models.importances(model, ["a", "b"]).collect()
     assert sum(r.importance for r in top) == pytest.approx(1.0)
+
+
+def test_boosting_goes_on_past_rounds_that_bring_nothing(spark, goals):
+    errors = [5, 4, 4.5, 4.4, 3, 3.5, 3.4, 3.3, 1]
+    assert models.best_round(errors, 3) == 5 and models.best_round(errors, 2) == 2 and models.best_round(errors, 50) == 9
+    df = spark.range(300).selectExpr("double(id % 7) AS a", "double((id % 7) * (id % 7)) AS y", "id % 5 = 0 AS held")
+    model = models.boosted_goals(df, ["a"], "y", "held", rounds=20, depth=2, rate=0.02, patience=3)
+    assert model.stages[-1].getNumTrees == 20  # gains under a hundredth of the error do not end it
