@@ -12,6 +12,7 @@ from matchspark.llm import (
     language,
     licenses,
     packing,
+    periodic_runs,
     quotes,
     simhash,
     toxicity,
@@ -183,3 +184,42 @@ def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = wrappers.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents, a tenth of which are given a stretch of one period up to their end.
+
+    h is the crc32 of the id as text and g = floor(h / 10); where 10 divides h, the words from
+    a = g % n on are replaced by repeats of the first p = 1 + floor((n - a) / (3 + g % 8)) of them.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    chosen = docs.filter(h % 10 == 0).select("doc_id", words.alias("words"), F.floor(h / 10).cast("long").alias("g"))
+    n = F.size("words").cast("long")
+    placed = chosen.withColumns({"n": n, "a": F.when(n > 0, F.col("g") % n).otherwise(0)})
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    rest = F.col("n") - F.col("a")
+    period = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    times = F.ceil(rest / F.col("p")).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), rest.cast("int"))
+    changed = F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), repeated)
+    text = F.when(F.col("n") > 0, F.array_join(changed, " ")).otherwise(F.lit(""))
+    others = docs.filter((h % 10 != 0) | h.isNull()).select("doc_id", "text")
+    return placed.select("doc_id", text.alias("text")).unionAll(others)
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, and a digest of its words without their repeats."""
+    found = periodic_runs.collapse(with_periods(documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("id", "runs", "collapsed", longest.alias("best"), F.array_join(line, "").alias("lines"))
+    best = F.col("best").getField
+    start, period = -best("col2"), -best("col3")
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"), best("length").alias("length"), period.alias("period"),
+        F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +62,25 @@ BROADCAST_ROWS = 500_000
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a written table if it was counted to be small; else leave the join to shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words between ASCII white space of each text, null being empty.
+
+    Returns a number for each word of all texts, equal for equal words; the place of each text's
+    first word, then the number of words in all; and the distinct words by their number.
+    """
+    split = pc.ascii_split_whitespace(column.cast(pa.large_binary()).fill_null(b"").cast(pa.large_string()))
+    ends = np.asarray(split.offsets).astype(np.int64)
+    flat = split.values.slice(ends[0], ends[-1] - ends[0])
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))  # white space at an end leaves an empty piece
+    starts = np.concatenate(([0], np.cumsum(full)))[ends - ends[0]]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    return np.asarray(coded.indices).astype(np.int64), starts, coded.dictionary
+
+
+def weighed(df: DataFrame, bytes: Column, most: int) -> DataFrame:
+    """Broadcast a written table if its rows, ``bytes`` each, are measured to be small; else leave the join to shuffle."""
+    return F.broadcast(df) if (df.agg(F.sum(bytes)).first()[0] or 0) <= most else df
