@@ -15,6 +15,7 @@ from matchspark.llm import (
     periodic_runs,
     quotes,
     simhash,
+    substring_dedup,
     toxicity,
     wrappers,
 )
@@ -223,3 +224,30 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div -best.col3").alias("exponent_milli"),
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    sql="""
+    with words as (
+      select doc_id, row_number() over () as row, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+      from documents
+    ), place as (
+      select doc_id, row, w, unnest(range(1, len(w) - 11)) as i from words
+    ), win as (
+      select doc_id, row, i, array_to_string(w[i : i + 12], ' ') as said from place
+    ), least as (
+      select said, min(doc_id) as first from win group by said
+    ), gone as (
+      select distinct row, unnest(range(i, i + 13)) as i from win join least using (said) where first < doc_id
+    ), away as (
+      select row, list(i) as gone from gone group by row
+    )
+    select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+      sha256(array_to_string(list_filter(w, lambda x, i: not list_contains(coalesce(gone, []), i)), ' ')) as kept_sha256
+    from words left join away using (row)
+    """
+)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that windows of earlier documents repeat."""
+    found = substring_dedup.dedup(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
