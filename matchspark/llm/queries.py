@@ -15,11 +15,12 @@ from matchspark.llm import (
     periodic_runs,
     quotes,
     simhash,
+    spelling,
     substring_dedup,
     toxicity,
     wrappers,
 )
-from matchspark.llm.text import held_out
+from matchspark.llm.text import ascii_lower, held_out
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -251,3 +252,69 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words that windows of earlier documents repeat."""
     found = substring_dedup.dedup(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Letters of a word, least letters and occurrences of a word, and of how many crc32s one is a slip.
+LETTERS, LEAST_LETTERS, LEAST_TIMES, SLIPS = "[A-Za-zÀ-ÿ]+", 6, 5, 199
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(word, n): runs of letters in lower case, of which one in ``SLIPS`` loses a letter, that are long and frequent enough."""
+    runs = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(LETTERS), F.lit(0))
+    long = docs.select("doc_id", F.explode(runs).alias("run")).filter(F.char_length("run") >= LEAST_LETTERS)
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run"))
+    at = (h % F.char_length("run")).cast("int")
+    less = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    word = F.when(h % SLIPS == 0, less).otherwise(F.col("run")).alias("word")
+    return long.select(word).filter(F.char_length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_TIMES)
+
+
+@query(
+    sql=f"""
+    with recursive tab as (
+      select list(c order by i) as t from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from range(256) r(i)
+      )
+    ), runs as (
+      select doc_id, run, count(*) as times
+      from (select doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[A-Za-zÀ-ÿ]+')) as run from documents)
+      where length(run) >= 6 group by all
+    ), bytes as (
+      select run, times, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs
+    ), hashed as (
+      select run, times, xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+      )) as h
+      from bytes, tab
+    ), slipped as (
+      select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times
+      from hashed
+    ), words as (
+      select word, sum(times)::bigint as n from slipped where length(word) >= 6 group by word having sum(times) >= 5
+    ), less as (
+      select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(0, length(word))) as i from words)
+    ), near as (
+      select a.word, b.word as other, b.n as other_n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+      union
+      select less.word, words.word, words.n from less join words on rest = words.word
+      union
+      select words.word, less.word, less.n from less join words on rest = words.word
+    ), best as (
+      select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word
+    ), forms as (
+      select words.word, n, coalesce(n_near, 0) as n_near,
+        case when other_n >= 5 * n then other end as form, case when other_n >= 5 * n then other_n end as form_n
+      from words left join best using (word)
+    ), path as (
+      select word, word as spot, form as next from forms
+      union all
+      select path.word, forms.word, forms.form from path join forms on forms.word = path.next
+    )
+    select forms.word, n, n_near, forms.form, form_n, spot as root from forms join path on path.word = forms.word and path.next is null
+    """
+)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the spelling that it most likely stands for."""
+    return spelling.variants(counted_words(documents(spark, sf_dir)))
