@@ -72,7 +72,7 @@ class Words:
 def _planes(x: np.ndarray) -> bytes:
     """Differences of neighbours, bytes of equal weight together: what a shuffle's compression makes small."""
     x = np.diff(x, prepend=x[:1] * 0)
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
 def _unplaned(parts: list[bytes], kind: type) -> np.ndarray:
