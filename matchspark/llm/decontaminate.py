@@ -13,7 +13,9 @@ against, fewer where the document ends.
 2. *SimHash.* Each distinct window and each item gets a 64-bit SimHash.
 3. *Multi-index.* Fingerprints are cut into ``radius + 1`` blocks; two within the
    radius agree in one block at least, so equality joins on blocks, among windows
-   and items of one size, find all of them.
+   and items of one size, find all of them. The window that counts for an item starts
+   with one of its shingles, so the first shingle is part of the key: blocks of three bits alone
+   would bring every window together with every item.
 4. *Verification.* The exact similarity of the weighted shingles (sum of the
    smaller over sum of the larger multiplicities) decides.
 
@@ -31,10 +33,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchspark.llm.text import fresh, sized
+from matchspark.llm.text import fresh, sized, weighed
 from matchspark.session import cut
 
 WORDS, THRESHOLD, RADIUS = 5, 0.8, 20
+#: Most bytes of benchmark shingles that are sent to every task.
+BROADCAST_BYTES = 24 << 20
 
 
 def words(text: Column) -> Column:
@@ -67,13 +71,11 @@ def _hashes(n: int) -> Column:
     return F.transform(full, lambda run: F.xxhash64(*[run.getField(str(i)) for i in range(n)]))
 
 
-def _occurrences(hashes: Column) -> Column:
-    """Hashes of shingle and occurrence number: set intersection of these is multiset intersection."""
-    def seen(i: Column) -> Column:
-        own = F.get(hashes, i - 1)
-        return F.xxhash64(own, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == own)))
-
-    return F.when(F.size(hashes) > 0, F.transform(F.sequence(F.lit(1), F.size(hashes)), seen))
+def _occurrences(sets: DataFrame, key: str) -> DataFrame:
+    """(key, coded): hashes of shingle and occurrence number: set intersection of these is multiset intersection."""
+    counted = sets.select(key, F.explode("hashes").alias("h")).groupBy(key, "h").agg(F.count(F.lit(1)).alias("n"))
+    coded = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64("h", i))
+    return counted.select(key, coded.alias("part")).groupBy(key).agg(F.flatten(F.collect_list("part")).alias("coded"))
 
 
 def _fingerprints(sets: DataFrame, key: str) -> DataFrame:
@@ -107,7 +109,7 @@ def _indexed(table: DataFrame, radius: int) -> DataFrame:
 def _windows(docs: DataFrame, sets: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, mark, pos, size): windows that hold enough benchmark shingles to be similar to an item."""
     known = sets.select("size", F.explode("hashes").alias("h")).groupBy("h").agg(F.collect_set("size").alias("sizes"))
-    known = sized(cut(known, "shingles"))
+    known = weighed(cut(known, "shingles"), 32 + 4 * F.size("sizes"), BROADCAST_BYTES)
     hits = cut(_shingles(docs, n, ["id", "mark"]).join(known, "h").distinct(), "hits")
     order = Window.partitionBy("id", "mark").orderBy("pos")
     hits = cut(hits.select("id", "mark", "pos", "sizes", F.row_number().over(order).alias("nth")), "ranked")
@@ -161,13 +163,14 @@ def _matches(rows: DataFrame, items: DataFrame, n: int, threshold: float, radius
     distinct = windows.dropDuplicates(["window"]).select("window", "size", "hashes")
     distinct = cut(distinct.join(_fingerprints(distinct, "window"), "window"), "window-prints")
     prints = sets.join(_fingerprints(sets, "row"), "row")
-    left = _indexed(distinct.select("window", "size", "fp"), radius)
-    right = _indexed(prints.select("row", "size", F.col("fp").alias("fp2"), "fp"), radius).drop("fp")
+    left = _indexed(distinct.select("window", "size", F.get("hashes", F.lit(0)).alias("first"), "fp"), radius)
+    heads = prints.select("row", "size", F.explode(F.array_distinct("hashes")).alias("first"), F.col("fp").alias("fp2"), "fp")
+    right = _indexed(heads, radius).drop("fp")
     apart = F.col("fp").bitwiseXOR(F.col("fp2"))
-    first = F.coalesce(*[F.when(_block(apart, *b) == 0, F.lit(i)) for i, b in enumerate(_blocks(radius))])
-    pairs = left.join(right, ["size", "block", "value"]).filter((F.bit_count(apart) <= radius) & (F.col("block") == first))
-    coded = distinct.select("window", _occurrences(F.col("hashes")).alias("a"))
-    items_coded = prints.select("row", "item", "size", _occurrences(F.col("hashes")).alias("b"))
+    least = F.coalesce(*[F.when(_block(apart, *b) == 0, F.lit(i)) for i, b in enumerate(_blocks(radius))])
+    pairs = left.join(right, ["size", "first", "block", "value"]).filter((F.bit_count(apart) <= radius) & (F.col("block") == least))
+    coded = _occurrences(distinct, "window").withColumnRenamed("coded", "a")
+    items_coded = sets.select("row", "item", "size").join(_occurrences(sets, "row"), "row").withColumnRenamed("coded", "b")
     both = pairs.select("window", "row").join(coded, "window").join(items_coded, "row")
     shared = F.size(F.array_intersect("a", "b"))
     similarity = shared / (F.size("a") + F.size("b") - shared)

@@ -74,3 +74,29 @@ def test_edits_short_items_and_odd_rows(spark):
     assert decontaminate.matches(left.limit(0), right).count() == 0
     assert decontaminate.matches(left, right.limit(0)).count() == 0
     assert decontaminate.keep(left, right.limit(0)).count() == len(docs)
+
+
+def test_many_items_of_one_size(spark, tmp_path):
+    """Windows meet the items that hold their first shingle, not all items of their size."""
+    import random
+
+    rng = random.Random(1)
+    items = [(i, " ".join(f"v{rng.randrange(4000)}" for _ in range(24))) for i in range(1000)]
+    docs = []
+    for i in range(400):
+        words = items[rng.randrange(1000)][1].split()
+        if i % 3 == 0:
+            words[rng.randrange(24)] = "changed"
+        docs.append((i, " ".join(["before", *words, "after"]) if i % 4 else " ".join(f"v{rng.randrange(4000)}" for _ in range(60))))
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert as_dict(decontaminate.matches(left, right).collect()) == brute(docs, items)
+
+
+def test_repeats_within_an_item_count(spark):
+    """Multiplicities: an item of one word many times, and one of thousands of equal shingles."""
+    items = [(1, "again " * 40), (2, "again " * 3000 + "and more of it")]
+    docs = [(1, "again " * 38), (2, "again " * 30), (3, "again " * 3000), (4, "again " * 2000)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert as_dict(decontaminate.matches(left, right).collect()) == {
+        (d, i): pytest.approx(s) for d, i, s in [(1, 1, 34 / 36), (3, 1, 1.0), (4, 1, 1.0), (3, 2, 2996 / 3000)]
+    }
