@@ -35,10 +35,17 @@ from matchspark.session import cut
 
 #: Positions in one block of the numbering.
 BLOCK = 256
-#: Ends of attribution lines in the languages the corpus has. Fixed values.
+#: Ends of attribution lines, and beginnings of those that go over several lines, in the languages the corpus has. Fixed values.
 WROTE = ("wrote", "writes", "schrieb", "escribió", "a écrit")
-_ATTRIBUTION = r"(?m)^((?:> ?)*)[^\n>]{0,200}(?:" + "|".join(WROTE) + r") ?:[ \t]*\n(?=\1 ?>)"
-_PREFIX = r"^(?:[ \t]*>)+"
+OPENERS = ("On", "At", "In", "Am", "El", "Le")
+_LEVEL, _HERE = r"((?:[> \t]*>)?)", r"(?![ \t]*>)"
+#: Does not end as a sentence does, so it may go on.
+_OPEN_END = r"(?<![.!?:; \t])[ \t]*\n"
+_LAST = "(?:" + "|".join(WROTE) + r") ?:[ \t]*\n(?=\1[ \t]*>)"
+_WRAPPED = rf"(?:[ \t]*(?:{'|'.join(OPENERS)})\b[^\n]*{_OPEN_END}\1{_HERE}(?:[^\n]*{_OPEN_END}\1{_HERE})?)"
+#: A heading of up to three lines, or a line and the word alone on the next, right above a deeper quote.
+_ATTRIBUTION = rf"(?m)^{_LEVEL}{_HERE}(?:{_WRAPPED}?[^\n]*{_LAST}|[^\n]*{_OPEN_END}\1[ \t]*{_LAST})"
+_PREFIX = r"^[ \t>]*>"
 KEY = ["conv", "pos", "mark"]
 
 
@@ -62,7 +69,7 @@ def _passages(rows: DataFrame) -> DataFrame:
     lines = rows.select(*KEY, F.posexplode(F.split(bare(F.col("text")), "\n")).alias("n", "line"))
     quoted = F.regexp_extract("line", _PREFIX, 0)
     level = F.length(F.regexp_replace(quoted, "[^>]", "")).alias("level")
-    lines = lines.select(*KEY, "n", level, _normal(F.expr("substring(line, length(regexp_extract(line, '^(?:[ \\\\t]*>)+', 0)) + 1)")).alias("said"))
+    lines = lines.select(*KEY, "n", level, _normal(F.expr("substring(line, length(regexp_extract(line, '^[ \\\\t>]*>', 0)) + 1)")).alias("said"))
     lines = lines.filter(F.col("said") != "")
     # bounded by the message, which is one row
     whole = lines.groupBy(*KEY, "level").agg(F.sort_array(F.collect_list(F.struct("n", "said"))).alias("all"))

@@ -66,3 +66,33 @@ def test_odd_rows(spark):
     assert by[1, 2, "u"]["body"] == by[1, 3, "u"]["body"] == ""
     assert by[3, 1, "u"]["parent"] == 0
     assert quotes.conversations(table.limit(0)).count() == 0
+
+
+HEADINGS = [
+    "On Mon, 1 Jan 2024, Bob Smith <bob@x.org> wrote:",
+    "On Mon, 1 Jan 2024 at 10:00, Bob Smith\n<bob@x.org> wrote:",
+    "On Mon, 1 Jan 2024 at 10:00,\nBob Smith of the Department\n<bob@x.org> wrote:",
+    "Am 1. Januar 2024 um 10:00 schrieb Bob <bob@x.org>\nschrieb:",
+    "Bob Smith <bob@x.org>\nwrote:",
+    "Le lun. 1 janv. 2024, Bob " + "Smith " * 90 + "<bob@x.org> a écrit :",
+    "El lun, 1 ene 2024, Bob escribió:",
+    "Bob wrote:",
+]
+
+
+def test_headings_go_whole(spark):
+    mail = []
+    for i, h in enumerate(HEADINGS):
+        quoted = "\n".join(f"> {line}" for line in h.split("\n"))
+        mail.append((i, f"Before.\n{h}\n> said\nAfter."))
+        mail.append((100 + i, f"{h}\n> mine\n{quoted}\n>> said\n> yours\nAfter."))
+    mail.append((200, "On Sunday we met.\nBob wrote:\n> said\nAfter."))
+    mail.append((201, "She wrote:\nno quote here"))
+    mail.append((202, "> " * 30_000 + "deep\nAfter."))
+    table = spark.createDataFrame(mail, "id long, text string")
+    found = {r["id"]: (r["body"], r["bare"]) for r in table.select("id", quotes.own_text("text").alias("body"), quotes.bare("text").alias("bare")).collect()}
+    for i in range(len(HEADINGS)):
+        assert found[i] == ("Before.\nAfter.", "Before.\n> said\nAfter."), HEADINGS[i]
+        assert found[100 + i] == ("After.", "> mine\n>> said\n> yours\nAfter."), HEADINGS[i]
+    assert found[200][0] == "On Sunday we met.\nAfter."
+    assert found[201][0] == "She wrote:\nno quote here" and found[202][0] == "After."
