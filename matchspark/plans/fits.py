@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions import conform
-from matchspark.operators import bankroll, evaluation, models, strengths
+from matchspark.functions.poisson import clip
+from matchspark.operators import bankroll, boosting, evaluation, models, strengths
 from matchspark.plans import lifecycle
 from matchspark.plans.catalog import query
 from matchspark.plans.series import match_features
@@ -69,10 +70,57 @@ def strengths_fit(spark, sf_dir):
 
 @query("gbt_goals")
 def gbt_goals(spark, sf_dir):
+    """Boosted Poisson trees, stopped by the validation season: errors of each split."""
     stored, features = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
     seen = stored.filter(F.col("dataset_split") != "test").withColumn("held_out", F.col("dataset_split") == "validation")
-    fitted = {s: models.boosted_goals(seen, features, f"{s}_goals", "held_out", rounds=500, depth=6, rate=0.05) for s in ("home", "away")}
-    return split_errors(models.predict_goals(stored, fitted["home"], fitted["away"]))
+    home, away = boosting.fit(seen, features, ["home_goals", "away_goals"], "held_out")
+    expected = {f"pred_{side}": clip(boosting.expected(m), 0.1, 5.0) for side, m in (("home", home), ("away", away))}
+    return split_errors(stored.withColumns(expected))
+
+
+STUMP_FEATURES = ["over_odds", "under_odds", "month", "day"]
+STUMP_LEAF = 20
+
+
+def stump_rounds(rounds: int) -> str:
+    """CTEs of boosting rounds of one split, by trying every value of every feature as a cut."""
+    parts = [f"""{MATCHES_CTE}, side AS (SELECT match_id, match_date, over_odds, under_odds, 'home_goals' AS label, home_goals AS y FROM matches
+      UNION ALL SELECT match_id, match_date, over_odds, under_odds, 'away_goals', away_goals FROM matches),
+    score0 AS (SELECT label, match_id, y, ln(avg(y) OVER (PARTITION BY label)) AS s FROM side),
+    cell AS (SELECT label, match_id, unnest(['over_odds', 'under_odds', 'month', 'day']) AS feature, unnest([0, 1, 2, 3]) AS nth,
+      unnest([over_odds, under_odds, month(match_date)::DOUBLE, day(match_date)::DOUBLE]) AS x FROM side)"""]
+    soft = "(sign({0}) * greatest(abs({0}) - 0.1e0, 0)) ** 2 / ({1} + 1)"
+    value = "0.05e0 * greatest(least(-sign({0}) * greatest(abs({0}) - 0.1e0, 0) / ({1} + 1), 0.7e0), -0.7e0)"
+    for r in range(rounds):
+        parts.append(f"""slope{r} AS (SELECT label, match_id, exp(s) - y AS g, exp(s) AS h FROM score{r}),
+    total{r} AS (SELECT label, sum(g) AS gt, sum(h) AS ht, count(*) AS nt FROM slope{r} GROUP BY 1),
+    bin{r} AS (SELECT label, feature, nth, x, sum(g) AS g, sum(h) AS h, count(*) AS n FROM cell JOIN slope{r} USING (label, match_id) GROUP BY ALL),
+    left{r} AS (SELECT label, feature, nth, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl FROM bin{r}
+      WINDOW w AS (PARTITION BY label, feature ORDER BY x NULLS FIRST)),
+    best{r} AS (SELECT * FROM (SELECT *, 0.5e0 * ({soft.format('gl', 'hl')} + {soft.format('(gt - gl)', '(ht - hl)')} - {soft.format('gt', 'ht')}) AS gain
+      FROM left{r} JOIN total{r} USING (label) WHERE nl >= {STUMP_LEAF} AND nt - nl >= {STUMP_LEAF})
+      WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY gain DESC, nth, x NULLS FIRST) = 1),
+    leaf{r} AS (SELECT label, 0 AS node, feature, x AS threshold, {value.format('gt', 'ht')} AS value, gain, nt AS n FROM best{r}
+      UNION ALL SELECT label, 1, NULL, NULL, {value.format('gl', 'hl')}, 0, nl FROM best{r}
+      UNION ALL SELECT label, 2, NULL, NULL, {value.format('(gt - gl)', '(ht - hl)')}, 0, nt - nl FROM best{r}),
+    score{r + 1} AS (SELECT label, match_id, y, s + leaf{r}.value AS s FROM score{r} JOIN best{r} USING (label) JOIN cell USING (label, match_id, feature)
+      JOIN leaf{r} ON leaf{r}.label = score{r}.label AND leaf{r}.node = CASE WHEN cell.x IS NULL OR cell.x <= best{r}.x THEN 1 ELSE 2 END)""")
+    return ", ".join(parts)
+
+
+@query(
+    "gbt_stumps",
+    f"WITH {stump_rounds(3)} " + " UNION ALL ".join(
+        f"SELECT label, {r} AS tree, node, feature, threshold, round(value, 7) AS value, round(gain, 5) AS gain, n::BIGINT AS n FROM leaf{r}" for r in range(3)
+    ),
+)
+def gbt_stumps(spark, sf_dir):
+    """Three rounds of one split on all matches: every split, gain and leaf value."""
+    days = {"month": F.month("match_date"), "day": F.dayofmonth("match_date")}
+    rows = matches(spark, sf_dir).withColumns(days)
+    settings = boosting.Settings(rounds=3, depth=1, leaf=STUMP_LEAF, subsample=1.0, columns=1.0, bins=128)
+    found = boosting.nodes(spark, boosting.fit(rows, STUMP_FEATURES, ["home_goals", "away_goals"], settings=settings))
+    return found.withColumns({"value": F.round("value", 7), "gain": F.round("gain", 5)})
 
 
 PLAYED_CTE = f"""{PARTICIPANTS_CTE}, played AS (
