@@ -1,4 +1,9 @@
-"""Bankroll recursion over ordered trades, its summary, and portfolio allocation."""
+"""Bankroll recursion over ordered trades, its summary, and portfolio allocation.
+
+What a chunk of trades does to the bankroll it is entered with is an increasing piecewise linear
+function: its slope changes where a trade's stake begins to meet the cap. Chunks are taken apart in
+parallel; what goes in order through a portfolio's task is at most ``POINTS`` points of each chunk's function.
+"""
 
 from __future__ import annotations
 
@@ -26,13 +31,12 @@ def bankroll_path(
 ) -> DataFrame:
     """Stake, profit and bankroll after each trade when a stake is min(wanted, cap * bankroll).
 
-    ``trades`` holds ``stake`` (wanted) and ``gain`` (profit per unit staked).
+    ``trades`` holds ``stake`` (wanted) and ``gain`` (profit per unit staked, -1 or more; ``cap`` is at most 1).
     Trades are cut into chunks of a portfolio, measured in parallel: what a chunk adds
     if no stake meets the cap, its highest point, and the least bankroll with which none
-    does. These three numbers a chunk go in order through the portfolio's task. Only
-    from the first chunk on that is entered with less, chunks of that portfolio are
-    folded trade by trade in order, as the rule then depends on every earlier trade.
-    Paths inside the chunks are computed in parallel afterwards.
+    does. These three numbers a chunk go in order through the portfolio's task. From
+    the first chunk on that is entered with less, the chunks' functions are composed, see
+    :func:`_entered`. Paths inside the chunks are computed in parallel afterwards.
     """
     numbered = sequences.number(trades, [portfolio], order, block, "__seq")
     row = F.struct("__seq", *[c for c in trades.columns if c != portfolio])
@@ -56,16 +60,19 @@ def bankroll_path(
     same = F.col(portfolio).eqNullSafe(F.col("__of"))
     free = state.join(capped, same, "left").filter(F.coalesce(F.col("__chunk") < F.col("__first.__chunk"), F.lit(True)))
     bound = chunks.join(capped, same).filter(F.col("__chunk") >= F.col("__first.__chunk"))
-    folded = (
-        bound.select(portfolio, "__chunk", "stakes", "gains", "__first.__bankroll", "__first.__peak")
-        .repartition(portfolio)
-        .sortWithinPartitions(portfolio, "__chunk")
-        .mapInPandas(
-            _entering(portfolio, cap), f"`{portfolio}` {dict(trades.dtypes)[portfolio]}, __chunk bigint, __bankroll double, __peak double"
-        )
-    )
-    entered = free.select(portfolio, "__chunk", "__bankroll", "__peak").unionByName(folded)
     fold = F.pandas_udf(_folding(cap), "stake array<double>, bankroll array<double>, peak array<double>")
+    if not capped.isEmpty():
+        entered = _entered(bound.select(portfolio, "__chunk", "stakes", "gains", "measured", "__first"), portfolio, cap)
+        inside = fold("stakes", "gains", "__bankroll", F.lit(float("-inf")))
+        tops = cut(
+            entered.withColumn("__path", inside).select(
+                portfolio, "__chunk", "__bankroll", F.col("__first.__peak").alias("__peak"), F.element_at("__path.peak", -1).alias("__top")
+            ),
+            "tops",
+        )
+        peak = F.greatest("__peak", F.coalesce(F.max("__top").over(earlier), F.lit(float("-inf"))))
+        free = free.select(portfolio, "__chunk", "__bankroll", "__peak").unionByName(tops.withColumn("__peak", peak).drop("__top"))
+    entered = free.select(portfolio, "__chunk", "__bankroll", "__peak")
     kept = [c for c in trades.columns if c not in (portfolio, "stake")]
     point = F.arrays_zip("__trades", "__path.stake", "__path.bankroll", "__path.peak")
     return (
@@ -111,24 +118,102 @@ def _measuring(cap: float):
     return run
 
 
-def _entering(portfolio: str, cap: float):
-    """Bankroll and peak on entering each chunk, streaming over chunks sorted by portfolio and number.
+def _entered(bound: DataFrame, portfolio: str, cap: float) -> DataFrame:
+    """Adds ``__bankroll``, the bankroll each chunk is entered with; the first of a portfolio is known.
 
-    Each row carries the state on entering the portfolio's first row.
+    Each round, every chunk tells in parallel how it maps the range it may be entered with: all pieces if
+    they are few, else the values at ``POINTS`` even places. One row a chunk then goes in order through the
+    portfolio's task, which narrows the ranges. They end as points, since a range is cut ``POINTS``-fold
+    each round and a narrow one has few pieces.
     """
+    known = F.col("__chunk") == F.col("__first.__chunk")
+    low, high = F.when(known, F.col("__first.__bankroll")), F.when(known, F.col("__first.__bankroll"))
+    ranges = bound.select(
+        portfolio, "__chunk", F.coalesce(low, F.lit(0.0)).alias("low"), F.coalesce(high, F.lit(float("inf"))).alias("high")
+    )
+    ranges = cut(ranges, "ranges")
+    mapped = F.pandas_udf(_mapping(cap), "x array<double>, y array<double>, exact boolean")
+    kind = dict(bound.dtypes)[portfolio]
+    keyed = bound.withColumnsRenamed({portfolio: "__own", "__chunk": "__at"})
+    same = F.col(portfolio).eqNullSafe(F.col("__own")) & (F.col("__chunk") == F.col("__at"))
+    while True:
+        told = ranges.join(keyed, same).select(
+            portfolio, "__chunk", "low", "high", "measured.need", "measured.total",
+            mapped("stakes", "gains", "low", F.least("high", F.greatest("low", "measured.need"))).alias("map"),
+        )
+        narrowed = (
+            told.repartition(portfolio)
+            .sortWithinPartitions(portfolio, "__chunk")
+            .mapInPandas(_narrowing(portfolio), f"`{portfolio}` {kind}, __chunk bigint, low double, high double")
+        )
+        ranges = cut(narrowed, "ranges", ranges)
+        if ranges.filter("low < high").isEmpty():
+            break
+    return ranges.join(keyed, same).withColumn("__bankroll", F.col("low")).drop("__own", "__at", "low", "high")
+
+
+#: Most points of a chunk's function that are told in a round.
+POINTS = 64
+
+
+def _pieces(stakes, gains, low: float, high: float, cap: float):
+    """Ends of the pieces of a chunk's function between two bankrolls, or None if there are more than ``POINTS``."""
+    x = y = np.unique([low, high]).astype(float)
+    for stake, gain in zip(stakes, gains):
+        bend = stake / cap
+        if y[0] < bend < y[-1]:
+            i = int(np.searchsorted(y, bend))
+            if y[i] != bend:
+                if len(y) >= POINTS:
+                    return None
+                at = x[i - 1] + (bend - y[i - 1]) * (x[i] - x[i - 1]) / (y[i] - y[i - 1])
+                x, y = np.insert(x, i, at), np.insert(y, i, bend)
+        y = y + np.minimum(stake, cap * y) * gain
+    return x, y
+
+
+def _mapping(cap: float):
+    def run(stakes: pd.Series, gains: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, g, low, high in zip(stakes, gains, lows, highs):
+            found = _pieces(s, g, low, high, cap)
+            if found is None:
+                x = y = np.linspace(low, high, POINTS)
+                for stake, gain in zip(s, g):
+                    y = y + np.minimum(stake, cap * y) * gain
+                rows.append((x, y, False))
+            else:
+                rows.append((*found, True))
+        return pd.DataFrame(rows, columns=["x", "y", "exact"])
+
+    return run
+
+
+def _narrowing(portfolio: str):
+    """Ranges of the bankroll on entering each chunk, streaming over chunks sorted by portfolio and number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, bankroll, peak = object(), 0.0, 0.0
+        current, low, high = object(), 0.0, 0.0
         for batch in batches:
             out = []
-            for key, stakes, gains, *entry in zip(*(batch[c] for c in (portfolio, "stakes", "gains", "__bankroll", "__peak"))):
+            for key, first, last, need, total, told in zip(*(batch[c] for c in (portfolio, "low", "high", "need", "total", "map"))):
                 if key != current:
-                    current, (bankroll, peak) = key, entry
-                out.append((bankroll, peak))
-                after = _fold_chunk(stakes, gains, bankroll, cap)[1]
-                bankroll, peak = after[-1], max(peak, after.max())
-            states = pd.DataFrame(out, columns=["__bankroll", "__peak"], dtype=float)
-            yield pd.concat([batch[[portfolio, "__chunk"]].reset_index(drop=True), states], axis=1)
+                    current, low, high = key, first, last
+                low, high = max(low, first), min(high, last)
+                low, high = min(low, high), max(low, high)
+                out.append((low, high))
+                x, y, exact = np.asarray(told["x"]), np.asarray(told["y"]), told["exact"]
+
+                def after(b: float, side: str) -> float:
+                    if b >= need:
+                        return b + total
+                    if exact:
+                        return float(np.interp(b, x, y))
+                    i = np.searchsorted(x, b, side="right") - 1 if side == "low" else np.searchsorted(x, b, side="left")
+                    return float(y[min(max(i, 0), len(y) - 1)])
+
+                low, high = after(low, "low"), after(high, "high")
+            yield pd.concat([batch[[portfolio, "__chunk"]].reset_index(drop=True), pd.DataFrame(out, columns=["low", "high"], dtype=float)], axis=1)
 
     return run
 

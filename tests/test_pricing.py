@@ -124,6 +124,39 @@ def test_bankroll_path(spark, chunk, start):
     assert capped > 0 or start > 1000
 
 
+def test_capped_book_over_many_chunks(spark):
+    """Stakes on both sides of the cap all along: ranges are narrowed over rounds, chunk by chunk."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    frame = pd.DataFrame({"book": np.where(np.arange(n) % 3, "a", "b"), "day": np.arange(n) // 50, "id": np.arange(n)})
+    frame["stake"] = rng.uniform(20, 220, n)
+    frame["gain"] = np.where(rng.random(n) < 0.5, rng.uniform(0.8, 1.2, n), -1.0)
+    frame["won"] = frame.gain > 0
+    path = bankroll.bankroll_path(spark.createDataFrame(frame), "book", ["day", "id"], F.col("day"), start=1200.0, chunk=500)
+    got = path.toPandas().sort_values(["book", "trade"])
+    for book, trades in frame.groupby("book"):
+        money, expected, capped = 1200.0, [], 0
+        for stake, gain in zip(trades.stake, trades.gain):
+            capped += stake > 0.1 * money
+            money += min(stake, 0.1 * money) * gain
+            expected.append(money)
+        assert 0 < capped < len(trades)
+        mine = got[got.book == book]
+        np.testing.assert_allclose(mine.bankroll_after, expected, rtol=1e-9)
+        peak = np.maximum.accumulate(expected)
+        np.testing.assert_allclose(mine.drawdown, (np.array(expected) - peak) / peak, atol=1e-9)
+
+
+def test_pieces_of_a_chunk_are_its_function():
+    rng = np.random.default_rng(3)
+    stakes, gains = rng.uniform(1, 100, 40), np.where(rng.random(40) < 0.5, 0.9, -1.0)
+    x, y = bankroll._pieces(stakes, gains, 0.0, 3000.0, 0.1)
+    assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all() and 2 < len(x) <= 42
+    for b in rng.uniform(0, 3000, 300):
+        assert np.interp(b, x, y) == pytest.approx(bankroll._fold_chunk(stakes, gains, b, 0.1)[1][-1])
+    assert bankroll._pieces(rng.uniform(1, 100, 500), np.full(500, 0.01), 0.0, 3000.0, 0.1) is None
+
+
 def test_allocation(spark):
     bets = spark.createDataFrame(
         [("p", 0.02, 0.5, 2.2), ("p", 0.03, 0.4, 3.0), ("q", 0.0, 0.2, 2.0)],
