@@ -9,13 +9,14 @@ starts in a document with a smaller id; windows are judged on the input.
    an aligned anchor, as ``PERIOD - 1 + GRAM = WINDOW``. Hashes are dealt to buckets, which say which
    places hold an anchor that stands somewhere else too. Five bytes of a hash are kept there:
    a false hit only costs work.
-2. *Extension.* Windows that hold such an anchor are hashed whole, with 128 bits, and dealt to
+2. *Extension.* Windows that hold such an anchor are hashed whole, with 96 bits beside the bucket's, and dealt to
    buckets, which say which of them also stand in a document with a smaller id.
 3. The words of those windows go, whole texts in hand.
 
 What a slice of texts holds more than once is settled there, and sent to a bucket once: a passage that a
-third of all documents share is one key for each slice. Only hashes and places are shuffled;
-a text moves only with the answers for its document, and only if those are too many to be broadcast.
+third of all documents share is one key for each slice. Buckets are asked with hashes and places; texts
+move to the answers for their document, once after each step. There are as many buckets, and as many parts of
+the documents that answers go to, as the texts need for each to be small.
 
 Defined results: a null or empty text has no words; a null id is neither smaller nor larger than
 another, so its row stays as it is and takes nothing away; rows of the same id take nothing from
@@ -34,15 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchspark.llm.text import slices, text_bytes, weighed, word_codes
+from matchspark.llm.text import slices, text_bytes, word_codes
 from matchspark.session import cut
 
 WINDOW = 13
 GRAM, PERIOD, COVER = 7, 7, (0, 1, 3)
 #: Bytes of text whose hashes meet in one bucket, and whose words are held as numbers at once.
-BUCKET_BYTES, SLICE = 32 << 20, 4 << 20
-#: Most bytes of answers that are broadcast.
-BROADCAST_BYTES = 24 << 20
+BUCKET_BYTES, SLICE = 16 << 20, 2 << 20
 FACTORS = np.random.default_rng(13).integers(0, 2**63, (2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -87,7 +86,6 @@ def _joined(parts: list[bytes], width: int) -> np.ndarray:
 
 #: Keys to look up with the rows and places that ask, keys known to answer all others, and settled rows and places.
 ASKED = "bucket int, keys binary, ids binary, tags binary, places binary, known binary, done_ids binary, done_tags binary, done_places binary"
-ANSWER = "id long, tag long, places array<int>"
 
 
 def _cut_by(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> list[list[np.ndarray]]:
@@ -109,28 +107,34 @@ def _batch(buckets: int, asked: list, known: list, done: list) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names)
 
 
-def _answers(ids: np.ndarray, tags: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+def _gathered(table: pa.Table) -> pa.Table:
     """A row for each id and tag with all its places."""
+    ids, tags, places = (_unplaned(table.column(c).to_pylist(), k) for c, k in (("ids", np.int64), ("tags", np.int64), ("places", np.int32)))
     order = np.lexsort((places, tags, ids))
     ids, tags, places = ids[order], tags[order], places[order]
     new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])))[: len(ids)]
     ends = np.append(np.flatnonzero(new), len(ids))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[new]), pa.array(tags[new]), lists], ["id", "tag", "places"])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places))
+    return pa.table([pa.array(ids[new]), pa.array(tags[new]), lists], ["id", "tag", "places"])
 
 
-def _settled(asked: DataFrame, wins: Callable, width: int) -> DataFrame:
-    """Ask the buckets. ``wins(keys, ids, known)`` tells which of the keys are answered yes."""
+def _settled(asked: DataFrame, wins: Callable, width: int, buckets: int) -> DataFrame:
+    """(id, tag, places): what the buckets answer yes to. ``wins(keys, ids, known)`` tells which of the keys are."""
 
     def run(table: pa.Table) -> pa.Table:
         column = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
-        ids, tags, places = (_unplaned(column[c], k) for c, k in (("ids", np.int64), ("tags", np.int64), ("places", np.int32)))
-        yes = wins(_joined(column["keys"], width), ids, _joined(column["known"], width))
-        done = (_unplaned(column[f"done_{c}"], k) for c, k in (("ids", np.int64), ("tags", np.int64), ("places", np.int32)))
-        return pa.Table.from_batches([_answers(*(np.concatenate([a[yes], b]) for a, b in zip((ids, tags, places), done)))])
+        asking, done = ([_unplaned(column[f"{d}{c}"], k) for c, k in (("ids", np.int64), ("tags", np.int64), ("places", np.int32))] for d in ("", "done_"))
+        yes = wins(_joined(column["keys"], width), asking[0], _joined(column["known"], width))
+        where = [np.concatenate([a[yes], b]) for a, b in zip(asking, done)]
+        order = np.lexsort(where[::-1])
+        part = (_mixed(where[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        parts = _cut_by(part[order], buckets, *(w[order] for w in where))
+        rows = [(i, *map(_planes, p)) for i, p in enumerate(parts) if len(p[0])]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["part", "ids", "tags", "places"])
 
-    found = asked.groupBy("bucket").applyInArrow(run, ANSWER)
-    return found.groupBy("id", "tag").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = asked.groupBy("bucket").applyInArrow(run, "part int, ids binary, tags binary, places binary")
+    return found.groupBy("part").applyInArrow(_gathered, "id long, tag long, places array<int>")
 
 
 def _anchors(rows: DataFrame, buckets: int) -> DataFrame:
@@ -168,7 +172,11 @@ def _anchors(rows: DataFrame, buckets: int) -> DataFrame:
         yes[order] = (same[1:] | same[:-1])[: len(again)]
         return yes[: len(keys)]
 
-    return _settled(rows.select("id", "text").mapInArrow(run, ASKED), wins, 5)
+    return _settled(rows.select("id", "text").mapInArrow(run, ASKED), wins, 5, buckets)
+
+
+#: Bytes of a window's two hashes that its bucket sees.
+_KEPT = np.array([0, 1, 2, 3, 8, 9, 10, 11, 12, 13, 14, 15])
 
 
 def _windows(rows: DataFrame, buckets: int) -> DataFrame:
@@ -196,7 +204,7 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
             high, low, doc, start = high[new], low[new], doc[new], start[new]
             least = ids[doc][np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]]
             more = ids[doc] > least[group] if len(group) else np.zeros(0, bool)
-            key = np.column_stack([high, low]).view(np.uint8).reshape(-1, 16)
+            key = np.column_stack([high // np.uint64(buckets), low]).view(np.uint8).reshape(-1, 16)[:, _KEPT]
             # in the order of the texts, so that neighbours' ids and places are alike
             order = np.lexsort((start,))
             high, key, doc, start, more = high[order], key[order], doc[order], start[order], more[order]
@@ -207,7 +215,9 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
             yield _batch(buckets, asked, [(key[:0],)] * buckets, done)
 
     def wins(keys: np.ndarray, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-        high, low = keys.copy().view(np.uint64).reshape(-1, 2).T
+        wide = np.zeros((len(keys), 16), np.uint8)
+        wide[:, _KEPT] = keys
+        high, low = wide.view(np.uint64).T
         order = np.lexsort((ids, low, high))
         new = np.concatenate(([True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)))[: len(ids)]
         least = ids[order][new][np.cumsum(new) - 1] if len(ids) else ids
@@ -215,18 +225,17 @@ def _windows(rows: DataFrame, buckets: int) -> DataFrame:
         yes[order] = ids[order] > least
         return yes
 
-    return _settled(rows.select("id", "tag", "text", "places").mapInArrow(run, ASKED), wins, 16)
+    return _settled(rows.select("id", "tag", "text", "places").mapInArrow(run, ASKED), wins, 12, buckets)
 
 
-def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(id, n_words, n_removed, kept): every row with its words counted, and those that stay joined by one space."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     own = rows.withColumn("tag", F.xxhash64("text"))
     named = own.filter("id is not null")
     buckets = max(1, -(-(named.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
-    size = F.lit(32) + 4 * F.size("places")
-    anchors = weighed(cut(_anchors(named, buckets).drop("tag"), "anchors"), size, broadcast_bytes)
-    repeats = weighed(cut(_windows(named.join(anchors, "id"), buckets), "windows"), size, broadcast_bytes)
+    anchors = cut(_anchors(named, buckets).drop("tag"), "anchors")
+    repeats = cut(_windows(named.join(anchors, "id"), buckets), "windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):

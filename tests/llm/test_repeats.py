@@ -133,7 +133,7 @@ def deduped(docs, **given):
     return sorted((tuple(r) for r in substring_dedup.dedup(docs, **given).collect()), key=str)
 
 
-@pytest.mark.parametrize("given", [{}, {"bucket_bytes": 3000, "broadcast_bytes": 0}])
+@pytest.mark.parametrize("given", [{}, {"bucket_bytes": 3000}])
 def test_passages_against_brute_force(spark, given):
     rng = np.random.default_rng(5)
     passages = [" ".join(f"p{p}w{k}" for k in range(n)) for p, n in enumerate([12, 13, 14, 20, 60, 200])]
