@@ -27,7 +27,8 @@ def goal_regression(
     the label's mean; and its scaler divides by the sample deviation, hence
     (n - 1) / n for a penalty on features of unit population deviation.
     """
-    mean, n = train.agg(F.avg(label), F.count(label)).first()
+    rows = train.select(*features, label)
+    mean, n = rows.agg(F.avg(label), F.count(label)).first()
     if not mean:
         raise ValueError(f"no positive {label} to fit")
     stages = [VectorAssembler(inputCols=list(features), outputCol="raw_features")]
@@ -35,13 +36,18 @@ def goal_regression(
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="scaled_features", withMean=True, withStd=True))
         vector, penalty = "scaled_features", penalty * (n - 1) / n
-    stages.append(
-        GeneralizedLinearRegression(
-            family="poisson", link="log", featuresCol=vector, labelCol=label, regParam=penalty, maxIter=max_iter,
-            tol=1e-10, predictionCol=f"{label}_predicted",
-        )
+    regression = GeneralizedLinearRegression(
+        family="poisson", link="log", featuresCol=vector, labelCol=label, regParam=penalty, maxIter=max_iter,
+        tol=1e-6, predictionCol=f"{label}_predicted",
     )
-    return Pipeline(stages=stages).fit(train)
+    vectors = Pipeline(stages=stages).fit(rows)
+    # every step of the fit reads the assembled rows again
+    ready = vectors.transform(rows).select(vector, label).persist()
+    try:
+        fitted = regression.fit(ready)
+    finally:
+        ready.unpersist()
+    return PipelineModel([*vectors.stages, fitted])
 
 
 def boosted_goals(

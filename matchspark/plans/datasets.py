@@ -97,15 +97,14 @@ def european_dataset(
     to domestic ones first. A match stays if either team played ``minimum`` before.
     """
     staged = df.withColumns({k: v.cast("int") for k, v in conform.stage(F.col("round")).items()}).drop("round")
-    rated = league_means(staged, minimum=5, group="competition_code", prefix="comp_avg")
+    # written once: the series below reads it twice, and it reads its own source twice
+    rated = cut(league_means(staged, minimum=5, group="competition_code", prefix="comp_avg"), "rated")
     match = ["match_id", "match_date", "competition_code", "season_code", "home_team", "away_team"]
     numeric = [c for c in rated.columns if c not in match]
     rows = reshape.participants(rated, [*match, *numeric], reshape.goal_sides())
-    numbered = sequences.number(rows, ["team"], SERIES_ORDER, F.col("match_date"), "european_matches")
-    totals = {
-        f"euro_total_{c}": sequences.sum_of(F.col(c)) for c in ("goals_for", "goals_against")
-    }
-    summed = sequences.running(numbered, ["team"], SERIES_ORDER, F.col("match_date"), totals)
+    totals = {f"euro_total_{c}": sequences.sum_of(F.col(c)) for c in ("goals_for", "goals_against")}
+    measures = {"european_matches": sequences.rows_before(), **totals}
+    summed = sequences.running(rows, ["team"], SERIES_ORDER, F.col("match_date"), measures)
     trailing = {f"euro_avg_{m}_{w}": sequences.trailing_mean(f"goals_{m}", w) for w in (3, 5) for m in ("for", "against")}
     weighted = {f"euro_ema_{m}_{w}": (f"goals_{m}", w) for w in (3, 5) for m in ("for", "against")}
     formed = cut(sequences.form(summed, ["team"], "european_matches", trailing, weighted), "european")

@@ -7,8 +7,11 @@ The tests also hold the fits against dense solvers.
 
 from __future__ import annotations
 
+import functools
+import math
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from matchspark.functions.poisson import clip
 from matchspark.operators import bankroll, boosting, evaluation, models, strengths
 from matchspark.plans import lifecycle
 from matchspark.plans.catalog import query
-from matchspark.plans.series import match_features
+from matchspark.plans.series import ROLLING_SQL, SERIES_WINDOW, match_features
 from matchspark.plans.views import MATCHES_CTE, PARTICIPANTS_CTE, matches
 from matchspark.session import shared_dir
 
@@ -147,6 +150,55 @@ def glm_balance(spark, sf_dir):
     return means[0].union(means[1])
 
 
+SCORED = [f"{s}_{n}" for s in ("home", "away") for n in ("avg_for_5", "avg_against_5", "avg_diff_10")]
+
+
+@query(
+    "glm_scores",
+    f"""WITH {PARTICIPANTS_CTE}, f AS (
+      SELECT match_id, team, is_home, row_number() OVER w - 1 AS matches_played, {ROLLING_SQL} FROM participants {SERIES_WINDOW}),
+    wide AS (SELECT m.home_goals, m.away_goals, {", ".join(f"{n[0]}.{n[5:]} AS {n}" for n in SCORED)}
+      FROM matches m JOIN f h ON h.match_id = m.match_id AND h.is_home JOIN f a ON a.match_id = m.match_id AND NOT a.is_home
+      WHERE h.matches_played >= 5 AND a.matches_played >= 5 AND m.season_code < '{VALIDATION}'),
+    z AS (SELECT home_goals, away_goals, {", ".join(f"({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER () AS {n}" for n in SCORED)} FROM wide)
+    """ + " UNION ALL ".join(
+        f"SELECT '{s}' AS side, '{n}' AS feature, round(sum({s}_goals * {n}), 3) AS score FROM z" for s in ("home", "away") for n in SCORED
+    ),
+)
+def glm_scores(spark, sf_dir):
+    """For each feature in units of its deviation, its sum over the goals as the fit has it: expected goals plus the penalty's pull."""
+    stored, _ = lifecycle.split(match_features(spark, sf_dir), VALIDATION, TEST)
+    rows = stored.filter(F.col("dataset_split") == "train")
+    n, found = rows.count(), []
+    for side in ("home", "away"):
+        model = models.goal_regression(rows, SCORED, f"{side}_goals")
+        unit = math.sqrt(n / (n - 1))  # the scaler divides by the sample deviation
+        scored = model.transform(rows).select(vector_to_array("scaled_features").alias("z"), F.col(f"{side}_goals_predicted").alias("p"))
+        sums = scored.agg(*[F.sum(F.get("z", F.lit(i)) * F.col("p") * unit).alias(c) for i, c in enumerate(SCORED)])
+        for c, beta in zip(SCORED, model.stages[-1].coefficients):
+            pull = float(0.01 * n * beta / unit)
+            found.append(sums.select(F.lit(side).alias("side"), F.lit(c).alias("feature"), F.round(F.col(c) + pull, 3).alias("score")))
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+@query(
+    "isotonic_curve",
+    f"""WITH {MATCHES_CTE}, pooled AS (
+      SELECT round(1 / over_odds, 6) AS p, avg(CAST(home_goals + away_goals > 2.5 AS INT)) AS y, count(*) AS w FROM matches WHERE over_odds IS NOT NULL GROUP BY 1),
+    summed AS (SELECT row_number() OVER (ORDER BY p) AS i, p, sum(w) OVER (ORDER BY p) AS ws, sum(w * y) OVER (ORDER BY p) AS s, w, w * y AS t FROM pooled),
+    span AS (SELECT a.i AS first, b.i AS last, (b.s - a.s + a.t) / (b.ws - a.ws + a.w) AS mean FROM summed a JOIN summed b ON a.i <= b.i),
+    least AS (SELECT first, i, min(mean) AS low FROM span JOIN summed ON i BETWEEN first AND last GROUP BY 1, 2)
+    SELECT p, max(w)::BIGINT AS n, round(max(low), 6) AS calibrated FROM least JOIN summed USING (i) GROUP BY p""",
+)
+def isotonic_curve(spark, sf_dir):
+    """The calibrated probability of over 2.5 for each price: means of the blocks that pooling leaves."""
+    total = F.col("home_goals") + F.col("away_goals")
+    priced = matches(spark, sf_dir).filter("over_odds is not null").select(F.round(1 / F.col("over_odds"), 6).alias("p"), (total > 2.5).cast("int").alias("over"))
+    counted = priced.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    curve = models.calibrated(counted, models.calibrator(priced, "p", "over"), "p", "calibrated")
+    return curve.withColumn("calibrated", F.round("calibrated", 6))
+
+
 @query(
     "isotonic_balance",
     f"""WITH {PLAYED_CTE} SELECT count(*) AS n, round(avg(CAST(home_goals + away_goals > 2.5 AS INT)), 5) AS mean_over FROM fitted WHERE season_code = '{VALIDATION}'""",
