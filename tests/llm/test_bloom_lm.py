@@ -64,7 +64,7 @@ def test_filter_levels_are_never_too_low_and_seldom_too_high(spark):
     absent = bloom_lm._mixed(np.arange(5000, dtype=np.uint64))
     assert (model.single.level(absent) > 0).mean() < 0.05
     none = bloom_lm.fit(docs, max_bytes=0)
-    assert not none.single.by_level and not none.pair.by_level
+    assert none.away and not none.single.by_level
     assert bloom_lm.score(docs, none).first()["score"] < 0
 
 
@@ -74,20 +74,35 @@ def test_probabilities_are_nearly_normalised(spark):
     text = " ".join(rng.choice(words, 20000, p=rng.dirichlet(np.ones(60))))
     model = bloom_lm.fit(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     after = [np.array([bloom_lm.token_hashes(b"w7")[0], bloom_lm.token_hashes(w.encode())[0]]) for w in words]
-    total = bloom_lm.probabilities(model, after)[1::2].sum()
+    total = sum(probabilities_of(model, tokens)[1] for tokens in after)
     assert 0.6 < total < 1.5
 
 
-@pytest.mark.parametrize("kept", [0, 1])
-def test_scores_do_not_depend_on_what_fits(spark, documents, monkeypatch, kept):
-    """With no room, or room for single tokens only, every n-gram is still probed in all levels."""
+@pytest.mark.parametrize("away", [False, True])
+def test_scores_do_not_depend_on_what_fits(spark, documents, monkeypatch, away):
+    """Whether the single tokens' filters fit or not, scores are those of one model that holds all filters."""
     monkeypatch.setattr(bloom_lm, "BUCKET_TOKENS", 1 << 12)
-    monkeypatch.setattr(bloom_lm, "PART", 1 << 14)
-    monkeypatch.setattr(bloom_lm, "SLICE", 1 << 13)
-    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, "")], "doc_id long, text string"))
-    whole = bloom_lm.fit(documents)
-    singles = sum(len(data) for _, _, data in whole.single.by_level.values())
-    part = bloom_lm.fit(documents, max_bytes=kept * singles)
-    assert part.away == ((2,) if kept else (1, 2)) and part.novel == whole.novel and whole.single.buckets > 1
-    want, got = (sorted((str(r["id"]), r["n_tokens"], round(r["score"], 6)) for r in bloom_lm.score(docs, m).collect()) for m in (whole, part))
-    assert got == want
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (7, "twice"), (7, "twice")], "doc_id long, text string"))
+    model = bloom_lm.fit(documents, max_bytes=0 if away else 1 << 30)
+    assert model.away == away and model.single.buckets > 1
+    got = sorted((str(r["id"]), r["n_tokens"], round(r["score"], 6)) for r in bloom_lm.score(docs.repartition(5), model).collect())
+    want = []
+    for r in docs.collect():
+        tokens = bloom_lm.token_hashes((r["text"] or "").encode())
+        want.append((str(r["doc_id"]), len(tokens), round(float(np.log10(probabilities_of(model, tokens)).sum()), 6)))
+    assert got == sorted(want)
+
+
+_HELD: dict = {}
+
+
+def probabilities_of(model, tokens):
+    """P(token | token before) of a text's tokens, with all filters at hand."""
+    if _HELD.get("of") is not model:
+        _HELD.update(of=model, filters=[bloom_lm._gathered(model.filters, g, model.single.buckets) for g in (1, 2)])
+    single, pair = _HELD["filters"]
+    before, keys, pairs = bloom_lm._keys([tokens])
+    own = single.level(keys)
+    end = single.level(bloom_lm._mixed(np.array([bloom_lm.token_hashes(b"")[0]], np.uint64)))
+    previous = np.concatenate((end, own[:-1]))
+    return bloom_lm.chances(model, pair.level(pairs), own, previous)
