@@ -6,7 +6,7 @@ import importlib
 
 from matchspark.plans.catalog import ORACLE, QUERIES
 
-MODULES = ("series", "prices", "lookups", "conforming", "reports", "records", "datasets", "fits", "stored", "enriched")
+MODULES = ("series", "prices", "lookups", "conforming", "reports", "records", "datasets", "fits", "stored", "enriched", "scoring")
 
 
 def registered():
