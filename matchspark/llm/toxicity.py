@@ -9,8 +9,11 @@ text's length, so a few insults count the same in a long text.
 
 It is fitted by mini-batch AdaGrad on a bounded sample: the texts of at most
 ``SAMPLE`` labels of each kind, those that come first by a hash of their id.
-Places get parameters if at least ``MIN_TEXTS`` sampled texts hold them and the labels
-of these texts differ from the others' by ``MIN_DEVIATIONS`` standard deviations.
+A term gets parameters in one of two ways. Alone: at least ``MIN_TEXTS`` sampled texts hold it and their
+labels differ from the others' by ``MIN_DEVIATIONS`` standard deviations. In a pair: texts that hold it and another
+word are toxic more often, or less, than either word tells, by ``PAIR_DEVIATIONS``; so two words that are neutral
+alone and toxic together are learned. Pairs of words are counted in ``PAIR_SAMPLE`` texts of each label. Terms and
+pairs are counted by Spark; the driver gets the chosen terms and, of each sampled text, those it holds.
 
 Defined results: null is the empty text; texts without a known term have the score
 of the bias; without learning rows every score is 0.5; if all learning rows have one
@@ -30,10 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.llm.text import slices, text_bytes
+from matchspark.session import cut
 
 BITS, FACTORS = 20, 6
 STEMS = (4, 5, 6, 7)
 SAMPLE, MIN_TEXTS, MIN_DEVIATIONS = 4000, 5, 4.0
+#: Texts of each label in which pairs of words are counted; least texts with a pair and deviations that tell; words in
+#: more than this share of the texts make no pairs, they are everywhere; most pairs that are chosen, the clearest first.
+PAIR_SAMPLE, PAIR_TEXTS, PAIR_DEVIATIONS, PAIR_SHARE, PAIRS = 1000, 12, 5.0, 0.1, 2000
 #: Words whose places a worker remembers.
 REMEMBERED = 200_000
 EPOCHS, BATCH, RATE = 12, 64, 0.05
@@ -74,6 +81,12 @@ def places(text: bytes) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
+def word_places(text: bytes) -> np.ndarray:
+    """Sorted distinct places of whole words."""
+    digest, shift = xxhash.xxh64_intdigest, 64 - BITS
+    return np.array(sorted({digest(w + b" ") >> shift for w in set(text.translate(_TABLE).split())}), np.int64)
+
+
 def _sums(model: Model, rows: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores before the sigmoid, and the sums of factors, of n texts given as (row, parameter) pairs."""
     linear = np.bincount(rows, model.weights[at], minlength=n)
@@ -92,15 +105,8 @@ def learn(texts: list[np.ndarray], labels: np.ndarray) -> Model:
     rng = np.random.default_rng(SEED)
     if not len(texts):
         return Model(np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, FACTORS)))
-    used, held = np.unique(np.concatenate(texts), return_counts=True)
-    toxic = np.unique(np.concatenate([t for t, y in zip(texts, labels) if y > 0] or [used[:0]]), return_counts=True)
-    both = np.zeros(len(used))
-    both[np.searchsorted(used, toxic[0])] = toxic[1]
-    yes, no = max(labels.sum(), 1), max(len(labels) - labels.sum(), 1)
-    rate = np.clip(held / len(labels), 1e-9, 1 - 1e-9)
-    apart = np.abs(both / yes - (held - both) / no) / np.sqrt(rate * (1 - rate) * (1 / yes + 1 / no))
-    used = used[(held >= MIN_TEXTS) & (apart >= MIN_DEVIATIONS)]
-    found = [np.searchsorted(used, t[np.isin(t, used, assume_unique=True)]) for t in texts]
+    used = np.unique(np.concatenate(texts))
+    found = [np.searchsorted(used, t) for t in texts]
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     model = Model(used, np.log(share / (1 - share)), np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS)))
     bias, bias_seen = model.bias, 1e-6
@@ -133,6 +139,60 @@ def learn(texts: list[np.ndarray], labels: np.ndarray) -> Model:
     return model._replace(bias=bias)
 
 
+def _counted(sampled: DataFrame) -> DataFrame:
+    """(place, n, toxic): texts of the sample with each term, and toxic ones among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cells = [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+            toxic = np.repeat(np.asarray(batch.column(0)), [len(c) for c in cells])
+            place, at = np.unique(np.concatenate(cells), return_inverse=True)
+            n = np.bincount(at, minlength=len(place))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place, n, np.bincount(at, toxic, len(place)).astype(np.int64))], ["place", "n", "toxic"])
+
+    return sampled.select("label", "places").mapInArrow(run, "place int, n long, toxic long").groupBy("place").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+
+
+def _pairs(sampled: DataFrame) -> np.ndarray:
+    """Places of words that tell something together that neither tells alone."""
+    some = [sampled.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(PAIR_SAMPLE) for y in (0, 1)]
+    texts = cut(some[0].unionAll(some[1]).select("label", F.col("words").alias("places")), "pair-texts")
+    total, toxic = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    band = _counted(texts).filter((F.col("n") >= PAIR_TEXTS) & (F.col("n") <= max(PAIR_SHARE * total, 2 * PAIR_TEXTS))).toArrow()  # at most 2 ** BITS
+    order = np.argsort(np.asarray(band.column(0)))
+    known, n, hits = (np.asarray(band.column(i))[order].astype(np.int64) for i in range(3))
+    shared = sampled.sparkSession.sparkContext.broadcast((known, hits / np.maximum(n, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        for batch in slices(batches, 1 << 18):
+            for label in (0, 1):
+                parts = [np.zeros(0, np.int64)]
+                for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if y == label:
+                        own = np.searchsorted(known, np.intersect1d(np.frombuffer(x, "<i4"), known, assume_unique=True))
+                        a, b = np.triu_indices(len(own), 1)
+                        parts.append(own[a] << BITS | own[b])
+                pair, times = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, times, times * label)], ["pair", "n", "toxic"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = shared.value[1]
+        base = toxic / max(total, 1)
+        for batch in batches:
+            pair, n, hits = (np.asarray(batch.column(i)) for i in range(3))
+            a, b = rate[pair >> BITS], rate[pair & ((1 << BITS) - 1)]
+            high, low = (np.clip(f(f(a, b), base), 0.01, 0.99) for f in (np.maximum, np.minimum))
+            apart = np.maximum((hits - n * high) / np.sqrt(n * high * (1 - high)), (n * low - hits) / np.sqrt(n * low * (1 - low)))
+            keep = apart >= PAIR_DEVIATIONS
+            yield pa.RecordBatch.from_arrays([pa.array(pair[keep]), pa.array(apart[keep])], ["pair", "apart"])
+
+    counted = texts.mapInArrow(run, "pair long, n long, toxic long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    best = counted.filter(F.col("n") >= PAIR_TEXTS).mapInArrow(tell, "pair long, apart double").orderBy(F.desc("apart"), "pair").limit(PAIRS)
+    pairs = np.array([r["pair"] for r in best.collect()], np.int64)
+    return known[np.unique(np.concatenate([pairs >> BITS, pairs & ((1 << BITS) - 1)]))] if len(pairs) else known[:0]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE
 ) -> Model:
@@ -147,15 +207,31 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cells = [places(t).astype("<i4").tobytes() for t in text_bytes(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cells, pa.binary())], ["id", "label", "places"])
+            cells = [[f(t).astype("<i4").tobytes() for t in text_bytes(batch.column(2))] for f in (places, word_places)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in cells)], ["id", "label", "places", "words"])
 
     texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull())
     rows = texts.join(chosen, "id").select("id", "label", "text")
     kind = rows.schema["id"].dataType.simpleString()
     # repeated rows of an id are one text
-    found = rows.mapInArrow(run, f"id {kind}, label int, places binary").groupBy("id", "label").agg(F.min("places").alias("places"))
-    got = sorted((r["label"], r["places"], str(r["id"])) for r in found.collect())
+    once = rows.mapInArrow(run, f"id {kind}, label int, places binary, words binary").groupBy("id", "label").agg(F.min(F.struct("places", "words")).alias("text"))
+    sampled = cut(once.select("id", "label", "text.*"), "sampled")
+    total, toxic = sampled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    yes, no = max(toxic, 1), max(total - toxic, 1)
+    rate = F.greatest(F.least(F.col("n") / max(total, 1), F.lit(1 - 1e-9)), F.lit(1e-9))
+    apart = F.abs(F.col("toxic") / yes - (F.col("n") - F.col("toxic")) / no) / F.sqrt(rate * (1 - rate) * (1 / yes + 1 / no))
+    alone = _counted(sampled).filter((F.col("n") >= MIN_TEXTS) & (apart >= MIN_DEVIATIONS)).select("place").toArrow()  # at most 2 ** BITS
+    used = np.unique(np.concatenate([np.asarray(alone.column(0)).astype(np.int64), _pairs(sampled)]))
+    shared = docs.sparkSession.sparkContext.broadcast(used)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            cells = [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+            kept = [c[np.isin(c, shared.value, assume_unique=True)].tobytes() for c in cells]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.binary()), batch.column(0).cast(pa.string())], ["label", "places", "id"])
+
+    got = sampled.select("id", "label", "places").mapInArrow(held, "label int, places binary, id string").collect()
+    got = sorted((r["label"], bytes(r["places"]), r["id"]) for r in got)
     return learn([np.frombuffer(p, "<i4").astype(np.int64) for _, p, _ in got], np.array([y for y, _, _ in got], float))
 
 

@@ -74,7 +74,7 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     found = sum(p and y for p, y in held)
-    assert found / sum(y for _, y in held) > 0.7
+    assert found / sum(y for _, y in held) >= 0.79
     assert found / sum(p for p, _ in held) > 0.95
 
 
@@ -89,6 +89,24 @@ def test_pairs_are_learned():
     assert both > 1 and one < -1 and other < -1
 
 
+def test_neutral_words_that_are_toxic_together(spark):
+    """Two words equally frequent in toxic and clean texts, through the choice of terms as well."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(1200):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 40)]
+        kind = i % 6
+        rows.append((i, " ".join([*words, *{0: ["zorb", "glim"], 1: ["zorb"], 2: ["glim"]}.get(kind, [])]), int(kind == 0 or kind == 3)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    # a third of all texts is toxic, and so is one half of those with either word: alone they tell little
+    model = toxicity.fit(docs.filter("doc_id < 900"), labels)
+    texts = ["a zorb b glim", "a zorb b", "glim a", "nothing of it"]
+    test = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r["id"]: r["score"] for r in toxicity.score(test, model).collect()}
+    assert score[0] > 0.7 and max(score[1], score[2], score[3]) < 0.5
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, None, "s", None), (2, "", "en", "s", None), (None, "you idiot", "en", None, None), (3, "word " * 30000, "x", "s", None)],
