@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.operators import sequences
+from matchspark.session import cut
 
 
 def asof(
@@ -174,6 +175,38 @@ def merge_on_key(
     return left.join(rows.select(key, *values), key, "left")
 
 
+def merge_nearest(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], date: str, values: Sequence[str], left_id: str, right_id: str, days: int = 1
+) -> DataFrame:
+    """Left join on ``keys`` and a date up to ``days`` apart; a row of either side is used once.
+
+    The right side is shown to each day it may meet, so the join is one on equal keys. Nearest pairs come first
+    (ties: the smaller ids): a pair stands if each is the other's nearest, and what is left meets again until no pair is.
+    A left row without one keeps nulls. Null keys or dates meet nothing.
+    """
+    shown = right.select(
+        *keys, F.explode(F.sequence(F.date_sub(date, days), F.date_add(date, days))).alias("__day"),
+        F.col(date).alias("__date"), F.col(right_id).alias("__right"), *[F.col(v).alias(f"__v_{v}") for v in values],
+    )
+    asked = left.select(*keys, F.col(date).alias("__day"), F.col(left_id).alias("__left"))
+    apart = F.abs(F.date_diff("__day", "__date")).alias("__apart")
+    pairs = cut(asked.join(shown, [*keys, "__day"]).select("__left", "__right", apart, *[f"__v_{v}" for v in values]), "near-days")
+    rounds = []
+    while True:
+        # folded before they are shuffled: one row for each row of either side
+        best = pairs.groupBy("__left").agg(F.min(F.struct("__apart", "__right", *[f"__v_{v}" for v in values])).alias("__best"))
+        taken = pairs.groupBy("__right").agg(F.min(F.struct("__apart", "__left")).alias("__by"))
+        mutual = best.join(taken, F.col("__best.__right") == F.col("__right")).filter(F.col("__by.__left") == F.col("__left"))
+        found = mutual.select("__left", "__right", F.col("__best.__apart").alias("days_apart"), *[F.col(f"__best.__v_{v}").alias(v) for v in values])
+        rounds.append(cut(found, "met"))
+        if rounds[-1].isEmpty():
+            break
+        rest = pairs.join(rounds[-1].select("__left"), "__left", "left_anti").join(rounds[-1].select("__right"), "__right", "left_anti")
+        pairs = cut(rest, "near-days", pairs)
+    met = reduce(DataFrame.unionAll, rounds).withColumnRenamed("__left", left_id).drop("__right")
+    return left.join(met, left_id, "left")
+
+
 def replace_rows(table: DataFrame, replaced: Column, fresh: DataFrame) -> DataFrame:
     """Drop the slice ``replaced`` and append its new rows."""
     return table.filter(~F.coalesce(replaced, F.lit(False))).unionByName(fresh, allowMissingColumns=True)

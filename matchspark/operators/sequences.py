@@ -25,6 +25,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from matchspark.session import cut
+
 BLOCK, CHUNK, POS = "__block", "__chunk", "__pos"
 CHUNK_ROWS = 2048
 
@@ -266,6 +268,23 @@ def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[Column], keep: str
     return df.withColumn("__rn", first).filter(F.col("__rn") == 1).drop("__rn")
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Place of each row in the order of the whole table, from 1, without one task that sees all rows.
+
+    Rows are dealt out by ranges of the order and sorted there; a row's number in its part is added to the rows of the
+    parts before. The order must be unique for places to be fixed. The result is written once, in order part by part.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(parts.withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33).alias("__part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("__rows"))  # one row for each part
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = placed.withColumn("__part", part).join(offsets, "__part")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (inside + F.col("__before") + 1).alias(name))
+
+
 def last_rows(df: DataFrame, entity: Sequence[str], order: Sequence[Column], n: int, name: str = "recency") -> DataFrame:
     """The last ``n`` rows of each entity, limited before the shuffle."""
     recency = F.row_number().over(Window.partitionBy(*entity).orderBy(*[c.desc() for c in order]))

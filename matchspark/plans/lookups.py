@@ -468,6 +468,27 @@ def composite_key_fan_out(spark, sf_dir):
     return joined.groupBy("match_id").agg(F.count("home_xg").alias("pairs"), F.round(F.avg("home_xg"), 6).alias("home_xg"))
 
 
+@query(
+    "xg_tolerant_join",
+    f"""WITH {MATCHES_CTE}, {DOMESTIC_CTE},
+    c0 AS (SELECT m.match_id, d.match_id AS other, abs(date_diff('day', m.match_date, d.match_date)) AS apart, d.home_xg, d.away_xg
+      FROM matches m JOIN domestic d ON d.home_team = m.home_team AND d.away_team = m.away_team AND abs(date_diff('day', m.match_date, d.match_date)) <= 1),
+    {", ".join(f"""l{r} AS (SELECT * FROM c{r} QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY apart, other) = 1),
+    r{r} AS (SELECT * FROM c{r} QUALIFY row_number() OVER (PARTITION BY other ORDER BY apart, match_id) = 1),
+    m{r} AS (SELECT * FROM l{r} SEMI JOIN r{r} USING (match_id, other)),
+    c{r + 1} AS (SELECT * FROM c{r} WHERE match_id NOT IN (SELECT match_id FROM m{r}) AND other NOT IN (SELECT other FROM m{r}))""" for r in range(4))},
+    met AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3)
+    SELECT m.match_id, met.apart::INT AS days_apart, round(met.home_xg, 6) AS home_xg, round(met.away_xg, 6) AS away_xg FROM matches m LEFT JOIN met ON met.match_id = m.match_id""",
+)
+def xg_tolerant_join(spark, sf_dir):
+    """Expected goals of the same teams on the day itself or a day before or after, each used once."""
+    joined = joins.merge_nearest(
+        matches(spark, sf_dir), domestic(spark, sf_dir).withColumnRenamed("match_id", "xg_id"), ["home_team", "away_team"],
+        "match_date", XG_NAMES, "match_id", "xg_id",
+    )
+    return round6(joined.select("match_id", "days_apart", *XG_NAMES), *XG_NAMES)
+
+
 XG_FORM = [f"avg_{kind}_{w}" for w in (3, 5, 10) for kind in ("xg_for", "xg_against", "over", "defence")]
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchspark.functions import conform, poisson, staking
-from matchspark.operators import evaluation, joins, reshape, upserts
+from matchspark.operators import evaluation, joins, reshape, sequences, upserts
 from matchspark.plans.catalog import query, table
 from matchspark.plans.lookups import FIXTURES_CTE, STATE_NAMES, fixtures, latest_states
 from matchspark.plans.prices import BETS_CTE, PRICED_CTE, STRENGTHS_CTE, priced, simple_strengths, sql_cdf, sql_grid, value_bets
@@ -247,6 +247,17 @@ def value_sides(spark, sf_dir):
     return round6(rows, "prob", "odds", "ev").orderBy(F.desc("ev"), "match_id", "selection")
 
 
+@query(
+    "value_ranks",
+    f"""WITH {TWO_SIDED_CTE}, s AS (SELECT match_id, 'Over' AS selection, over_ev AS ev FROM two UNION ALL SELECT match_id, 'Under', under_ev FROM two)
+    SELECT match_id, selection, round(ev, 6) AS ev, row_number() OVER (ORDER BY round(ev, 6) DESC, match_id, selection) AS rank FROM s WHERE ev > 0""",
+)
+def value_ranks(spark, sf_dir):
+    """The whole value list in order, each side with its place: pages of any offset are a filter on it."""
+    listed = value_sides(spark, sf_dir).select("match_id", "selection", "ev")
+    return sequences.ranked(listed, [F.desc("ev"), F.asc("match_id"), F.asc("selection")])
+
+
 @query(
     "price_rows",
     f"""WITH {PRICED_CTE}, l AS (SELECT match_id, 1.5e0 AS line, over_1_5 AS over_odds, under_1_5 AS under_odds FROM priced UNION ALL SELECT match_id, 2.5e0, over_2_5, under_2_5 FROM priced UNION ALL SELECT match_id, 3.5e0, over_3_5, under_3_5 FROM priced)
