@@ -111,6 +111,13 @@ def stump_rounds(rounds: int) -> str:
     return ", ".join(parts)
 
 
+def stumps(spark, sf_dir) -> list[boosting.Boosted]:
+    """Three rounds of one split on all matches, for both sides' goals."""
+    days = {"month": F.month("match_date"), "day": F.dayofmonth("match_date")}
+    settings = boosting.Settings(rounds=3, depth=1, leaf=STUMP_LEAF, subsample=1.0, columns=1.0, bins=128)
+    return boosting.fit(matches(spark, sf_dir).withColumns(days), STUMP_FEATURES, ["home_goals", "away_goals"], settings=settings)
+
+
 @query(
     "gbt_stumps",
     f"WITH {stump_rounds(3)} " + " UNION ALL ".join(
@@ -118,12 +125,20 @@ def stump_rounds(rounds: int) -> str:
     ),
 )
 def gbt_stumps(spark, sf_dir):
-    """Three rounds of one split on all matches: every split, gain and leaf value."""
-    days = {"month": F.month("match_date"), "day": F.dayofmonth("match_date")}
-    rows = matches(spark, sf_dir).withColumns(days)
-    settings = boosting.Settings(rounds=3, depth=1, leaf=STUMP_LEAF, subsample=1.0, columns=1.0, bins=128)
-    found = boosting.nodes(spark, boosting.fit(rows, STUMP_FEATURES, ["home_goals", "away_goals"], settings=settings))
-    return found.withColumns({"value": F.round("value", 7), "gain": F.round("gain", 5)})
+    """Every split, gain and leaf value."""
+    return boosting.nodes(spark, stumps(spark, sf_dir)).withColumns({"value": F.round("value", 7), "gain": F.round("gain", 5)})
+
+
+@query(
+    "gbt_importances",
+    f"WITH {stump_rounds(3)}, s AS (" + " UNION ALL ".join(f"SELECT label, feature, gain FROM leaf{r} WHERE feature IS NOT NULL" for r in range(3)) + """)
+    SELECT label, feature, round(sum(gain), 4) AS gain, count(*) AS splits FROM s GROUP BY ALL""",
+)
+def gbt_importances(spark, sf_dir):
+    """The features that split, by their gains, of models that were written and read back."""
+    path = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    boosting.save(spark, stumps(spark, sf_dir), path)
+    return boosting.importances(spark, list(boosting.load(spark, path).values())).withColumn("gain", F.round("gain", 4))
 
 
 PLAYED_CTE = f"""{PARTICIPANTS_CTE}, played AS (

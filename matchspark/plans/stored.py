@@ -111,9 +111,7 @@ def json_fixtures(spark, sf_dir):
     stem = _folder(spark, "fixtures")
     rows = matches(spark, sf_dir).select("match_id", "league_code", "home_team")
     sinks.write_stage(rows, f"{stem}.json", "json")
-    # one object a line here; the reader also takes one array over several lines
-    found = spark.read.json(f"{stem}.json") if files.optional_table(spark, f"{stem}.csv", "csv") is None else None
-    return found.select("match_id", "league_code", "home_team")
+    return files.fixtures_any(spark, stem, multiline=False).select("match_id", "league_code", "home_team")
 
 
 @query(
@@ -199,3 +197,26 @@ def typed_rows(spark, sf_dir):
     return typed.select("Date", "FTHG", "FTAG", "HS", "match_id", "total_goals")
 
 
+@query(
+    "folder_rows",
+    f"""WITH {MATCHES_CTE} SELECT league_code, season_code, match_date AS "Date", 'Club "' || CAST(home_team AS VARCHAR) || '", north' || chr(10) || 'side' AS "HomeTeam",
+      CAST(home_goals AS INT) AS "FTHG", CAST(away_goals AS INT) AS "FTAG", CASE WHEN season_code >= '1998' THEN CAST(home_goals + 7 AS DOUBLE) END AS "HS" FROM matches WHERE league_code <> 'L4'""",
+)
+def folder_rows(spark, sf_dir):
+    """A folder of one file for each league and season, headers of two kinds, fields quoted over lines; files without goals are skipped."""
+    path, rows = _folder(spark, "folder"), matches(spark, sf_dir)
+    name = F.concat(F.lit('Club "'), F.col("home_team").cast("string"), F.lit('", north\nside'))
+    raw = rows.select(
+        F.col("league_code").alias("league"), F.col("season_code").alias("season"), F.date_format("match_date", "dd/MM/yyyy").alias("Date"),
+        name.alias("HomeTeam"), F.col("away_team").cast("string").alias("AwayTeam"), F.col("home_goals").alias("FTHG"), F.col("away_goals").alias("FTAG"),
+    )
+    late = F.col("season") >= "1998"
+    kinds = {
+        "early": raw.filter(~late & (F.col("league") != "L4")),
+        "late": raw.filter(late & (F.col("league") != "L4")).withColumn("HS", F.col("FTHG") + 7),
+        "odd": raw.filter(F.col("league") == "L4").drop("FTHG"),
+    }
+    for kind, part in kinds.items():
+        part.repartition("league", "season").write.partitionBy("league", "season").csv(f"{path}/{kind}", header=True, escape='"')
+    typed = files.typed_matches(files.match_folder(spark, path, naming=r"league=([^/]+)/season=([^/]+)/[^/]+$"))
+    return typed.select("league_code", "season_code", "Date", "HomeTeam", "FTHG", "FTAG", "HS")

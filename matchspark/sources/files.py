@@ -2,77 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+import csv
+import io
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchspark.functions import conform
+from matchspark.session import cut
 
 # Columns a match file must have.
 REQUIRED = ("Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG")
-BAD_ROW = "__bad_row"
 
 
-def match_folder(spark: SparkSession, folder: str, required: Sequence[str] = REQUIRED) -> DataFrame | None:
+def match_folder(
+    spark: SparkSession, folder: str, required: Sequence[str] = REQUIRED, naming: str = r"([^_/]+)_([^/]+)\.csv$"
+) -> DataFrame | None:
     """All ``league_season.csv`` files of a folder as one text-typed table; None if no file is usable.
 
-    One pass over the text finds each file's header line and whether it is
-    UTF-8 (else latin-1 is used). Files with the same header and encoding are
-    read together. Rows with too many fields are dropped, short rows keep
-    nulls, files without rows or without a required column are skipped.
+    Each file is one row of the scan and is parsed where it is read, once: UTF-8, else latin-1; quoted fields
+    may hold commas, quotes and line ends; rows with too many fields are dropped, short rows keep nulls, files without
+    rows or without a required column are skipped. The driver sees the distinct column names, no paths; a file has to
+    fit in a task. ``naming`` finds league and season in a file's path.
     """
-    raw = spark.read.text(folder, pathGlobFilter="*.csv").select(
-        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")
-    )
-    head = F.min_by("value", F.when(F.col("file_block_start") == 0, F.col("at")))
-    files = raw.groupBy("file_path").agg(
-        head.alias("header"), F.count(F.lit(1)).alias("rows"), F.max(~F.is_valid_utf8("value")).alias("odd")
-    )
-    usable = files.filter(F.col("rows") > 1)
-    groups = usable.groupBy("header", "odd").agg(F.collect_list("file_path").alias("paths")).collect()
-    tables = []
-    for group in sorted(groups, key=lambda g: (g["header"], g["odd"])):
-        names = header_names(group["header"])
-        if set(required) <= set(names):
-            tables.append(_same_header(spark, group["paths"], names, "ISO-8859-1" if group["odd"] else "UTF-8"))
-    if not tables:
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(folder)
+    files = read.select("path", F.regexp_extract("path", naming, 1).alias("league"), F.regexp_extract("path", naming, 2).alias("season"), "content")
+    needed = set(required)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for league, season, content in zip(*(batch.column(i) for i in (1, 2, 3))):
+                names, rows = csv_rows(content.as_py())
+                if not needed <= set(names):
+                    continue
+                for start in range(0, len(rows), 5000):
+                    part = rows[start : start + 5000]
+                    fields = pa.array([list(zip(names, r)) for r in part], pa.map_(pa.string(), pa.string()))
+                    columns = [pa.array([x.as_py()] * len(part), pa.string()) for x in (league, season)]
+                    yield pa.RecordBatch.from_arrays([*columns, fields], ["league_code", "season_code", "fields"])
+
+    # one file a batch: a task holds the bytes of one at a time
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        parsed = cut(files.mapInArrow(parse, "league_code string, season_code string, fields map<string,string>"), "folder")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    names = [r[0] for r in parsed.select(F.explode(F.map_keys("fields"))).distinct().collect()]
+    if not names:
         return None
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    ordered = sorted(names, key=lambda n: (list(required).index(n) if n in needed else len(needed), n))
+    return parsed.select(*[F.try_element_at("fields", F.lit(n)).alias(n) for n in ordered], "league_code", "season_code")
+
+
+def csv_rows(content: bytes) -> tuple[list[str], list[list[str | None]]]:
+    """Column names and rows of a file; unnamed columns are left out, empty fields are null."""
+    try:
+        text = content.decode("utf-8")
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    lines = csv.reader(io.StringIO(text, newline=""))
+    header = next(lines, [])
+    names = named(header)
+    shown = [i for i, n in enumerate(names) if not n.startswith("_c")]
+    rows = []
+    for row in lines:
+        if row and len(row) <= len(names):
+            rows.append([(row[i] or None) if i < len(row) else None for i in shown])
+    return [names[i] for i in shown], rows
 
 
 def header_names(line: str) -> list[str]:
-    """Column names of a header line: no byte-order mark, repeated names numbered, empty ones by place."""
+    """Column names of a plain header line."""
+    return named(line.rstrip("\r").split(","))
+
+
+def named(cells: Sequence[str]) -> list[str]:
+    """Column names of a header: no byte-order mark, repeated names numbered, empty ones by place."""
     names: list[str] = []
-    for i, name in enumerate(line.lstrip("﻿ï»¿").rstrip("\r").split(",")):
-        name = name.strip().strip('"') or f"_c{i}"
+    for i, name in enumerate(cells):
+        name = (name if i else name.lstrip("\ufeffï»¿")).strip().strip('"') or f"_c{i}"
         repeats = sum(1 for n in names if n == name or n.startswith(f"{name}."))
         names.append(f"{name}.{repeats}" if repeats else name)
     return names
 
 
-def _same_header(spark: SparkSession, paths: Sequence[str], names: Sequence[str], encoding: str) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
-    # the parser must see all fields of a row, also when few columns are read, to find the long ones
-    reader = spark.read.option("columnPruning", False).schema(schema)
-    read = reader.csv(
-        list(paths), header=True, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW,
-        enforceSchema=True,
-    )
-    fields = F.size(F.split(F.regexp_replace(F.col(BAD_ROW), '"[^"]*"', ""), ","))
-    file = F.col("_metadata.file_name")
-    keyed = read.select(
-        "*",
-        F.regexp_extract(file, r"^([^_]+)_(.+)\.csv$", 1).alias("league_code"),
-        F.regexp_extract(file, r"^([^_]+)_(.+)\.csv$", 2).alias("season_code"),
-    )
-    kept = keyed.filter(F.col(BAD_ROW).isNull() | (fields <= len(names)))
-    return kept.drop(BAD_ROW, *[n for n in names if n.startswith("_c")])
-
-
 def typed_matches(raw: DataFrame) -> DataFrame:
     """Dates parsed day-first, goals as integers, statistics as doubles, stable match id, total goals."""
     numeric = [c for c in ("HS", "AS", "HST", "AST", "HC", "AC", "HF", "AF") if c in raw.columns]
@@ -131,10 +149,10 @@ def fixtures_csv(spark: SparkSession, path: str) -> DataFrame:
     return typed
 
 
-def fixtures_any(spark: SparkSession, stem: str) -> DataFrame | None:
-    """``stem.csv`` if present, else ``stem.json`` (one array or object over several lines)."""
+def fixtures_any(spark: SparkSession, stem: str, multiline: bool = True) -> DataFrame | None:
+    """``stem.csv`` if present, else ``stem.json`` (one array or object over several lines, or one object a line)."""
     found = optional_table(spark, f"{stem}.csv", "csv", header=True)
-    return found if found is not None else optional_table(spark, f"{stem}.json", "json", multiLine=True)
+    return found if found is not None else optional_table(spark, f"{stem}.json", "json", multiLine=multiline)
 
 
 def test_predictions(df: DataFrame) -> DataFrame:

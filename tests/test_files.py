@@ -26,6 +26,19 @@ def test_match_folder(spark, tmp_path):
     assert files.narrow_matches(raw).count() == 4
 
 
+def test_quoted_headers_and_records_over_lines(spark, tmp_path):
+    write(tmp_path, "E0_2425.csv", '"Date","Home,Team",HomeTeam,AwayTeam,FTHG,FTAG\r\n15/08/2024,x,"A ""the"" B","C\nD",2,1\r\n16/08/2024,,"E, F",G,1,0\r\n')
+    (tmp_path / "deep").mkdir()
+    write(tmp_path / "deep", "E0_2324.csv", "FTAG,FTHG,AwayTeam,HomeTeam,Date\n1,2,Y,X,2023-08-15\n")
+    write(tmp_path, "E9_2425.csv", "")
+    raw = files.match_folder(spark, str(tmp_path))
+    assert raw.columns == ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "Home,Team", "league_code", "season_code"]
+    rows = {r.HomeTeam: r for r in raw.collect()}
+    assert set(rows) == {'A "the" B', "E, F", "X"}
+    assert rows['A "the" B'].AwayTeam == "C\nD" and rows['A "the" B']["Home,Team"] == "x" and rows["E, F"]["Home,Team"] is None
+    assert (rows["X"].season_code, rows["X"].FTHG) == ("2324", "2")
+
+
 def test_no_usable_file(spark, tmp_path):
     write(tmp_path, "E1_2425.csv", "Date,HomeTeam\n1,2\n")
     assert files.match_folder(spark, str(tmp_path)) is None
