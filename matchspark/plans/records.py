@@ -100,6 +100,28 @@ def odds_pages(spark, sf_dir):
     return found.select("match_id", day.alias("day_number"), "time", "home_team", "away_team", "league", "home_odds", "draw_odds", "away_odds", *ODDS)
 
 
+@query(
+    "odds_listing",
+    f"""WITH {MATCHES_CTE} SELECT league_code, strftime(match_date, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY league_code, match_date ORDER BY match_id) AS block,
+      'Home ' || CAST(home_team AS VARCHAR) AS home_team, 'Away ' || CAST(away_team AS VARCHAR) AS away_team, CASE WHEN match_id % 3 > 0 THEN 'Serie ' || CAST(match_id % 3 AS VARCHAR) END AS league,
+      round(over_odds, 2) AS home_odds, round(under_odds, 2) AS under_2_5 FROM matches""",
+)
+def odds_listing(spark, sf_dir):
+    """Pages of all matches of a league and day: blocks end where the next opens, and nothing runs over."""
+    price = lambda c: F.coalesce(F.format_number(c, 2), F.lit("-"))
+    block = F.concat_ws(
+        "\n", F.concat(F.lit("Tir. "), F.date_format("match_date", "dd/MM"), F.lit(" 18:45")),
+        F.concat(F.lit("Home "), _text(F.col("home_team"))), F.concat(F.lit("Away "), _text(F.col("away_team"))),
+        F.when(F.col("match_id") % 3 > 0, F.concat(F.lit("Serie "), _text(F.col("match_id") % 3))), F.lit("H"), price(F.col("over_odds")),
+        F.lit("Under 2,5"), price(F.col("under_odds")), F.lit(" "),
+    )
+    day = F.date_format("match_date", "yyyy-MM-dd").alias("day")
+    each = matches(spark, sf_dir).select("league_code", day, F.struct("match_id", block.alias("text")).alias("block"))
+    pages = each.groupBy("league_code", "day").agg(F.array_join(F.array_sort(F.collect_list("block")).getField("text"), "\n").alias("page"))
+    found = text.odds_pages(pages, ["league_code", "day"], "page", today())
+    return found.select("league_code", "day", "block", "home_team", "away_team", "league", "home_odds", "under_2_5")
+
+
 @query(
     "listed_odds",
     f"""WITH {MATCHES_CTE} SELECT match_id, '13:30' AS time, 'Home ' || CAST(home_team AS VARCHAR) AS home_team, 'Away ' || CAST(away_team AS VARCHAR) AS away_team, 'England - Premier League' AS league,

@@ -1,16 +1,19 @@
 """Match records from line-oriented text: one row per page in, one row per match out.
 
-A page is one input row, so its lines are cut into blocks and looked ahead in
-place, with array functions and no shuffle. Only state that flows down a page
-(headers, dates) needs a window, over the page.
+A page is one input row. Odds pages are read by one fold over their lines with a small state and a
+dictionary of labels, which emits the page's records; results listings use array functions, and
+a window over the page for the state that flows down it (headers, dates). No text is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchspark.functions import conform
 from matchspark.operators import names
@@ -62,9 +65,132 @@ def blocks(pages: DataFrame, entity: Sequence[str], text: str, anchor: str) -> D
     return cut.select(*entity, F.inline(F.transform("__starts", block)))
 
 
-def _last_value(label: str) -> Column:
-    found = F.filter("__priced", lambda p: F.array_contains(p["labels"], label))
-    return F.get(F.reverse(found), F.lit(0))["value"]
+Record = dict[str, object]
+
+
+def folded(pages: DataFrame, entity: Sequence[str], text: str, read: Callable[[list[str]], Iterator[Record]], schema: str) -> DataFrame:
+    """``entity`` and the records that one fold over the non-empty stripped lines of each page emits."""
+    rows = pages.select(*entity, F.col(text).cast("string").alias("__page"))
+    fields = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, records = [], []
+            for i, page in enumerate(batch.column(len(entity)).to_pylist()):
+                lines = [x for x in (line.strip(BLANKS) for line in (page or "").split("\n")) if x]
+                for record in read(lines):
+                    owners.append(i)
+                    records.append(record)
+            own = batch.take(pa.array(owners, pa.int64()))
+            found = pa.Table.from_pylist(records, fields).combine_chunks()
+            columns = [found.column(f.name).combine_chunks() if len(found) else pa.array([], f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays([*own.columns[: len(entity)], *columns], [*entity, *fields.names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*entity).schema)
+    return rows.mapInArrow(run, f"{kinds}, {schema}")
+
+
+def in_blocks(lines: Iterable[str], least: int) -> Iterator[tuple[int, list[str]]]:
+    """Blocks of lines from one date-time line up to the next, numbered from 1; those of fewer lines are left out."""
+    number, block = 0, []
+    for line in lines:
+        if _ANCHOR.search(line):
+            if len(block) >= least:
+                yield number, block
+            number, block = number + 1, []
+        if number:
+            block.append(line)
+    if len(block) >= least:
+        yield number, block
+
+
+_ANCHOR = re.compile(ANCHOR, re.ASCII)
+_LEAGUE = re.compile("|".join(LEAGUE_WORDS))
+_NUMBER = re.compile(conform.NUMERIC["double"], re.ASCII)
+_PRICE = re.compile(r"odds\s+([\d.]+)", re.ASCII)
+_QUOTED = re.compile(r'"([^"]+)"')
+ODDS = [f"{side}_{g.replace('.', '_')}" for g in GOAL_LINES for side in ("over", "under")]
+
+
+def _decimal(text: str | None) -> float | None:
+    """Number of a text that is nothing else."""
+    try:
+        return float(text) if text is not None and _NUMBER.search(text) else None
+    except ValueError:
+        return None
+
+
+def _goal_line(line: str) -> str | None:
+    return next((g for g in GOAL_LINES if g in line or g.replace(".", ",") in line), None)
+
+
+def _price_labels(line: str) -> Iterator[str]:
+    for name, label in RESULT_LABELS.items():
+        if line == label:
+            yield name
+    goals = _goal_line(line)
+    for side in ("over", "under"):
+        if goals and (side in line or side.capitalize() in line):
+            yield f"{side}_{goals.replace('.', '_')}"
+
+
+def _labelled(lines: list[str]) -> Iterator[Record]:
+    for number, block in in_blocks(lines, 3):
+        record: Record = {"block": number, "first": block[0], "home_team": block[1], "away_team": block[2]}
+        for line, below in zip(block[3:], [*block[4:], None]):
+            if "league" not in record and _LEAGUE.search(line):
+                record["league"] = line
+            value = _decimal(below and below.replace(",", "."))
+            if value is not None:
+                record |= dict.fromkeys(_price_labels(line), value)
+        yield record
+
+
+def _inline(lines: list[str]) -> Iterator[Record]:
+    for number, block in in_blocks(lines, 2):
+        record: Record = {"block": number, "first": block[0], "home_team": block[1], "away_team": (block[2:3] or [None])[0]}
+        if len(block) > 3 and _LEAGUE.search(block[3]):
+            record["league"] = block[3]
+        for line in block:
+            lower, plain = line.lower(), line.replace(",", ".")
+            side = "over" if "over" in lower else "under" if "under" in lower else None
+            for goals in GOAL_LINES if side else ():
+                price = re.search(re.escape(goals) + r"[^0-9]+([0-9]+\.[0-9]+)", plain)
+                if price:
+                    record[f"{side}_{goals.replace('.', '_')}"] = float(price[1])
+        yield record
+
+
+def _quoted(line: str | None) -> str | None:
+    found = _QUOTED.search(line or "")
+    return found[1] if found else line and line.strip(" ")
+
+
+def _listed(market: str) -> Callable[[list[str]], Iterator[Record]]:
+    def read(lines: list[str]) -> Iterator[Record]:
+        for number, block in in_blocks(lines, 1):
+            at = lambda i: block[i] if i < len(block) else None
+            record: Record = {"block": number, "first": block[0], "home_team": _quoted(at(1)), "away_team": _quoted(at(2)), "league": _quoted(at(3))}
+            headings = [i for i, line in enumerate(block) if market in line]
+            channels = [line for line in block[4 : headings[0] if headings else None] if not line.startswith("uid=")]
+            record["tv_channel"] = channels[-1] if channels else None
+            for goals in GOAL_LINES:
+                here = next((i for i in headings if goals in block[i]), None)
+                for side, below in (("over", 2), ("under", 4)):
+                    price = _PRICE.search(at(here + below) or "") if here is not None else None
+                    record[f"{side}_{goals.replace('.', '_')}"] = _decimal(price and price[1])
+            yield record
+
+    return read
+
+
+PRICES = ", ".join(f"{name} double" for name in ODDS)
+
+
+def _dated(found: DataFrame, entity: Sequence[str], today: Column) -> DataFrame:
+    rest = [c for c in found.columns if c not in (*entity, "block", "first")]
+    date = [conform.rolled_date(F.col("first"), today).alias("date"), conform.clock(F.col("first")).alias("time")]
+    return found.select(*entity, "block", *date, *rest)
 
 
 def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column) -> DataFrame:
@@ -73,41 +199,9 @@ def odds_pages(pages: DataFrame, entity: Sequence[str], text: str, today: Column
     The last value of a label wins; the first league line after the teams is the
     league. A match ends where the next one opens.
     """
-    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.slice("lines", 4, F.greatest(F.size("lines") - 3, F.lit(0))))
-
-    def labels(x: Column) -> Column:
-        named = [F.when(x == label, name) for name, label in RESULT_LABELS.items()]
-        goal_line = F.coalesce(
-            *[F.when(x.contains(g) | x.contains(g.replace(".", ",")), g.replace(".", "_")) for g in GOAL_LINES]
-        )
-        for side in ("Over", "Under"):
-            said = x.contains(side) | x.contains(side.lower())
-            named.append(F.when(said, F.concat(F.lit(f"{side.lower()}_"), goal_line)))
-        return F.array_compact(F.array(*named))
-
-    def priced(x: Column, i: Column) -> Column:
-        value = conform.number_text(F.translate(F.get("lines", i + 4), ",", "."))
-        return F.struct(value.alias("value"), x.alias("line"))
-
-    valued = F.filter(F.transform("__near", priced), lambda p: p["value"].isNotNull())
-    named = F.transform(valued, lambda p: F.struct(p["value"].alias("value"), labels(p["line"]).alias("labels")))
-    league = F.filter("__near", lambda x: x.rlike("|".join(LEAGUE_WORDS)))
-    sides = [f"{side}_{g.replace('.', '_')}" for g in GOAL_LINES for side in ("over", "under")]
-    first = F.get("lines", F.lit(0))
-    return (
-        cut.filter(F.size("lines") >= 3)
-        .select("*", F.explode(F.array(named)).alias("__priced"))  # a generator, so it is evaluated once
-        .select(
-            *entity,
-            "block",
-            conform.rolled_date(first, today).alias("date"),
-            conform.clock(first).alias("time"),
-            F.get("lines", F.lit(1)).alias("home_team"),
-            F.get("lines", F.lit(2)).alias("away_team"),
-            F.get(league, F.lit(0)).alias("league"),
-            *[_last_value(name).alias(name) for name in (*RESULT_LABELS, *sides)],
-        )
-    )
+    results = ", ".join(f"{name} double" for name in RESULT_LABELS)
+    schema = f"block long, first string, home_team string, away_team string, league string, {results}, {PRICES}"
+    return _dated(folded(pages, entity, text, _labelled, schema), entity, today)
 
 
 def inline_odds(pages: DataFrame, entity: Sequence[str], text: str, today: Column) -> DataFrame:
@@ -115,57 +209,16 @@ def inline_odds(pages: DataFrame, entity: Sequence[str], text: str, today: Colum
 
     The fourth line is the league if it holds a league word.
     """
-    cut = blocks(pages, entity, text, ANCHOR).withColumn("__near", F.col("lines"))
-    columns = {}
-    for goal_line in GOAL_LINES:
-        priced = F.transform(
-            F.filter("__near", lambda x: x.contains(goal_line) | x.contains(goal_line.replace(".", ","))),
-            lambda x: F.struct(F.lower(x).contains("over").alias("over"), F.lower(x).contains("under").alias("under"), conform.price_after(x, goal_line).alias("price")),
-        )
-        for side in ("over", "under"):
-            said = (lambda p: p["over"]) if side == "over" else (lambda p: p["under"] & ~p["over"])
-            mine = F.filter(priced, lambda p: said(p) & p["price"].isNotNull())
-            columns[f"{side}_{goal_line.replace('.', '_')}"] = F.get(F.reverse(mine), F.lit(0))["price"]
-    first, fourth = F.get("lines", F.lit(0)), F.get("lines", F.lit(3))
-    return cut.filter(F.size("lines") >= 2).select(
-        *entity,
-        "block",
-        conform.rolled_date(first, today).alias("date"),
-        conform.clock(first).alias("time"),
-        F.get("lines", F.lit(1)).alias("home_team"),
-        F.get("lines", F.lit(2)).alias("away_team"),
-        F.when(fourth.rlike("|".join(LEAGUE_WORDS)), fourth).alias("league"),
-        *[v.alias(n) for n, v in columns.items()],
-    )
+    schema = f"block long, first string, home_team string, away_team string, league string, {PRICES}"
+    return _dated(folded(pages, entity, text, _inline, schema), entity, today)
 
 
 def listed_odds(
     pages: DataFrame, entity: Sequence[str], text: str, today: Column, market: str = "TOTALT"
 ) -> DataFrame:
     """Page of quoted lines: teams, league, then one market heading per goal line with two priced buttons below it."""
-    cut = blocks(pages, entity, text, ANCHOR)
-    headings = F.transform("lines", lambda x, i: F.when(x.contains(market), i))
-    cut = cut.withColumn("__headings", F.filter(headings, lambda i: i.isNotNull()))
-    channels = F.filter(
-        F.slice("lines", 5, F.greatest(F.coalesce(F.get("__headings", F.lit(0)), F.size("lines")) - 4, F.lit(0))),
-        lambda x: ~x.startswith("uid="),
-    )
-    columns = {"tv_channel": F.get(F.reverse(channels), F.lit(0))}
-    for i, name in ((1, "home_team"), (2, "away_team"), (3, "league")):
-        columns[name] = conform.quoted(F.get("lines", F.lit(i)))
-    for goal_line in GOAL_LINES:
-        here = F.get(F.filter("__headings", lambda i: F.get("lines", i).contains(goal_line)), F.lit(0))
-        for side, below in (("over", 2), ("under", 4)):
-            price = F.regexp_extract(F.get("lines", here + below), r"odds\s+([\d.]+)", 1).try_cast("double")
-            columns[f"{side}_{goal_line.replace('.', '_')}"] = price
-    first = F.get("lines", F.lit(0))
-    return cut.select(
-        *entity,
-        "block",
-        conform.rolled_date(first, today).alias("date"),
-        conform.clock(first).alias("time"),
-        *[v.alias(n) for n, v in columns.items()],
-    )
+    schema = f"block long, first string, tv_channel string, home_team string, away_team string, league string, {PRICES}"
+    return _dated(folded(pages, entity, text, _listed(market), schema), entity, today)
 
 
 def groups_of(text: Column, pattern: str, count: int) -> Column:
@@ -187,7 +240,8 @@ def results_text(
     month_word = F.substring(F.lower(F.regexp_extract(line, dated, 1)), 1, 3)
     place = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month_word)
     month = F.when(place > 0, place).otherwise(1)
-    first = F.when(F.col(season).contains("2025"), 2025).otherwise(F.split(season, "-")[0].try_cast("int"))
+    # the year the season begins in
+    first = F.coalesce(F.regexp_extract(F.col(season), r"(\d{4})", 1).try_cast("int"), F.split(season, "-")[0].try_cast("int"))
     turn = F.when((month_word.isin(*MONTHS[:5])) & F.col(season).contains("-"), 1).otherwise(0)
     year = F.coalesce(F.regexp_extract(line, dated, 3).try_cast("int"), first + turn)
     date = F.try_to_date(F.concat_ws("-", year, month, F.regexp_extract(line, dated, 2)), "y-M-d")
