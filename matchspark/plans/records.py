@@ -231,7 +231,7 @@ def html_links(spark, sf_dir):
 )
 def html_records(spark, sf_dir):
     found = markup.elements(table(spark, sf_dir, "pages"), "html", "li", ["page_id"])
-    return found.select("page_id", "position", markup.text_of(F.col("inner")).alias("label"))
+    return found.select("page_id", "position", F.col("text").alias("label"))
 
 
 @query(
@@ -270,6 +270,33 @@ def table_rows(spark, sf_dir):
     return found.select("match_id", "match_date", "home_team", "away_goals", "home_xg", "away_xg")
 
 
+@query(
+    "table_grid_rows",
+    f"""WITH {MATCHES_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY league_code, match_date ORDER BY match_id) AS nth FROM matches)
+    SELECT league_code, strftime(match_date, '%Y-%m-%d') AS day, 2 * nth - 2 + i AS position,
+      CASE WHEN i = 0 THEN [league_code || ' & co', 'T' || CAST(home_team AS VARCHAR), CAST(home_goals AS VARCHAR), CAST(home_goals AS VARCHAR), 'é<b']
+        ELSE ['in', CAST(match_id AS VARCHAR)] END AS cells
+    FROM r, (VALUES (0), (1)) v(i) WHERE nth = 1 OR i = 0
+    UNION ALL SELECT league_code, strftime(match_date, '%Y-%m-%d'), 2 * nth - 1, ['in', CAST(match_id AS VARCHAR)] FROM r WHERE nth > 1""",
+)
+def table_grid_rows(spark, sf_dir):
+    """A table for each league and day: a cell that spans all rows, one of two columns, a table inside a cell, references of all kinds."""
+    day = F.date_format("match_date", "yyyy-MM-dd").alias("day")
+    each = matches(spark, sf_dir).select("league_code", day, F.struct("match_id", "home_team", "home_goals").alias("m"))
+    listed = each.groupBy("league_code", "day").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+
+    def row(m, i):
+        first = F.when(i == 0, F.concat(F.lit('<td rowspan="'), _text(F.size("ms")), F.lit('">'), F.col("league_code"), F.lit(" &#x26; co</td>"))).otherwise("")
+        nested = F.concat(F.lit("<TABLE><tr><td>in<th>"), _text(m["match_id"]), F.lit("</TABLE>"))
+        return F.concat(
+            F.lit("<tr>"), first, F.lit("<td>T"), _text(m["home_team"]), nested, F.lit("</td><td class='x' colspan=2>"), _text(m["home_goals"]), F.lit("<td>&eacute;&lt;b</tr>"),
+        )
+
+    pages = listed.select("league_code", "day", F.concat(F.lit("<table>"), F.array_join(F.transform("ms", row), ""), F.lit("</table>")).alias("page"))
+    found = markup.rows_with_cells(pages, "page", ["league_code", "day"])
+    return found.select("league_code", "day", "position", F.transform("cells", lambda c: c["text"]).alias("cells"))
+
+
 @query(
     "team_stat_rows",
     f"""WITH {MATCHES_CTE} SELECT match_id, 'T' || CAST(home_team AS VARCHAR) AS team, round(CAST(home_goals AS DOUBLE) + 0.5e0, 6) AS possession_pct, CAST(1000 + match_id % 1000 AS INT) AS touches, 0 AS touches_def_3rd, CAST(home_goals AS INT) AS progressive_carries,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html as html_text
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchspark.functions import conform
 
@@ -89,52 +93,149 @@ def text_of(markup: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def elements(df: DataFrame, html: str, tag: str, keep: Sequence[str] = (), with_attributes: str = "") -> DataFrame:
-    """Each ``<tag …>…</tag>`` of a page as ``position, attributes, inner``; ``with_attributes`` filters by a pattern."""
-    pattern = rf"(?is)<{tag}\b([^>]*)>(.*?)</{tag}\s*>"
-    attributes = F.regexp_extract_all(html, F.lit(pattern), 1)
-    inner = F.regexp_extract_all(html, F.lit(pattern), 2)
-    rows = df.select(*keep, F.posexplode(F.arrays_zip(attributes.alias("attributes"), inner.alias("inner"))).alias("position", "e"))
-    flat = rows.select(*keep, F.col("position").cast("long").alias("position"), "e.attributes", "e.inner")
-    return flat.filter(F.col("attributes").rlike(with_attributes)) if with_attributes else flat
+def plain(markup: str) -> str:
+    """Text of a fragment: tags out, character references decoded, ends stripped."""
+    return html_text.unescape(_ANY_TAG.sub("", markup)).replace("\xa0", " ").strip()
 
 
-def links(df: DataFrame, html: str, keep: Sequence[str] = ()) -> DataFrame:
-    anchors = elements(df, html, "a", keep)
-    target = F.regexp_extract("attributes", r"""(?i)href\s*=\s*["']([^"']*)["']""", 1)
-    return anchors.select(*keep, "position", target.alias("href"), text_of(F.col("inner")).alias("label"))
+_ANY_TAG = re.compile(r"<[^>]*>")
+_TABLE_TAG = re.compile(r"""<(/?)(table|tr|td|th)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I)
+_SPAN = re.compile(r"""(?<![\w-])(col|row)span\s*=\s*["']?\s*(\d{1,5})""", re.I)
+_STAT = re.compile(r'data-stat="([^"]*)"')
+CELL_TYPE = "struct<attributes: string, stat: string, inner: string, text: string>"
 
 
-CELL = r"(?is)<(t[dh])\b([^>]*)>(.*?)</t[dh]\s*>"
+def _emitted(df: DataFrame, html: str, keep: Sequence[str], read: Callable[[str], Iterable[dict]], schema: str) -> DataFrame:
+    """``keep`` and ``position`` with the records that one pass over each page emits."""
+    rows = df.select(*keep, F.col(html).cast("string").alias("__page"))
+    fields = to_arrow_schema(df.sparkSession.createDataFrame([], f"position long, {schema}").schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, records = [], []
+            for i, page in enumerate(batch.column(len(keep)).to_pylist()):
+                for position, record in enumerate(read(page or "")):
+                    owners.append(i)
+                    records.append({"position": position, **record})
+            own = batch.take(pa.array(owners, pa.int64()))
+            columns = [pa.array([r[f.name] for r in records], f.type) for f in fields]
+            yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], *columns], [*keep, *fields.names])
 
-def rows_with_cells(df: DataFrame, html: str, keep: Sequence[str] = (), row_class: str = "") -> DataFrame:
-    """Table rows with their cells as structs ``attributes, stat, inner``.
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
+    return rows.mapInArrow(run, f"{kinds}position long, {schema}")
+
+
+def elements(df: DataFrame, html: str, tag: str, keep: Sequence[str] = (), with_attributes: str = "") -> DataFrame:
+    """Each ``<tag …>…</tag>`` of a page as ``position, attributes, inner, text``; ``with_attributes`` filters by a pattern."""
+    opens, closes = re.compile(rf"<{tag}\b([^>]*)>", re.I), re.compile(rf"</{tag}\s*>", re.I)
+
+    def read(page: str) -> Iterator[dict]:
+        at = 0
+        while (start := opens.search(page, at)) and (end := closes.search(page, start.end())):
+            inner = page[start.end() : end.start()]
+            yield {"attributes": start[1], "inner": inner, "text": plain(inner)}
+            at = end.end()
 
-    The cells pass through a generator so that later filters work on the parsed
-    array instead of parsing it again.
+    found = _emitted(df, html, keep, read, "attributes string, inner string, text string")
+    return found.filter(F.col("attributes").rlike(with_attributes)) if with_attributes else found
+
+
+def links(df: DataFrame, html: str, keep: Sequence[str] = ()) -> DataFrame:
+    target = F.regexp_extract("attributes", r"""(?i)href\s*=\s*["']([^"']*)["']""", 1)
+    return elements(df, html, "a", keep).select(*keep, "position", target.alias("href"), F.col("text").alias("label"))
+
+
+class _Table:
+    """An open table: its open row and cell, and cells that reach down into later rows."""
+
+    def __init__(self):
+        self.row: dict | None = None
+        self.cell: dict | None = None
+        self.down: dict[int, tuple[int, dict]] = {}
+
+    def close_cell(self, page: str, at: int) -> None:
+        if self.cell is not None:
+            self.cell["inner"] = "".join(self.cell.pop("pieces")) + page[self.cell.pop("from") : at]
+            self.cell["text"] = plain(self.cell["inner"])
+            self.row["cells"].append(self.cell)
+            self.cell = None
+
+    def close_row(self, page: str, at: int) -> None:
+        self.close_cell(page, at)
+        if self.row is None:
+            return
+        placed: list[dict] = []
+
+        def reach() -> None:
+            while len(placed) in self.down:
+                left, cell = self.down.pop(len(placed))
+                if left > 1:
+                    following[len(placed)] = (left - 1, cell)
+                placed.append(cell)
+
+        following: dict[int, tuple[int, dict]] = {}
+        for cell in self.row["cells"]:
+            reach()
+            spans = {k.lower(): int(n) for k, n in _SPAN.findall(cell["attributes"])}
+            for _ in range(max(1, min(spans.get("col", 1), 1000))):
+                if spans.get("row", 1) > 1:
+                    following[len(placed)] = (spans["row"] - 1, cell)
+                placed.append(cell)
+        reach()
+        self.down = {**self.down, **following}
+        self.row["cells"] = placed
+        self.row = None
+
+
+def table_grid(page: str) -> list[dict]:
+    """Rows of all tables in page order: attributes and cells, each cell at all places of its row that it spans.
+
+    A table inside a cell has rows of its own and is no part of the cell; ends may be missing.
     """
-    rows = elements(df, html, "tr", keep, with_attributes=row_class)
-    attributes = F.regexp_extract_all("inner", F.lit(CELL), 2)
-    inner = F.regexp_extract_all("inner", F.lit(CELL), 3)
-    cells = F.zip_with(
-        attributes,
-        inner,
-        lambda a, i: F.struct(
-            a.alias("attributes"), F.regexp_extract(a, 'data-stat="([^"]*)"', 1).alias("stat"), i.alias("inner")
-        ),
-    )
-    return rows.select(*keep, "position", "attributes", F.explode(F.array(cells)).alias("cells"))
+    rows: list[dict] = []
+    tables = [_Table()]
+    for m in _TABLE_TAG.finditer(page):
+        end, tag, top = bool(m[1]), m[2].lower(), tables[-1]
+        if tag == "table" and not end:
+            if top.cell is not None:
+                top.cell["pieces"].append(page[top.cell["from"] : m.start()])
+            tables.append(_Table())
+        elif tag == "table":
+            top.close_row(page, m.start())
+            if len(tables) > 1:
+                tables.pop()
+                if tables[-1].cell is not None:
+                    tables[-1].cell["from"] = m.end()
+        elif tag == "tr":
+            top.close_row(page, m.start())
+            if not end:
+                top.row = {"attributes": m[3], "cells": []}
+                rows.append(top.row)
+        elif end:
+            top.close_cell(page, m.start())
+        elif top.row is not None:
+            top.close_cell(page, m.start())
+            named = _STAT.search(m[3])
+            top.cell = {"attributes": m[3], "stat": named[1] if named else "", "from": m.end(), "pieces": []}
+    for table in reversed(tables):
+        table.close_row(page, len(page))
+    return rows
+
+
+def rows_with_cells(df: DataFrame, html: str, keep: Sequence[str] = (), row_class: str = "") -> DataFrame:
+    """Table rows as ``position, attributes, cells``, see :func:`table_grid`."""
+    rows = _emitted(df, html, keep, table_grid, f"attributes string, cells array<{CELL_TYPE}>")
+    return rows.filter(F.col("attributes").rlike(row_class)) if row_class else rows
 
 
 def cell_text(i: int) -> Column:
-    return text_of(F.get("cells", F.lit(i))["inner"])
+    return F.get("cells", F.lit(i))["text"]
 
 
 def stat(name: str) -> Column:
     """Text of the last cell marked with the statistic, null if empty or absent."""
     marked = F.filter("cells", lambda c: c["stat"] == name)
-    return F.nullif(text_of(F.get(F.reverse(marked), F.lit(0))["inner"]), F.lit(""))
+    return F.nullif(F.get(F.reverse(marked), F.lit(0))["text"], F.lit(""))
 
 
 def stat_matches(df: DataFrame, html: str, keep: Sequence[str] = (), minimum_cells: int = 8) -> DataFrame:
@@ -210,10 +311,10 @@ def absences(df: DataFrame, html: str, keep: Sequence[str] = ()) -> DataFrame:
     """Injured and suspended players from odd/even rows with a linked name."""
     rows = rows_with_cells(df, html, keep, row_class=PLAYER_ROW)
     linked = F.get(F.filter("cells", lambda c: c["attributes"].contains(PLAYER_CELL) & c["inner"].rlike("(?i)<a\\b")), F.lit(0))
-    texts = F.transform("cells", lambda c: text_of(c["inner"]))
+    texts = F.transform("cells", lambda c: c["text"])
     suspended = F.exists(texts, lambda t: F.lower(t).rlike("suspension|red card|yellow"))
     other = F.filter("cells", lambda c: c["attributes"].contains("class=") & ~c["attributes"].contains(PLAYER_CELL))
-    plain = F.filter(F.transform(other, lambda c: text_of(c["inner"])), lambda t: F.length(t).between(4, 49))
+    plain = F.filter(F.transform(other, lambda c: c["text"]), lambda t: F.length(t).between(4, 49))
     found = rows.withColumn("__name", linked).filter(F.col("__name").isNotNull())
     return found.select(
         *keep,
