@@ -110,11 +110,6 @@ def stripped_number(text: Column, kind: str = "double") -> Column:
     return F.coalesce(number_text(bare, kind), F.lit(0).cast(kind))
 
 
-def decimal_in(text: Column) -> Column:
-    """First decimal number in text, comma or point."""
-    return F.regexp_extract(F.translate(text, ",", "."), r"(\d+\.\d+)", 1).try_cast("double")
-
-
 def price_after(text: Column, line: str) -> Column:
     """Decimal number that follows the line token, e.g. 1.75 in 'Over 2.5 1.75'."""
     token = line.replace(".", r"\.")

@@ -186,7 +186,7 @@ def result_call(home: Column, draw: Column, away: Column) -> Column:
 
 
 def ensemble(poisson: Column, boosted: Column, strengths: Column, strengths_weight: float = 0.4) -> Column:
-    """Blend of up to three model probabilities; a missing model is null."""
+    """Blend of up to three model probabilities; a missing model is null. The weights are fixed values."""
     return (
         F.when(boosted.isNotNull() & strengths.isNotNull(), 0.35 * poisson + 0.35 * boosted + 0.30 * strengths)
         .when(strengths.isNotNull(), (1.0 - strengths_weight) * poisson + strengths_weight * strengths)

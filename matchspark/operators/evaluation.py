@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Edges of the value buckets.
 EDGES = ((0.0, 0.02), (0.02, 0.05), (0.05, 0.10), (0.10, 0.15), (0.15, 0.20), (0.20, 1.0))
 
 
@@ -127,11 +128,9 @@ def compare_models(df: DataFrame, models: dict[str, tuple[str, str]], actual: tu
     rows = F.array(
         *[F.struct(F.lit(m).alias("model"), *[F.col(f"{m}|{f}").alias(f) for f in fields]) for m in models]
     )
-    table = one.select(F.inline(rows)).withColumn("mean_rmse", (F.col("home_rmse") + F.col("away_rmse")) / 2)
-    worst = one.select(
-        F.greatest(*[(F.col(f"{m}|home_rmse") + F.col(f"{m}|away_rmse")) / 2 for m in models]).alias("w")
-    ).scalar()
-    return table.withColumn("gain_pct", (worst - F.col("mean_rmse")) / worst * 100)
+    worst = F.greatest(*[(F.col(f"{m}|home_rmse") + F.col(f"{m}|away_rmse")) / 2 for m in models]).alias("__worst")
+    table = one.select(worst, F.inline(rows)).withColumn("mean_rmse", (F.col("home_rmse") + F.col("away_rmse")) / 2)
+    return table.withColumn("gain_pct", (F.col("__worst") - F.col("mean_rmse")) / F.col("__worst") * 100).drop("__worst")
 
 
 def null_audit(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -82,7 +82,7 @@ def stage_flags(spark, sf_dir):
     return matches(spark, sf_dir).select("match_id", ftr, *[v.alias(k) for k, v in flags.items()])
 
 
-EXCLUDED = ("und ", "ou ", "ción", "wfc")
+EXCLUDED = (*conform.WOMENS_WORDS, "und ", "ou ", "ción", "wfc")
 
 
 @query(

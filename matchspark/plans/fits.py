@@ -68,7 +68,8 @@ def model_backtest(spark, sf_dir):
 def strengths_fit(spark, sf_dir):
     recent = conform.within_days_of_latest(matches(spark, sf_dir), "match_date", 3 * 365)
     fitted = strengths.fit(recent, tolerance=1e-3)
-    return fitted.teams.select("*", F.lit(fitted.home_advantage).alias("home_advantage"), F.lit(fitted.rho).alias("rho"))
+    whole = {"home_advantage": fitted.home_advantage, "rho": fitted.rho, "converged": fitted.converged}
+    return fitted.teams.select("*", *[F.lit(v).alias(k) for k, v in whole.items()])
 
 
 @query("gbt_goals")

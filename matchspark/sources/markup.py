@@ -265,6 +265,7 @@ POSSESSION = {
 }
 
 
+# Cell numbers of the other tables and their kinds.
 PASSING = {
     "passes_completed": (3, "int"), "passes_attempted": (4, "int"), "pass_completion_pct": (5, "double"),
     "progressive_passes": (16, "int"), "passes_into_final_third": (14, "int"), "passes_into_penalty_area": (15, "int"),
