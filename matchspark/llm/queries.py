@@ -38,6 +38,19 @@ def query(function=None, *, sql: str | None = None):
     return register(function) if function else register
 
 
+#: crc32 in SQL: the table of its bytes, and the fold over the bytes of ``x``, a text in hexadecimal.
+CRC_TABLE = """tab as (
+      select list(c order by i) as t from (
+        select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+        from range(256) r(i)
+      )
+    )"""
+CRC = """xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+      ))"""
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -271,23 +284,14 @@ def counted_words(docs: DataFrame) -> DataFrame:
 
 @query(
     sql=f"""
-    with recursive tab as (
-      select list(c order by i) as t from (
-        select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
-        from range(256) r(i)
-      )
-    ), runs as (
+    with recursive {CRC_TABLE}, runs as (
       select doc_id, run, count(*) as times
       from (select doc_id, unnest(regexp_extract_all({LOWER_SQL}, '[A-Za-zÀ-ÿ]+')) as run from documents)
       where length(run) >= 6 group by all
     ), bytes as (
       select run, times, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs
     ), hashed as (
-      select run, times, xor(4294967295, list_reduce(
-        list_prepend(4294967295::bigint, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
-        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
-      )) as h
-      from bytes, tab
+      select run, times, {CRC} as h from bytes, tab
     ), slipped as (
       select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, times
       from hashed
@@ -318,3 +322,56 @@ def counted_words(docs: DataFrame) -> DataFrame:
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word with the spelling that it most likely stands for."""
     return spelling.variants(counted_words(documents(spark, sf_dir)))
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+_PLACES = " union all ".join(
+    f"select row, i, '{label}' as label from place where " + " and ".join(f"w{i} = '{w}'" for i, w in enumerate(p.split()))
+    for p, label in PHRASES.items()
+)
+
+
+@query(
+    sql=f"""
+    with words as (
+      select row_number() over () as row, doc_id, regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+    ), token as (
+      select row, unnest(w) as w0, generate_subscripts(w, 1) - 1 as i from words
+    ), place as (
+      select row, i, w0, lead(w0, 1) over o as w1, lead(w0, 2) over o as w2, lead(w0, 3) over o as w3 from token window o as (partition by row order by i)
+    ), hit as ({_PLACES}), found as (
+      select row, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from hit group by row
+    )
+    select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels
+    from words left join found using (row)
+    """
+)
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 finds of the four fixed phrases."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+@query(
+    sql=f"""
+    with {CRC_TABLE}, rows as (
+      select row_number() over () as row, doc_id, hex(encode(coalesce(doc_id::varchar, ''))) as x, list_append(list_filter(regexp_split_to_array({LOWER_SQL}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''), '') as w
+      from documents
+    ), split as (
+      select row, doc_id, w, coalesce({CRC} % 7 = 2, false) as held_out from rows, tab
+    ), token as (
+      select row, held_out, unnest(w) as word from split
+    ), known as (
+      select word, count(*) as c from token where not held_out group by word
+    ), whole as (
+      select sum(c)::bigint as n, count(*) as v from known
+    ), scored as (
+      select row, count(*) as n_tokens, count(c) as n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) as base_score
+      from token left join known using (word), whole group by row
+    )
+    select doc_id, held_out, n_tokens, n_known, n as train_tokens, round(base_score, 4) as base_score from split join scored using (row), whole
+    """
+)
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of op4: tokens, known tokens and the base score."""
+    found = op4_bloom_lm(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))

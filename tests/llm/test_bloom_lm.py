@@ -106,3 +106,10 @@ def probabilities_of(model, tokens):
     end = single.level(bloom_lm._mixed(np.array([bloom_lm.token_hashes(b"")[0]], np.uint64)))
     previous = np.concatenate((end, own[:-1]))
     return bloom_lm.chances(model, pair.level(pairs), own, previous)
+
+
+def test_base_is_as_sql(spark, sf_dir):
+    from compare import connect, difference
+
+    q = "lm_base"
+    assert difference(queries.QUERIES[q], queries.ORACLE[q], spark, connect(sf_dir), sf_dir) is None

@@ -76,3 +76,10 @@ def test_odd_rows(spark):
     assert (rows[3]["n_base"], rows[3]["last_word"]) == (9000, 17998)
     assert len(rows[3]["detections"]) == 9000
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_phrases_are_as_sql(spark, sf_dir):
+    from compare import connect, difference
+
+    q = "license_phrases"
+    assert difference(queries.QUERIES[q], queries.ORACLE[q], spark, connect(sf_dir), sf_dir) is None
