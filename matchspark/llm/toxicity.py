@@ -39,8 +39,9 @@ BITS, FACTORS = 20, 6
 STEMS = (4, 5, 6, 7)
 SAMPLE, MIN_TEXTS, MIN_DEVIATIONS = 4000, 5, 4.0
 #: Texts of each label in which pairs of words are counted; least texts with a pair and deviations that tell; words in
-#: more than this share of the texts make no pairs, they are everywhere; most pairs that are chosen, the clearest first.
-PAIR_SAMPLE, PAIR_TEXTS, PAIR_DEVIATIONS, PAIR_SHARE, PAIRS = 1000, 12, 5.0, 0.1, 2000
+#: more than this share of the texts make no pairs, they are everywhere; most words that make pairs, those in most
+#: toxic texts, and most pairs that are chosen, the clearest first; words whose pairs are counted together.
+PAIR_SAMPLE, PAIR_TEXTS, PAIR_DEVIATIONS, PAIR_SHARE, PAIR_WORDS, PAIRS, PAIR_BLOCK = 1000, 12, 5.0, 0.1, 12_000, 2000, 512
 #: Words whose places a worker remembers.
 REMEMBERED = 200_000
 EPOCHS, BATCH, RATE = 12, 64, 0.05
@@ -158,37 +159,48 @@ def _pairs(sampled: DataFrame) -> np.ndarray:
     some = [sampled.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(PAIR_SAMPLE) for y in (0, 1)]
     texts = cut(some[0].unionAll(some[1]).select("label", F.col("words").alias("places")), "pair-texts")
     total, toxic = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    band = _counted(texts).filter((F.col("n") >= PAIR_TEXTS) & (F.col("n") <= max(PAIR_SHARE * total, 2 * PAIR_TEXTS))).toArrow()  # at most 2 ** BITS
+    often = _counted(texts).filter((F.col("n") >= PAIR_TEXTS) & (F.col("n") <= max(PAIR_SHARE * total, 2 * PAIR_TEXTS)))
+    band = often.orderBy(F.desc("toxic"), "place").limit(PAIR_WORDS).toArrow()
     order = np.argsort(np.asarray(band.column(0)))
     known, n, hits = (np.asarray(band.column(i))[order].astype(np.int64) for i in range(3))
-    shared = sampled.sparkSession.sparkContext.broadcast((known, hits / np.maximum(n, 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
-        for batch in slices(batches, 1 << 18):
-            for label in (0, 1):
-                parts = [np.zeros(0, np.int64)]
-                for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if y == label:
-                        own = np.searchsorted(known, np.intersect1d(np.frombuffer(x, "<i4"), known, assume_unique=True))
-                        a, b = np.triu_indices(len(own), 1)
-                        parts.append(own[a] << BITS | own[b])
-                pair, times = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, times, times * label)], ["pair", "n", "toxic"])
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [np.searchsorted(known, np.intersect1d(np.frombuffer(x, "<i4"), known, assume_unique=True)) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<i4").tobytes() for x in own], pa.binary())], ["label", "words"])
+
+    held = texts.mapInArrow(found, "label int, words binary").collect()  # at most 2 * PAIR_SAMPLE * PAIR_WORDS numbers
+    sides = [[np.frombuffer(bytes(r["words"]), "<i4") for r in held if r["label"] == y] for y in (0, 1)]
+    spark = sampled.sparkSession
+    shared = spark.sparkContext.broadcast((sides, hits / np.maximum(n, 1), toxic / max(total, 1)))
+    count = len(known)
+
+    def incidence(texts: list[np.ndarray], start: int, stop: int) -> np.ndarray:
+        """A row for each text, a column for each word of a range."""
+        out = np.zeros((len(texts), stop - start), np.float32)
+        for row, words in zip(out, texts):
+            row[words[(words >= start) & (words < stop)] - start] = 1
+        return out
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rate = shared.value[1]
-        base = toxic / max(total, 1)
-        for batch in batches:
-            pair, n, hits = (np.asarray(batch.column(i)) for i in range(3))
-            a, b = rate[pair >> BITS], rate[pair & ((1 << BITS) - 1)]
-            high, low = (np.clip(f(f(a, b), base), 0.01, 0.99) for f in (np.maximum, np.minimum))
-            apart = np.maximum((hits - n * high) / np.sqrt(n * high * (1 - high)), (n * low - hits) / np.sqrt(n * low * (1 - low)))
-            keep = apart >= PAIR_DEVIATIONS
-            yield pa.RecordBatch.from_arrays([pa.array(pair[keep]), pa.array(apart[keep])], ["pair", "apart"])
-
-    counted = texts.mapInArrow(run, "pair long, n long, toxic long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    best = counted.filter(F.col("n") >= PAIR_TEXTS).mapInArrow(tell, "pair long, apart double").orderBy(F.desc("apart"), "pair").limit(PAIRS)
+        sides, rate, base = shared.value
+        for start in (int(x) for batch in batches for x in np.asarray(batch.column(0))):
+            stop = min(start + PAIR_BLOCK, count)
+            own = [incidence(t, start, stop) for t in sides]
+            for left in range(start, count, 4 * PAIR_BLOCK):
+                right = min(left + 4 * PAIR_BLOCK, count)
+                clean, hits = (a.T @ incidence(t, left, right) for a, t in zip(own, sides))
+                a, b = np.nonzero((clean + hits >= PAIR_TEXTS) & (np.arange(start, stop)[:, None] < np.arange(left, right)))
+                hits, n = hits[a, b], (clean + hits)[a, b]
+                a, b = a + start, b + left
+                high, low = (np.clip(f(f(rate[a], rate[b]), base), 0.01, 0.99) for f in (np.maximum, np.minimum))
+                apart = np.maximum((hits - n * high) / np.sqrt(n * high * (1 - high)), (n * low - hits) / np.sqrt(n * low * (1 - low)))
+                keep = apart >= PAIR_DEVIATIONS
+                pair = a[keep].astype(np.int64) << BITS | b[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(apart[keep].astype(float))], ["pair", "apart"])
+
+    blocks = spark.range(0, count, PAIR_BLOCK, max(1, -(-count // PAIR_BLOCK)))
+    best = blocks.mapInArrow(tell, "pair long, apart double").orderBy(F.desc("apart"), "pair").limit(PAIRS)
     pairs = np.array([r["pair"] for r in best.collect()], np.int64)
     return known[np.unique(np.concatenate([pairs >> BITS, pairs & ((1 << BITS) - 1)]))] if len(pairs) else known[:0]
 
