@@ -95,11 +95,15 @@ def text_of(markup: Column) -> Column:
 
 def plain(markup: str) -> str:
     """Text of a fragment: tags out, character references decoded, ends stripped."""
-    return html_text.unescape(_ANY_TAG.sub("", markup)).replace("\xa0", " ").strip()
+    if "<" in markup:
+        markup = _ANY_TAG.sub("", markup)
+    if "&" in markup:
+        markup = html_text.unescape(markup)
+    return markup.replace("\xa0", " ").strip()
 
 
 _ANY_TAG = re.compile(r"<[^>]*>")
-_TABLE_TAG = re.compile(r"""<(/?)(table|tr|td|th)\b((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.I)
+_TABLE_TAG = re.compile(r"""<(/?)(table|tr|td|th)\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.I)
 _SPAN = re.compile(r"""(?<![\w-])(col|row)span\s*=\s*["']?\s*(\d{1,5})""", re.I)
 _STAT = re.compile(r'data-stat="([^"]*)"')
 CELL_TYPE = "struct<attributes: string, stat: string, inner: string, text: string>"
@@ -176,7 +180,7 @@ class _Table:
         following: dict[int, tuple[int, dict]] = {}
         for cell in self.row["cells"]:
             reach()
-            spans = {k.lower(): int(n) for k, n in _SPAN.findall(cell["attributes"])}
+            spans = {k.lower(): int(n) for k, n in _SPAN.findall(cell["attributes"])} if "span" in cell["attributes"].lower() else {}
             for _ in range(max(1, min(spans.get("col", 1), 1000))):
                 if spans.get("row", 1) > 1:
                     following[len(placed)] = (spans["row"] - 1, cell)
