@@ -6,12 +6,11 @@ import html as html_text
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchspark.functions import conform
+from matchspark.sources.pages import emitted
 
 FIXTURE = """fixture struct<id: bigint, date: string, venue: struct<name: string>>,
   league struct<id: bigint, name: string, season: string, round: string>,
@@ -111,22 +110,8 @@ CELL_TYPE = "struct<attributes: string, stat: string, inner: string, text: strin
 
 def _emitted(df: DataFrame, html: str, keep: Sequence[str], read: Callable[[str], Iterable[dict]], schema: str) -> DataFrame:
     """``keep`` and ``position`` with the records that one pass over each page emits."""
-    rows = df.select(*keep, F.col(html).cast("string").alias("__page"))
-    fields = to_arrow_schema(df.sparkSession.createDataFrame([], f"position long, {schema}").schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, records = [], []
-            for i, page in enumerate(batch.column(len(keep)).to_pylist()):
-                for position, record in enumerate(read(page or "")):
-                    owners.append(i)
-                    records.append({"position": position, **record})
-            own = batch.take(pa.array(owners, pa.int64()))
-            columns = [pa.array([r[f.name] for r in records], f.type) for f in fields]
-            yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], *columns], [*keep, *fields.names])
-
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{kinds}position long, {schema}")
+    numbered = lambda page: ({"position": i, **record} for i, record in enumerate(read(page)))
+    return emitted(df, html, keep, numbered, f"position long, {schema}")
 
 
 def elements(df: DataFrame, html: str, tag: str, keep: Sequence[str] = (), with_attributes: str = "") -> DataFrame:
@@ -180,7 +165,7 @@ class _Table:
         following: dict[int, tuple[int, dict]] = {}
         for cell in self.row["cells"]:
             reach()
-            spans = {k.lower(): int(n) for k, n in _SPAN.findall(cell["attributes"])} if "span" in cell["attributes"].lower() else {}
+            spans = {k.lower(): int(n) for k, n in _SPAN.findall(cell["attributes"])} if cell["attributes"] and "span" in cell["attributes"].lower() else {}
             for _ in range(max(1, min(spans.get("col", 1), 1000))):
                 if spans.get("row", 1) > 1:
                     following[len(placed)] = (spans["row"] - 1, cell)
@@ -219,7 +204,7 @@ def table_grid(page: str) -> list[dict]:
             top.close_cell(page, m.start())
         elif top.row is not None:
             top.close_cell(page, m.start())
-            named = _STAT.search(m[3])
+            named = _STAT.search(m[3]) if m[3] else None
             top.cell = {"attributes": m[3], "stat": named[1] if named else "", "from": m.end(), "pieces": []}
     for table in reversed(tables):
         table.close_row(page, len(page))

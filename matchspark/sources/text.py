@@ -10,13 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchspark.functions import conform
 from matchspark.operators import names
+from matchspark.sources.pages import emitted
 
 # Words that mark a league line, month names, result labels of the page.
 LEAGUE_WORDS = ("League", "Liga", "Serie", "Bundesliga", "Ligue", "Premiership", "Championship")
@@ -70,24 +69,7 @@ Record = dict[str, object]
 
 def folded(pages: DataFrame, entity: Sequence[str], text: str, read: Callable[[list[str]], Iterator[Record]], schema: str) -> DataFrame:
     """``entity`` and the records that one fold over the non-empty stripped lines of each page emits."""
-    rows = pages.select(*entity, F.col(text).cast("string").alias("__page"))
-    fields = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owners, records = [], []
-            for i, page in enumerate(batch.column(len(entity)).to_pylist()):
-                lines = [x for x in (line.strip(BLANKS) for line in (page or "").split("\n")) if x]
-                for record in read(lines):
-                    owners.append(i)
-                    records.append(record)
-            own = batch.take(pa.array(owners, pa.int64()))
-            found = pa.Table.from_pylist(records, fields).combine_chunks()
-            columns = [found.column(f.name).combine_chunks() if len(found) else pa.array([], f.type) for f in fields]
-            yield pa.RecordBatch.from_arrays([*own.columns[: len(entity)], *columns], [*entity, *fields.names])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*entity).schema)
-    return rows.mapInArrow(run, f"{kinds}, {schema}")
+    return emitted(pages, text, entity, lambda page: read([x for x in (line.strip(BLANKS) for line in page.split("\n")) if x]), schema)
 
 
 def in_blocks(lines: Iterable[str], least: int) -> Iterator[tuple[int, list[str]]]:
