@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.operators import sequences
@@ -19,7 +19,7 @@ def asof(
     left_time: str,
     right_time: str,
     values: Sequence[str],
-    block: Callable[[Column], Column],
+    block: Callable[[Column], Column] | None,
     strict: bool = False,
     tie: Sequence[str] = (),
 ) -> DataFrame:
@@ -27,8 +27,11 @@ def asof(
 
     Both sides are put in one ordered series and the right row is carried
     forward. ``block`` maps a time to its block (see :func:`sequences.running`);
-    ``tie`` orders right rows of one time, the last one wins.
+    ``tie`` orders right rows of one time, the last one wins. Times that are their
+    own blocks, as days are, need none: see :func:`_asof_days`.
     """
+    if block is None:
+        return _asof_days(left, right, by, left_time, right_time, values, strict, tie)
     before, after = (1, 0) if strict else (0, 1)
     asked = left.withColumns({"__t": F.col(left_time), "__kind": F.lit(after)})
     known = right.dropna(subset=list(by)).select(
@@ -46,6 +49,29 @@ def asof(
     return found.select(*left.columns, *[F.col(f"__match.{v}").alias(v) for v in values])
 
 
+def _asof_days(
+    left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], strict: bool, tie: Sequence[str]
+) -> DataFrame:
+    """As-of join over days: only one row for each day of either side is put in order, then left rows look up their day.
+
+    Right rows are folded to the last of each day before they are shuffled; the left ones' days are, too. A null day is the first.
+    """
+    known = right.dropna(subset=list(by)).select(
+        *by, F.col(right_time).alias("__t"), F.struct(*[F.col(v).alias(v) for v in values]).alias("__row"), F.struct(F.lit(1).alias("__one"), *tie).alias("__tie")
+    )
+    if tie:
+        known = known.groupBy(*by, "__t").agg(F.max_by("__row", "__tie").alias("__row"))
+    before, after = (1, 0) if strict else (0, 1)
+    days = left.select(*by, F.col(left_time).alias("__t")).distinct().withColumn("__kind", F.lit(after))
+    series = days.unionByName(known.select(*by, "__t", "__row", F.lit(before).alias("__kind")), allowMissingColumns=True)
+    down = Window.partitionBy(*by).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    ran = series.select(*by, "__t", "__kind", F.last("__row", ignorenulls=True).over(down).alias("__match"))
+    carried = ran.filter(F.col("__kind") == after).select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__t", "__match")
+    same = [F.col(c) == F.col(f"__by{i}") for i, c in enumerate(by)] + [F.col(left_time).eqNullSafe(F.col("__t"))]
+    found = left.join(carried, reduce(Column.__and__, same), "left")
+    return found.select(*left.columns, *[F.col(f"__match.{v}").alias(v) for v in values])
+
+
 def interval_sums(
     left: DataFrame,
     events: DataFrame,

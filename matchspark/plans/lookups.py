@@ -46,7 +46,7 @@ def with_tenure(snapshots: DataFrame, team: str, manager: str, date: str) -> Dat
     return snapshots.select(team, manager, date).distinct().join(first, [team, manager])
 
 
-def manager_features(matches_: DataFrame, snapshots: DataFrame, block=lambda t: t, new: int = 30, long: int = 365) -> DataFrame:
+def manager_features(matches_: DataFrame, snapshots: DataFrame, block=None, new: int = 30, long: int = 365) -> DataFrame:
     """Tenure in days of the latest known manager at the match, and the new and experienced flags."""
     known = with_tenure(snapshots, "team", "manager", "seen")
     found = joins.asof(matches_, known, ["team"], "match_date", "seen", ["manager", "since"], block, tie=["manager"])
@@ -155,15 +155,11 @@ def domestic_form(rows: DataFrame, n: int = 5) -> DataFrame:
 def with_domestic_form(rows: DataFrame, domestic_rows: DataFrame, minimum: int = 3) -> DataFrame:
     """Domestic form strictly before each match; null below ``minimum`` domestic matches.
 
-    The states are written once: the as-of join reads them twice.
+    Only the state after a day's last match can be the newest one of a later day: days are folded to it before a shuffle.
     """
-    states = domestic_form(domestic_rows).select(
-        "team", F.col("match_date").alias("dom_date"), "match_id", "is_home", "dom_total_games", *DOMESTIC_FORM
-    ).withColumnsRenamed({"match_id": "dom_id", "is_home": "dom_at_home"})
-    found = joins.asof(
-        rows, cut(states, "states"), ["team"], "match_date", "dom_date", ["dom_total_games", *DOMESTIC_FORM], lambda t: t,
-        strict=True, tie=["dom_id", "dom_at_home"],
-    )
+    shown = ["dom_total_games", *DOMESTIC_FORM]
+    states = domestic_form(domestic_rows).groupBy("team", F.col("match_date").alias("dom_date")).agg(*[F.max_by(c, "seq").alias(c) for c in shown])
+    found = joins.asof(rows, states, ["team"], "match_date", "dom_date", shown, None, strict=True)
     enough = F.col("dom_total_games") >= minimum
     return found.withColumns({c: F.when(enough, F.col(c)) for c in ["dom_total_games", *DOMESTIC_FORM]})
 
