@@ -32,6 +32,7 @@ are scored row by row; other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -63,8 +64,7 @@ LOW = np.uint64(16)
 def token_hashes(text: bytes) -> np.ndarray:
     words = text.lower().split()
     words.append(b"")  # the end: no word is empty
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
