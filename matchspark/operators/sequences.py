@@ -299,5 +299,6 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
 
 def last_rows(df: DataFrame, entity: Sequence[str], order: Sequence[Column], n: int, name: str = "recency") -> DataFrame:
     """The last ``n`` rows of each entity, limited before the shuffle."""
-    recency = F.row_number().over(Window.partitionBy(*entity).orderBy(*[c.desc() for c in order]))
+    # a hash first: rows are then sorted by one number that tells nearly all entities apart
+    recency = F.row_number().over(Window.partitionBy(F.xxhash64(*entity), *entity).orderBy(*[c.desc() for c in order]))
     return df.withColumn(name, recency).filter(F.col(name) <= n)

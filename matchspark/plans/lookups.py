@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchspark.operators import joins, names, reshape, sequences
@@ -137,7 +137,11 @@ DOMESTIC_FORM = ["dom_avg_for", "dom_avg_against", "dom_home_pct", "dom_ema_for"
 DOMESTIC_ORDER = ["match_date", "match_id", "is_home"]
 
 
-def domestic_form(rows: DataFrame, n: int = 5) -> DataFrame:
+#: Matches that the domestic form looks back on.
+FORM_ROWS = 5
+
+
+def domestic_form(rows: DataFrame, n: int = FORM_ROWS) -> DataFrame:
     """State of each team after each of its domestic matches: means over the last ``n``, and the match count."""
     numbered = sequences.number(rows, ["team"], DOMESTIC_ORDER, F.col("match_date"), "seq")
     flagged = numbered.withColumn("home_flag", F.col("is_home").cast("double"))
@@ -155,10 +159,20 @@ def domestic_form(rows: DataFrame, n: int = 5) -> DataFrame:
 def with_domestic_form(rows: DataFrame, domestic_rows: DataFrame, minimum: int = 3) -> DataFrame:
     """Domestic form strictly before each match; null below ``minimum`` domestic matches.
 
-    Only the state after a day's last match can be the newest one of a later day: days are folded to it before a shuffle.
+    Only the state after a day's last match can be the newest one of a later day, and it reaches ``FORM_ROWS`` matches back:
+    the last ones of each team and day and the number of all, both folded before a shuffle, hold what it needs.
     """
     shown = ["dom_total_games", *DOMESTIC_FORM]
-    states = domestic_form(domestic_rows).groupBy("team", F.col("match_date").alias("dom_date")).agg(*[F.max_by(c, "seq").alias(c) for c in shown])
+    day = ["team", "match_date"]
+    latest = [F.col(c) for c in DOMESTIC_ORDER if c not in day]
+    played = domestic_rows.select(*DOMESTIC_ORDER, "team", "goals_for", "goals_against")
+    ends = cut(sequences.last_rows(played, day, latest, FORM_ROWS).drop("recency"), "day-ends")  # the series reads them twice
+    through = Window.partitionBy("team").orderBy("match_date").rowsBetween(Window.unboundedPreceding, 0)
+    games = domestic_rows.groupBy(*day).agg(F.count(F.lit(1)).alias("__n"))
+    games = games.select(F.col("team").alias("__team"), F.col("match_date").alias("__day"), F.sum("__n").over(through).alias("dom_total_games"))
+    same = F.col("team").eqNullSafe(F.col("__team")) & F.col("match_date").eqNullSafe(F.col("__day"))
+    formed = domestic_form(ends).drop("dom_total_games").join(games, same)
+    states = formed.groupBy("team", F.col("match_date").alias("dom_date")).agg(*[F.max_by(c, "seq").alias(c) for c in shown])
     found = joins.asof(rows, states, ["team"], "match_date", "dom_date", shown, None, strict=True)
     enough = F.col("dom_total_games") >= minimum
     return found.withColumns({c: F.when(enough, F.col(c)) for c in ["dom_total_games", *DOMESTIC_FORM]})

@@ -1,5 +1,7 @@
 """Series operators against pandas, with one entity holding most rows and small chunks."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchspark.operators import joins, sequences
+from matchspark.plans import lookups
+from matchspark.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -180,3 +184,23 @@ def test_frames_and_weighted_means_share_a_shuffle(df):
     pd.testing.assert_frame_equal(collected(both, "m", "e"), collected(apart, "m", "e"))
     far = sequences.form(rows, ["team"], "seq", {"m": sequences.trailing_mean("x", 700)}, weighted)
     assert far.columns == [*rows.columns, "m", "e"] and collected(far, "e").equals(collected(apart, "e"))
+
+
+def test_domestic_form_shuffles_the_last_matches_of_a_day(spark):
+    """A day of many matches counts for as many rows as the form looks back on; the states are those over all matches."""
+    rows = [("d", 1 + i // 400, f"{i:05d}", i % 2 == 0, i * 7 % 5, i * 3 % 4) for i in range(1200)]
+    dom = spark.createDataFrame(rows, "team string, day int, match_id string, is_home boolean, goals_for long, goals_against long")
+    dom = dom.select("*", F.date_add(F.lit("2001-01-01").cast("date"), F.col("day")).alias("match_date")).drop("day")
+    dom = dom.unionByName(dom.filter("match_id < '00002'").withColumn("match_date", F.lit(None).cast("date")))
+    asked = spark.createDataFrame([("d", d) for d in range(1, 6)], "team string, day int")
+    asked = asked.select("team", "day", F.date_add(F.lit("2001-01-01").cast("date"), F.col("day")).alias("match_date"))
+    found = lookups.with_domestic_form(asked, dom)
+    got = {r["day"]: (r["dom_total_games"], r["dom_avg_for"], r["dom_home_pct"]) for r in found.collect()}
+    for day in range(1, 6):
+        before = rows[: 400 * min(day - 1, 3)]
+        last = before[-5:]
+        want = (len(before) + 2, sum(r[4] for r in last) / 5, sum(r[3] for r in last) / 5) if before else (None, None, None)
+        assert got[day] == pytest.approx(want) if before else got[day] == want
+    # what the series reads was folded to the last rows of each day
+    written = re.findall(r"day-ends-[0-9a-f]+", "".join(found.inputFiles()))
+    assert written and spark.read.parquet(f"{shared_dir(spark)}/{written[0]}").count() == 3 * 5 + 2
