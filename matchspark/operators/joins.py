@@ -81,13 +81,16 @@ def interval_sums(
     event_time: str,
     start: Column,
     measures: dict[str, Column],
-    block: Callable[[Column], Column],
+    block: Callable[[Column], Column] | None,
 ) -> DataFrame:
     """Sums over the events of ``by`` with ``start <= event_time <= left_time``, per left ``key``; 0 without any.
 
     Each left row asks twice for the running sum, at both ends of its interval,
     and takes the difference: work grows with rows, not with matching pairs.
+    Times that are their own blocks, as days are, need no ``block``: see :func:`_interval_days`.
     """
+    if block is None:
+        return _interval_days(left, events, by, key, left_time, event_time, start, measures)
     ends = F.array(
         F.struct(start.alias("__t"), F.lit(0).alias("__kind")),
         F.struct(F.col(left_time).alias("__t"), F.lit(2).alias("__kind")),
@@ -108,6 +111,31 @@ def interval_sums(
     )
 
 
+def _interval_days(
+    left: DataFrame, events: DataFrame, by: Sequence[str], key: Sequence[str], left_time: str, event_time: str, start: Column, measures: dict[str, Column]
+) -> DataFrame:
+    """Interval sums over days: events are folded by day and asked days listed once before a shuffle, and only days are put in order.
+
+    Left rows then look up the running sums of both ends. A null day is the first.
+    """
+    happened = events.select(*by, F.col(event_time).alias("__t"), *[v.alias(f"__v_{n}") for n, v in measures.items()])
+    known = happened.groupBy(*by, "__t").agg(*[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in measures]).withColumn("__kind", F.lit(1))
+    asked = left.select(*by, *[k for k in key if k not in by], start.alias("__t0"), F.col(left_time).alias("__t2"))
+    ends = F.array(*[F.struct(F.col(f"__t{k}").alias("__t"), F.lit(k).alias("__kind")) for k in (0, 2)])
+    series = asked.select(*by, F.inline(ends)).distinct().unionByName(known, allowMissingColumns=True)
+    down = Window.partitionBy(*by).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(f"__v_{n}").over(down).alias(f"__s_{n}") for n in measures]
+    ran = cut(series.select(*by, "__t", "__kind", *sums).filter(F.col("__kind") != 1), "day-sums")  # looked up twice
+    for k in (0, 2):
+        there = ran.filter(F.col("__kind") == k).select(
+            *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], "__t", *[F.col(f"__s_{n}").alias(f"__{k}_{n}") for n in measures]
+        )
+        same = [F.col(c) == F.col(f"__by{i}") for i, c in enumerate(by)] + [F.col(f"__t{k}").eqNullSafe(F.col("__t"))]
+        asked = asked.join(there, reduce(Column.__and__, same), "left").drop("__t", *[f"__by{i}" for i in range(len(by))])
+    between = {n: F.coalesce(f"__2_{n}", F.lit(0)) - F.coalesce(f"__0_{n}", F.lit(0)) for n in measures}
+    return asked.groupBy(*key).agg(*[F.sum(v).alias(n) for n, v in between.items()])
+
+
 def trailing_priority(
     rows: DataFrame,
     team: str,

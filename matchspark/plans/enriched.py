@@ -44,7 +44,7 @@ def injury_form(rows: DataFrame, absences: DataFrame, lookback: int = 7) -> Data
     }
     start = F.date_sub("match_date", lookback)
     return joins.interval_sums(
-        rows, absences, ["team"], ["match_id", "is_home"], "match_date", "date", start, measures, lambda day: day
+        rows, absences, ["team"], ["match_id", "is_home"], "match_date", "date", start, measures, None
     )
 
 

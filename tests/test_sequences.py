@@ -204,3 +204,25 @@ def test_domestic_form_shuffles_the_last_matches_of_a_day(spark):
     # what the series reads was folded to the last rows of each day
     written = re.findall(r"day-ends-[0-9a-f]+", "".join(found.inputFiles()))
     assert written and spark.read.parquet(f"{shared_dir(spark)}/{written[0]}").count() == 3 * 5 + 2
+
+
+def test_interval_sums_of_days_order_days_only(spark):
+    """Events and asked days are folded before they are put in order; null days and repeated keys count as before."""
+    day = F.date_add(F.lit("2001-01-01").cast("date"), F.col("day").cast("int"))
+    events = spark.range(3000).select((F.col("id") % 2).alias("team"), (F.col("id") % 7).alias("day"), "id").withColumn("day", day)
+    events = events.unionByName(spark.sql("select 0L as team, cast(null as date) as day, 5L as id"))
+    asked = [(0, 1, 3), (1, 0, 3), (2, 1, 0), (3, 0, None), (4, 9, 3), (5, 0, 40), (5, 0, 4)]
+    left = spark.createDataFrame(asked, "id long, team long, day int").withColumn("day", day)
+    start = F.date_sub("day", 2)
+    measures = {"n": F.lit(1), "total": F.col("id")}
+    found = joins.interval_sums(left, events, ["team"], ["id"], "day", "day", start, measures, None)
+    before = joins.interval_sums(left, events, ["team"], ["id"], "day", "day", start, measures, lambda d: d)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, before.select(*found.columns).collect()))
+    got = {r["id"]: r["n"] for r in found.collect()}
+    of_day = lambda team, d: sum(i % 2 == team and i % 7 == d for i in range(3000))
+    assert got == {
+        0: sum(of_day(1, d) for d in (1, 2, 3)), 1: sum(of_day(0, d) for d in (1, 2, 3)), 2: of_day(1, 0), 3: 1, 4: 0,
+        5: sum(of_day(0, d) for d in (2, 3, 4)),
+    }
+    written = re.findall(r"day-sums-[0-9a-f]+", "".join(found.inputFiles()))
+    assert written and spark.read.parquet(f"{shared_dir(spark)}/{written[0]}").count() <= 2 * len(asked)
