@@ -20,9 +20,11 @@ and neither is the template. Hosts with fewer than ``MIN_PAGES`` different pages
 element has no text, go by names alone: the page's articles, else its main element, else an element named like content,
 else the body.
 
-All pages of a host take part. Each task folds its pages of a host into one wrapper before anything is shuffled,
-wrappers are merged by host and salt, then by host. Elements are numbered and held in flat lists, and nothing recurses, so a
-page may be nested or long at will.
+All pages and all elements of a host take part. Each task folds its pages of a host into one wrapper before anything is shuffled;
+elements are rows from there on, merged by host, place and salt, then by host and place. A host of up to ``TOGETHER`` elements and
+fixed texts is followed in one task and its fixed texts go to its pages. Beyond, nothing of a host meets in one task: the text below its elements
+is summed by pointer doubling, only the chain of its heavy elements is followed, and its pages look their texts up by joins. Elements
+are numbered and held in flat lists, and nothing recurses, so a page may be nested or long at will.
 
 Defined results: null html is empty; a page without main text has the empty text; a null
 or odd url has the host ''; repeated rows repeat; page ids are carried as they are; an empty table stays
@@ -37,7 +39,9 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -53,6 +57,10 @@ SALTS = 64
 MIN_PAGES = 5
 #: Elements that a task holds in wrappers before it sends them on, and most bytes of rules that go to every task.
 HELD, BROADCAST_BYTES = 200_000, 24 << 20
+#: Elements of one host's wrapper in a task before it is sent on: pages are aligned with all of them.
+FULL = 5_000
+#: Elements and fixed texts of a host that one task holds. Beyond, they stay rows of a table; the result is the same.
+TOGETHER = 20_000
 
 # Elements of HTML and the words that sites use for parts of a page.
 INLINE = frozenset(
@@ -234,6 +242,7 @@ def place(above: int, key: str) -> int:
 #: Elements whose name says nothing of their part.
 PLAIN = frozenset("div section span table tbody tr td center".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+TITLES = PROSE - {"p"}
 REGIONS = ("article", "main", "content", "body")
 
 
@@ -426,16 +435,21 @@ def shape(page: Page) -> list[Node]:
     return nodes
 
 
-def merge(a: list[Node], b: list[Node]) -> list[Node]:
-    """Takes the wrapper ``b`` into ``a``."""
+def take(x: Node, y: Node) -> None:
+    """Takes one element ``y`` into ``x``, the same place of another wrapper."""
+    x.groups = aligned(x.groups, y.groups)
+    x.repeated, x.optional = x.repeated or y.repeated, x.optional or y.optional
+    x.pages, x.mass = x.pages + y.pages, x.mass + y.mass
+    x.fixed = {h: n for h, n in x.fixed.items() if h in y.fixed}
+    x.seen = sorted({*x.seen, *y.seen})[:MIN_PAGES]
+
+
+def united(a: list[Node], b: list[Node]) -> list[Node]:
+    """Takes the wrapper ``b`` into ``a``, every element of both."""
     pairs, fresh = [(0, 0)], []
     for i, j in pairs:  # grows
         x, y = a[i], b[j]
-        x.groups = aligned(x.groups, y.groups)
-        x.repeated, x.optional = x.repeated or y.repeated, x.optional or y.optional
-        x.pages, x.mass = x.pages + y.pages, x.mass + y.mass
-        x.fixed = {h: n for h, n in x.fixed.items() if h in y.fixed}
-        x.seen = sorted({*x.seen, *y.seen})[:MIN_PAGES]
+        take(x, y)
         for k, c in x.children.items():
             if k not in y.children:
                 a[c].optional = True
@@ -450,10 +464,16 @@ def merge(a: list[Node], b: list[Node]) -> list[Node]:
         a[parent].children[new.key] = len(a)
         fresh += [(x, len(a), False) for x in b[c].children.values()]
         a.append(new)
+    return a
+
+
+def merge(a: list[Node], b: list[Node]) -> list[Node]:
+    """As :func:`united`, cut to ``MOST`` elements: a wrapper to look at. Inference and texts never use it."""
+    a = united(a, b)
     return a if len(a) <= MOST else pruned(a)
 
 
-#: Elements of a wrapper. Beyond, those of the fewest pages go, and their text counts as their parent's.
+#: Elements of a wrapper to look at. Beyond, those of the fewest pages go, and their text counts as their parent's.
 MOST = 100_000
 
 
@@ -511,25 +531,38 @@ def chosen(nodes: list[Node]) -> int | None:
     own = list(total)
     for i in range(len(nodes) - 1, 0, -1):
         total[nodes[i].parent] += total[i]
-    path, at = [], 0
+    chain, at = [], 0
     while True:
-        heavy = [c for c in nodes[at].children.values() if 2 * total[c] > total[0] and not nodes[c].repeated and nodes[c].key != "#"]
+        heavy = [c for c in nodes[at].children.values() if 2 * total[c] > total[0]]
         if not heavy:
             break
         at = heavy[0]
-        path.append(at)
-    tag = lambda i: nodes[i].key.split("~")[0].split(".")[0]
-    path = [i for i in path if tag(i) not in ("html", "body")]
+        titled = any(_tag(nodes[c].key) in TITLES and total[c] for c in nodes[at].children.values())
+        chain.append((at, nodes[at].key, nodes[at].repeated, titled))
+    return followed(chain)
+
+
+def _tag(key: str) -> str:
+    return key.split("~")[0].split(".")[0]
+
+
+def followed(chain: Iterable[tuple[int, str, bool, bool]]) -> int | None:
+    """The article of (element, key, repeated, with a heading of its own): elements that hold most of the text, from the root down."""
+    path = []
+    for i, key, repeated, titled in chain:
+        if repeated or key == "#":
+            break
+        if _tag(key) not in ("html", "body"):
+            path.append((i, key, titled))
     if not path:
         return None
     for region in REGIONS[:3]:
-        for i in path:
-            if _is_region(nodes[i].key.split("~")[0], region):
+        for i, key, _ in path:
+            if _is_region(key.split("~")[0], region):
                 return i
-    best = path[-1]
-    for i in path[-2::-1]:
-        titles = [c for c in nodes[i].children.values() if tag(c) in PROSE and tag(c) != "p" and total[c]]
-        if not titles:
+    best = path[-1][0]
+    for i, _, titled in path[-2::-1]:
+        if not titled:
             break
         best = i
     return best
@@ -585,71 +618,221 @@ def unpacked(data: str) -> list[Node]:
     return nodes
 
 
-WRAPPERS = "host string, salt int, wrapper string"
-
-
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*found) if found else [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string()))], ["host", "salt", "wrapper"])
+ELEMENTS = (
+    "host string, place long, salt int, above long, depth int, key string, groups array<array<string>>, repeated boolean,"
+    " optional boolean, pages long, mass long, texts array<long>, sizes array<long>, seen array<long>"
+)
+_ARROW = pa.schema(
+    [("host", pa.string()), ("place", pa.int64()), ("salt", pa.int32()), ("above", pa.int64()), ("depth", pa.int32()), ("key", pa.string()),
+     ("groups", pa.list_(pa.list_(pa.string()))), ("repeated", pa.bool_()), ("optional", pa.bool_()), ("pages", pa.int64()), ("mass", pa.int64()),
+     ("texts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("seen", pa.list_(pa.int64()))]
+)
+#: Most rows of elements, and keys and texts in them, that are held as objects beside the wrapper.
+BATCH = 20_000
+
+
+def _element(node: Node) -> tuple:
+    """Key and the rest of an element's row."""
+    return (
+        node.key, node.groups, node.repeated, node.optional, node.pages, node.mass, list(node.fixed), list(node.fixed.values()), node.seen,
+    )
+
+
+def _node(row: dict, parent: int = -1) -> Node:
+    node = Node(row["key"], parent)
+    node.groups, node.repeated, node.optional = row["groups"], row["repeated"], row["optional"]
+    node.pages, node.mass, node.seen = row["pages"], row["mass"], row["seen"]
+    node.fixed = dict(zip(row["texts"], row["sizes"]))
+    return node
+
+
+def _batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of elements as Arrow batches of bounded size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 1 + len(row[6]) + len(row[11])
+        if size >= BATCH:
+            yield _batch(held)
+            held, size = [], 0
+    yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
+def elements(own: str, salt: int, nodes: list[Node]) -> Iterator[tuple]:
+    """A host's wrapper as rows. Places are signed; the root has no place above."""
+    places, depths = [0], [0]
+    for i, node in enumerate(nodes):
+        if i:
+            places.append(place(places[node.parent], node.key))
+            depths.append(depths[node.parent] + 1)
+        above = places[node.parent] - (1 << 63) if i else None
+        yield own, places[i] - (1 << 63), salt, above, depths[i], *_element(node)
+
+
+def assembled(rows: Iterable[dict]) -> list[Node]:
+    """A host's wrapper of its rows by depth. An element that is not on all pages of its parent is optional."""
+    nodes, number = [], {}
+    for row in rows:
+        node = _node(row, -1 if row["above"] is None else number[row["above"]])
+        number[row["place"]] = len(nodes)
+        if node.parent >= 0:
+            parent = nodes[node.parent]
+            parent.children[node.key] = len(nodes)
+            node.optional = node.optional or node.pages < parent.pages
+        nodes.append(node)
+    return nodes
 
 
 def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, salt, wrapper) of a task's pages, one for each host."""
+    """The elements of a task's pages, one wrapper for each host as long as it fits."""
     salt = TaskContext.get().partitionId() % SALTS
     found: dict[str, list[Node]] = {}
+    full: dict[str, int] = {}
     held = 0
     for batch in slices(batches):
         for own, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            page = shape(Page(html))
             before = len(found.get(own, ()))
-            found[own] = merge(found[own], shape(Page(html))) if own in found else shape(Page(html))
+            if own in found:
+                found[own] = united(found[own], page)
+            else:
+                found[own], full[own] = page, max(FULL, 4 * len(page))
             held += len(found[own]) - before
+            if len(found[own]) > full[own]:
+                held -= len(found[own])
+                yield from _batches(elements(own, salt, found.pop(own)))
             if held > HELD:
-                yield _rows([(h, salt, packed(w)) for h, w in found.items()])
+                yield from _batches(row for h, w in found.items() for row in elements(h, salt, w))
                 found, held = {}, 0
-    yield _rows([(h, salt, packed(w)) for h, w in found.items()])
+    yield from _batches(row for h, w in found.items() for row in elements(h, salt, w))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by host and salt: one wrapper of each."""
-    here, wrapper = None, None
-    for batch in batches:
-        for r in batch.to_pylist():
-            own = unpacked(r["wrapper"])
-            if here == (r["host"], r["salt"]):
-                wrapper = merge(wrapper, own)
+    """Rows by host, place and salt: one of each. A row that is alone passes as it is."""
+    here, node = None, None
+    for batch in slices(batches):
+        keys = np.stack([batch.column(1), batch.column(2), batch.column(0).dictionary_encode().indices])
+        first = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
+        alone = first & np.append(first[1:], False)
+        alone[0] = False  # the batch before may end with the same
+        yield batch.filter(pa.array(alone)).cast(_ARROW)
+        done = []
+        for r in batch.filter(pa.array(~alone)).to_pylist():
+            at = r["host"], r["place"], r["salt"]
+            if here and here[:3] == at:
+                take(node, _node(r))
                 continue
             if here:
-                yield _rows([(*here, packed(wrapper))])
-            here, wrapper = (r["host"], r["salt"]), own
+                done.append((*here, *_element(node)))
+            here, node = (*at, r["above"], r["depth"]), _node(r)
+        yield from _batches(done)
     if here:
-        yield _rows([(*here, packed(wrapper))])
+        yield _batch([(*here, *_element(node))])
 
 
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper): of each host's pages, see :func:`unpacked` and :func:`as_regex`."""
+    """The elements of each host's wrapper, a row each, written once: see :func:`assembled` and :func:`as_regex`."""
     rows = pages.select(host(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    by_task = rows.mapInArrow(_wrappers, WRAPPERS)
-    by_salt = by_task.repartition("host", "salt").sortWithinPartitions("host", "salt").mapInArrow(_merged, WRAPPERS)
-    by_host = by_salt.withColumn("salt", F.lit(0)).repartition("host").sortWithinPartitions("host").mapInArrow(_merged, WRAPPERS)
-    return by_host.drop("salt")
+    keys = ["host", "place", "salt"]
+    by_salt = rows.mapInArrow(_wrappers, ELEMENTS).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merged, ELEMENTS)
+    by_place = by_salt.withColumn("salt", F.lit(0)).repartition(*keys[:2]).sortWithinPartitions(*keys[:2]).mapInArrow(_merged, ELEMENTS)
+    return cut(by_place.drop("salt"), "elements")
+
+
+def _parted(found: DataFrame) -> DataFrame:
+    """The elements and whether their host has more than a task should hold."""
+    weight = F.sum(1 + F.size("texts"))
+    return found.join(found.groupBy("host").agg((weight > TOGETHER).alias("wide")), "host")
+
+
+def reading(found: DataFrame) -> DataFrame:
+    """(host, article, fixed): the rules of each host's wrapper. ``fixed`` is null where the texts stay rows, see :func:`fixed_texts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in slices(batches) for r in batch.to_pylist())
+        for own, group in groupby(rows, key=lambda r: r["host"]):
+            article, fixed = rules(assembled(group))
+            article = None if article is None else article - (1 << 63)
+            columns = [pa.array([own]), pa.array([article], pa.int64()), pa.array([fixed], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "article", "fixed"])
+
+    parted = _parted(found)
+    narrow = parted.filter(~F.col("wide")).drop("wide").repartition("host").sortWithinPartitions("host", "depth")
+    decided = narrow.mapInArrow(run, "host string, article long, fixed array<long>")
+    wide = parted.filter("wide").drop("wide")
+    if wide.isEmpty():
+        return decided
+    return decided.unionByName(articles(wide).withColumn("fixed", F.lit(None).cast("array<long>")))
+
+
+def articles(found: DataFrame) -> DataFrame:
+    """(host, article) as :func:`chosen` tells it, of hosts of any number of elements."""
+    varying = F.col("mass") - F.col("pages") * F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    own = found.select(
+        "host", "place", "above", "depth", "key", "repeated", F.size("seen").alias("seen"), F.greatest(F.lit(0), varying).alias("total")
+    )
+    own = cut(own, "varying")
+    # the text below each element: twice as far down in each round
+    sums = own.select("host", "place", F.col("above").alias("up"), "total")
+    for _ in range((own.agg(F.max("depth")).first()[0] or 0).bit_length()):
+        gained = sums.filter("up is not null").groupBy("host", F.col("up").alias("place")).agg(F.sum("total").alias("gained"))
+        # an element without one so far above meets itself, so that these do not all meet
+        further = sums.select("host", F.col("place").alias("by"), F.col("up").alias("next"))
+        step = sums.withColumn("by", F.coalesce("up", "place")).join(further, ["host", "by"]).join(gained, ["host", "place"], "left")
+        total = F.col("total") + F.coalesce("gained", F.lit(0))
+        sums = cut(step.select("host", "place", F.col("next").alias("up"), total.alias("total")), "below", replaces=sums)
+    whole = own.drop("total").join(sums.drop("up"), ["host", "place"])
+    roots = whole.filter("depth = 0").select("host", "seen", F.col("total").alias("most"))
+    heavy = whole.drop("seen").join(roots.filter(F.col("seen") >= MIN_PAGES), "host").filter(2 * F.col("total") > F.col("most"))
+    titles = whole.filter(F.regexp_extract("key", "^[^~.]*", 0).isin(*TITLES) & (F.col("total") > 0))
+    titles = titles.select("host", F.col("above").alias("place"), F.lit(True).alias("titled")).distinct()
+    chains = heavy.filter("depth > 0").join(titles, ["host", "place"], "left").select("host", "depth", "place", "key", "repeated", "titled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in slices(batches) for r in batch.to_pylist())
+        for own, group in groupby(rows, key=lambda r: r["host"]):
+            article = followed((r["place"], r["key"], r["repeated"], bool(r["titled"])) for r in group)
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([article], pa.int64())], ["host", "article"])
+
+    ended = chains.repartition("host").sortWithinPartitions("host", "depth").mapInArrow(run, "host string, article long")
+    return roots.select("host").join(ended, "host", "left")
 
 
-def reading(wrappers: DataFrame) -> DataFrame:
-    """(host, article, fixed): the rules of each host's wrapper."""
+def fixed_texts(found: DataFrame) -> DataFrame:
+    """(host, code) of each fixed text of the hosts whose texts stay rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [rules(unpacked(w)) for w in batch.column(1).to_pylist()]
-            article = pa.array([None if a is None else a - (1 << 63) for a, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), article, pa.array([f for _, f in found], pa.list_(pa.int64()))], ["host", "article", "fixed"])
+        for batch in slices(batches):
+            spots, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            codes = [code(spot + (1 << 63), text) for spot, text in zip(spots, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], ["host", "code"])
+
+    rows = _parted(found).filter(F.col("wide") & (F.size("seen") >= MIN_PAGES))
+    return rows.select("host", "place", F.explode("texts").alias("text")).mapInArrow(run, "host string, code long").distinct()
 
-    return wrappers.select("host", "wrapper").mapInArrow(run, "host string, article long, fixed array<long>")
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, code) of each text of the pages."""
+    for batch in slices(batches):
+        for own, mark, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            page = Page(html)
+            places = page.places()
+            codes = list({code(places[slot], hashed(text)) for slot, text, _ in page.blocks})
+            columns = [pa.array([own] * len(codes), pa.string()), pa.array([mark] * len(codes), pa.string()), pa.array(codes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "mark", "code"])
 
 
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, text) of each page, read through the wrapper of its host."""
-    found = cut(reading(infer(pages, url, html)), "wrappers")
-    found = weighed(found, F.octet_length("host") + 32 + 8 * F.size("fixed"), BROADCAST_BYTES)
+    elements = infer(pages, url, html)
+    found = cut(reading(elements), "wrappers")
+    wide = not found.filter("fixed is null").isEmpty()
+    found = weighed(found, F.octet_length("host") + 32 + 8 * F.coalesce(F.size("fixed"), F.lit(0)), BROADCAST_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -663,5 +846,11 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
         host(F.col(url)).alias("host"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    joined = rows.join(found, "host", "left").select("id", "url", "html", "article", "fixed")
-    return joined.mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string")
+    joined = rows.join(found, "host", "left")
+    columns = ["id", "url", "html", "article", "fixed"]
+    if wide:
+        looking = joined.filter("fixed is null").drop("fixed").withColumn("mark", F.sha2("html", 256))
+        asked = looking.select("host", "mark", "html").mapInArrow(_asked, "host string, mark string, code long")
+        answers = asked.join(fixed_texts(elements), ["host", "code"]).groupBy("host", "mark").agg(F.collect_set("code").alias("fixed"))
+        joined = joined.filter("fixed is not null").select(*columns).unionByName(looking.join(answers, ["host", "mark"], "left").select(*columns))
+    return joined.select(*columns).mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string")

@@ -200,3 +200,49 @@ def test_words_inside_the_main_region_drop_no_article_text():
     side = '<div class="comments">c</div><div class="ad">a</div><nav>n</nav><section id="comments">after</section>'
     for page in (f"<article>{parts}</article>{side}", f"<main>{parts}<div class='share'>s</div></main>{side}", f"<body>{parts}<div class='ad'>a</div>"):
         assert wrappers.extract(page) == text
+
+
+def test_no_element_of_a_large_host_is_lost(spark):
+    """A page of more elements than one wrapper used to keep: the template text of the others is found all the same."""
+    odd = "".join(f"<div class={''.join(chr(97 + i // 26**k % 26) for k in range(4))}>M</div>" for i in range(101_000))
+    pages = [f"<body><article><p>{f'Story {i}. ' * 5}</p><div class=extra><ul><li>Always here</ul></div></article></body>" for i in range(5)]
+    pages.insert(1, f"<body><article>{odd}</article></body>")
+    rows = [(i, "https://large.example.org/", p, "h", "w") for i, p in enumerate(pages)]
+    found = {r["id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    want = {i: " ".join([f"Story {max(0, i - 1)}."] * 5) for i in (0, 2, 3, 4, 5)}
+    assert found == want | {1: "\n".join(["M"] * 101_000)}
+
+
+def test_elements_that_stay_rows_decide_as_one_wrapper_does(spark, monkeypatch):
+    deep = "<div><section>" * 3
+    rows = [(1000 + i, "https://deep.example.org/", f"{deep}<h2>Head {i}</h2><p>{'Words ' * (i + 3)}</p><p>Always</p>", "h", "w") for i in range(9)]
+    rows += [(2000 + i, "https://list.example.org/", "<ul>" + f"<li>Item of {i}</li>" * 4 + "</ul><p>End</p>", "h", "w") for i in range(9)]
+    rows += [(3000 + i, "https://few.example.org/", f"<article><p>Few {i}</p></article>", "h", "w") for i in range(3)]
+    rows += [(None, None, None, "h", "w"), (4000, "", "", "h", "w")]
+    for i in range(9):
+        story = f"<h1>Head {i}</h1><div><p>{'Of the story. ' * (i + 5)}</p><p>End {i}</p></div><p>Imprint</p>"
+        rows.append((5000 + i, "https://plain.example.org/", f"<body><div>Home</div><table><tr><td>{story}</td></tr></table></body>", "h", "w"))
+    table = spark.createDataFrame(rows + rows[:5], SCHEMA).repartition(5)
+
+    def decided():
+        return sorted(((r["host"], r["article"]) for r in wrappers.reading(wrappers.infer(table)).collect()), key=repr)
+
+    def texts():
+        return sorted(map(repr, wrappers.main_text(table).collect()))
+
+    together = decided(), texts()
+    assert any(a for _, a in together[0])
+    monkeypatch.setattr(wrappers, "TOGETHER", 8)
+    assert 0 < wrappers.reading(wrappers.infer(table)).filter("fixed is null").count() < len(together[0])
+    assert decided() == together[0]
+    assert texts() == together[1]
+
+
+def test_rows_of_elements_make_the_wrapper(spark):
+    pages = [f"<body><h1>{i}</h1>" + "<ul><li>a</ul>" * (i % 3) + f"<p>x{i}</p>" + "<pre>z</pre>" * (i > 5) + "</body>" for i in range(9)]
+    table = spark.createDataFrame([(i, "https://a.b/", p, "h", "w") for i, p in enumerate(pages)], SCHEMA).repartition(3)
+    found = [r.asDict() for r in wrappers.infer(table).orderBy("depth").collect()]
+    whole = wrappers.assembled(found)
+    assert wrappers.as_regex(whole) == regex(*pages) == "<body><h1>#</h1>(<ul><li>#</li></ul>)*<p>#</p>(<pre>#</pre>)?</body>"
+    article, fixed = wrappers.rules(wrapper(*pages))
+    assert (article, sorted(fixed)) == (wrappers.rules(whole)[0], sorted(wrappers.rules(whole)[1]))
