@@ -49,12 +49,14 @@ def back_to_matches(
 
     ``match`` lists the columns both rows share, the unique match key first;
     ``carried`` renames home-row columns that become columns of the match.
+    Rows move before they are folded: a match's two rows seldom meet earlier, and a fold there
+    would hold every row of its task at the width of both sides.
     """
     at_home, away = F.col(flag), ~F.col(flag)
     picks = [F.max(F.when(at_home, F.col(c))).alias(n) for c, n in (carried or {}).items()]
     picks += [F.max(F.when(at_home, F.col(c))).alias(f"home_{c}") for c in features]
     picks += [F.max(F.when(away, F.col(c))).alias(f"away_{c}") for c in features]
-    return rows.groupBy(*match).agg(*picks)
+    return rows.repartition(*match).groupBy(*match).agg(*picks)
 
 
 def price_rows(df: DataFrame, lines: dict[float, tuple[str, str]], keep: Sequence[str]) -> DataFrame:

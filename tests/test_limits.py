@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchspark.functions import poisson
-from matchspark.operators import sequences, strengths
+from matchspark.operators import reshape, sequences, strengths
 from matchspark.sources import text
 
 
@@ -71,3 +71,16 @@ def test_strengths_say_whether_they_converged(spark):
     table = spark.createDataFrame(rows, "home_team string, away_team string, home_goals int, away_goals int, match_date date")
     assert strengths.fit(table, sweeps=10, tolerance=1e-5).converged
     assert not strengths.fit(table, sweeps=1, tolerance=1e-5).converged
+
+
+def test_sides_are_folded_after_the_shuffle_only(spark):
+    """A fold before it holds all rows of a task at the width of both sides, and folds nothing."""
+    rows = [(1, True, 10, 2.0), (1, False, 11, None), (2, True, 11, 3.0), (None, True, 12, 4.0), (2, True, 11, 5.0)]
+    table = spark.createDataFrame(rows, "match_id long, is_home boolean, team long, form double").repartition(3)
+    wide = reshape.back_to_matches(table, ["match_id"], ["team", "form"], {"form": "goals"})
+    plan = wide._jdf.queryExecution().sparkPlan().toString()
+    # read from the top down: no aggregate stands below the shuffle by match
+    shuffle = plan.find("Exchange hashpartitioning(match_id")
+    assert shuffle > 0 and "Aggregate" not in plan[shuffle:]
+    found = sorted(map(tuple, wide.collect()), key=repr)
+    assert found == [(1, 2.0, 10, 2.0, 11, None), (2, 5.0, 11, 5.0, None, None), (None, 4.0, 12, 4.0, None, None)]
