@@ -14,7 +14,8 @@ word of its length, or of one letter less, could: at shift nought before the edi
 at the difference of the lengths, which is nought or one. Pairs that share a key are verified by their distance.
 
 Keys are 64-bit hashes and only choose candidates. No pair is lost or made twice, and none but of words that share
-all but one piece meet.
+all but one piece meet. Joins are sort-merge by hint: a table as small as the words' file would be sent to every worker,
+and the plan does not see that the rows exploded from it are ten times as many.
 
 Defined results: null words are dropped; a null count counts as nought; of repeated words the
 counts are added; an empty table gives no rows; columns other than word and count play no part.
@@ -66,7 +67,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         )).alias("key"),
     )
     order = (F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))
-    found = chunks.join(grams, "key").filter(order & (F.levenshtein("a", "b", 1) == 1))
+    found = chunks.join(grams.hint("merge"), "key").filter(order & (F.levenshtein("a", "b", 1) == 1))
     return found.drop("key").distinct()
 
 
@@ -75,7 +76,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     paths = cut(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         on = paths.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = paths.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        moved = paths.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         after = cut(moved, "roots", paths)
         if after.filter("moved").isEmpty():
             return after.drop("moved")
@@ -96,4 +97,4 @@ def variants(words: DataFrame, word: str = "word", count: str = "n", ratio: int
         F.when(led, F.col("best.b")).alias("form"), F.when(led, F.col("top")).alias("form_n"),
     ), "forms")
     roots = _roots(found.filter("form is not null"))
-    return found.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return found.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -63,6 +63,16 @@ def test_ties_and_long_chains(spark):
     assert {tuple(r) for r in rows} == brute(words, 5)
 
 
+def test_no_table_of_pieces_is_broadcast(spark, tmp_path):
+    """A words' file below the broadcast limit has many times its rows once they are cut into pieces."""
+    words = spark.range(2000).selectExpr("concat(sha2(string(id), 256), 'x') as word", "id as n")
+    words.write.parquet(str(tmp_path / "words"))
+    pairs = spelling.near_pairs(spark.read.parquet(str(tmp_path / "words")))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert pairs.count() == 0
+
+
 def test_counted_words_of_odd_texts(spark):
     rows = [(1, None), (2, ""), (None, "Straße Straße straße STRAßE straße"), (3, "ÀÉ×÷ÿab " * 5), (4, "short a1b2c3"), (5, "letters" * 20_000)]
     found = {r["word"]: r["n"] for r in queries.counted_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
