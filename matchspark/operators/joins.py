@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,36 +232,172 @@ def merge_on_key(
     return left.join(rows.select(key, *values), key, "left")
 
 
+#: Days, for each day of tolerance, that are put in order together.
+PART_DAYS = 32
+
+
 def merge_nearest(
     left: DataFrame, right: DataFrame, keys: Sequence[str], date: str, values: Sequence[str], left_id: str, right_id: str, days: int = 1
 ) -> DataFrame:
     """Left join on ``keys`` and a date up to ``days`` apart; a row of either side is used once.
 
-    The right side is shown to each day it may meet, so the join is one on equal keys. Nearest pairs come first
-    (ties: the smaller ids): a pair stands if each is the other's nearest, and what is left meets again until no pair is.
+    Nearest pairs come first (ties: the smaller ids): a pair stands if each is the other's nearest, and what is left meets again until no pair is.
     A left row without one keeps nulls. Null keys or dates meet nothing.
+
+    Pairs are not made: on a day the n-th id of one side meets the n-th of the other, then what is over of one side only meets the days
+    around it (:func:`_met_across`), and no more of it than there is to meet. An id on several days or keys ties together what is
+    else apart, and a null id holds its nearest row for itself: where there are such ids, their keys make pairs (:func:`_met_pairs`).
     """
-    shown = right.select(
-        *keys, F.explode(F.sequence(F.date_sub(date, days), F.date_add(date, days))).alias("__day"),
-        F.col(date).alias("__date"), F.col(right_id).alias("__right"), *[F.col(v).alias(f"__v_{v}") for v in values],
-    )
-    asked = left.select(*keys, F.col(date).alias("__day"), F.col(left_id).alias("__left"))
-    apart = F.abs(F.date_diff("__day", "__date")).alias("__apart")
-    pairs = cut(asked.join(shown, [*keys, "__day"]).select("__left", "__right", apart, *[f"__v_{v}" for v in values]), "near-days")
+    ks = [f"__k{i}" for i in range(len(keys))]
+    own = [F.col(k).alias(n) for k, n in zip(keys, ks)] + [F.unix_date(F.col(date).cast("date")).alias("__day")]
+    row = F.struct(F.col(right_id).alias("id"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]).alias("__row")
+    dated = left if dict(left.dtypes)[date] == "date" else left.filter(F.col(date) == F.col(date).cast("date"))
+    lefts = dated.select(*own, F.col(left_id).alias("__left")).dropna(subset=[*ks, "__day"])
+    rights = right.select(*own, row).dropna(subset=[*ks, "__day"])
+    near = cut(_in_reach(lefts, rights, ks, days), "near-days")
+    met = near.filter("__l and __r").select(*ks, "__left", "__row", F.lit(0).alias("days_apart")).unionAll(_met_across(near, ks, days))
+    if _ids_again(near):
+        tied = cut(_tied_keys(lefts, rights, ks), "tied")
+        pairs = _met_pairs(lefts.join(tied, ks, "left_semi"), rights.join(tied, ks, "left_semi"), ks, days)
+        met = met.join(tied, ks, "left_anti").unionByName(pairs, allowMissingColumns=True)
+    found = met.select(F.col("__left").alias(left_id), "days_apart", *[F.col(f"__row.v{i}").alias(v) for i, v in enumerate(values)])
+    return left.join(found, left_id, "left")
+
+
+def _in_reach(lefts: DataFrame, rights: DataFrame, ks: list[str], days: int) -> DataFrame:
+    """(keys, __day, __nth, __left, __row, __l, __r): the n-th ids of a day side by side, without those that can't meet any.
+
+    A row is shown to the parts of ``PART_DAYS`` days that it may matter to, so one shuffle and one sort tell its place among the
+    ids of its day and what is over around it. Of the rows over, the n-th meets something only if so many are over on the other side.
+    """
+    width, is_left = PART_DAYS * max(days, 1), F.col("__is_left")
+    part = lambda day: F.floor(day / width).cast("int")
+    both = lefts.withColumn("__is_left", F.lit(True)).unionByName(rights.withColumn("__is_left", F.lit(False)), allowMissingColumns=True)
+    shown = both.withColumn("__part", F.explode(F.sequence(part(F.col("__day") - days), part(F.col("__day") + days)))).repartition(*ks, "__part")
+    day = [*ks, "__part", "__day"]
+    of_day, around = Window.partitionBy(*day), Window.partitionBy(*ks, "__part").orderBy("__day").rangeBetween(-days, days)
+    nth = F.dense_rank().over(Window.partitionBy(*day, "__is_left").orderBy("__left", "__row.id"))
+    ids = lambda side: F.coalesce(F.max(F.when(side, F.col("__nth"))).over(of_day), F.lit(0))
+    placed = shown.withColumn("__nth", nth).withColumn("__both", F.least(ids(is_left), ids(~is_left)))
+    over = F.col("__nth") > F.col("__both")
+    others = lambda side: F.count(F.when(over & side, 1)).over(around)
+    there = F.when(is_left, others(~is_left)).otherwise(others(is_left))
+    kept = placed.withColumn("__there", there).filter((part(F.col("__day")) == F.col("__part")) & (F.col("__nth") - F.col("__both") <= F.col("__there")))
+    side = {"__left": F.min("__left"), "__row": F.min("__row"), "__l": F.max(is_left), "__r": F.max(~is_left)}
+    return kept.groupBy(*day, "__nth").agg(*[v.alias(n) for n, v in side.items()]).drop("__part")
+
+
+def _met_across(near: DataFrame, ks: list[str], days: int) -> DataFrame:
+    """(keys, __left, __row, days_apart): pairs of different days among the rows that their own day left over.
+
+    Days that could meet make a chain; a chain goes through one task, day by day.
+    """
+    known = F.col("__left").isNotNull() | F.col("__row.id").isNotNull()
+    rest = near.filter(~(F.col("__l") & F.col("__r")) & known)
+    order = Window.partitionBy(*ks).orderBy("__day", "__nth")
+    gap = F.col("__day") - F.lag("__day").over(order)
+    alone = gap > days
+    if days == 1:
+        alone |= (gap == 1) & (F.lag("__l").over(order) == F.col("__l"))
+    first = rest.withColumn("__first", F.coalesce(alone, F.lit(True)))
+    chains = first.withColumn("__chain", F.count(F.when(F.col("__first"), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = chains.repartition(*ks, "__chain").sortWithinPartitions(*ks, "__chain", "__day", "__nth")
+
+    def met(table: pa.Table) -> pa.Table:
+        day, own, left, first = (table.column(c).to_pylist() for c in ("__day", "__l", "__left", "__first"))
+        right = pc.struct_field(table.column("__row"), "id").to_pylist()
+        ids = [x if o else y for o, x, y in zip(own, left, right)]
+        ends = [*(i for i, f in enumerate(first) if f), len(first)]
+        pairs = [p for a, b in zip(ends, ends[1:]) for p in _chain_pairs(range(a, b), day, own, ids, days)]
+        lefts, rights, apart = (pa.array([p[i] for p in pairs], pa.int64()) for i in range(3))
+        found = table.select([*ks, "__left"]).take(lefts)
+        return found.append_column("__row", table.column("__row").take(rights)).append_column("days_apart", apart.cast(pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("__first").to_numpy(zero_copy_only=False))
+            if len(starts) and (held or starts[-1]):
+                yield from met(pa.Table.from_batches([*held, batch.slice(0, starts[-1])])).combine_chunks().to_batches()
+                held, batch = [], batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield from met(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    columns = [*ks, "__left", "__row"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+    return rows.select(*columns, "__day", "__l", "__first").mapInArrow(run, f"{kinds}, days_apart int")
+
+
+def _chain_pairs(rows: Iterable[int], day: list[int], own: list[bool], ids: list, days: int) -> list[tuple[int, int, int]]:
+    """(left, right, apart): pairs of the rows of a chain, each day of which has rows of one side, in order of their ids."""
+    left_over: dict[int, list[int]] = {}
+    for i in rows:
+        left_over.setdefault(day[i], []).append(i)
+    for some in left_over.values():
+        some.reverse()
+    found = []
+    for apart in range(1, days + 1):
+
+        def nearest(d: int) -> int | None:
+            """The day with the smallest id that the first row of ``d`` may meet."""
+            best, side = None, own[left_over[d][-1]]
+            for e in (d - apart, d + apart):
+                some = left_over.get(e)
+                if some and own[some[-1]] != side and (best is None or ids[some[-1]] < ids[left_over[best][-1]]):
+                    best = e
+            return best
+
+        for start in left_over:
+            path = [start]  # ids get smaller along it, so it ends in two days that are each other's nearest
+            while path:
+                d = path[-1]
+                e = nearest(d) if left_over[d] else None
+                if e is None:
+                    path.pop()
+                elif (f := nearest(e)) != d:
+                    path.append(f)
+                else:
+                    i, j = left_over[d].pop(), left_over[e].pop()
+                    found.append((i, j, apart) if own[i] else (j, i, apart))
+    return found
+
+
+def _ids_again(near: DataFrame) -> bool:
+    """Whether an id stands in several rows, or is null."""
+    sides = [near.filter(flag).select(F.lit(flag).alias("side"), F.xxhash64(c).alias("id"), c.isNull().alias("none")) for flag, c in (("__l", F.col("__left")), ("__r", F.col("__row.id")))]
+    times = sides[0].unionAll(sides[1]).groupBy("side", "id").agg(F.count(F.lit(1)).alias("n"), F.max("none").alias("none"))
+    return not times.filter("n > 1 or none").isEmpty()
+
+
+def _tied_keys(lefts: DataFrame, rights: DataFrame, ks: list[str]) -> DataFrame:
+    """Keys with an id that is null or stands on another day or key, too."""
+    found = []
+    for side, name in ((lefts, F.col("__left")), (rights, F.col("__row.id"))):
+        places = side.select(name.alias("__id"), *ks, "__day").distinct()
+        many = places.groupBy(F.col("__id").alias("__many")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 or __many is null")
+        found.append(places.join(many, F.col("__id").eqNullSafe(F.col("__many"))).select(*ks))
+    return found[0].unionAll(found[1]).distinct()
+
+
+def _met_pairs(lefts: DataFrame, rights: DataFrame, ks: list[str], days: int) -> DataFrame:
+    """(__left, __row, days_apart): the pairs that stand, found among all pairs that could meet, each right row shown to each day it may."""
+    shown = rights.select(*ks, F.explode(F.sequence(F.col("__day") - days, F.col("__day") + days)).alias("__to"), F.col("__day").alias("__own"), "__row")
+    apart = F.abs(F.col("__to") - F.col("__own")).alias("__apart")
+    meeting = lefts.withColumnRenamed("__day", "__to").join(shown, [*ks, "__to"])
+    pairs = cut(meeting.select("__left", F.col("__row.id").alias("__right"), apart, "__row"), "near-pairs")
     rounds = []
     while True:
         # folded before they are shuffled: one row for each row of either side
-        best = pairs.groupBy("__left").agg(F.min(F.struct("__apart", "__right", *[f"__v_{v}" for v in values])).alias("__best"))
+        best = pairs.groupBy("__left").agg(F.min(F.struct("__apart", "__row")).alias("__best"))
         taken = pairs.groupBy("__right").agg(F.min(F.struct("__apart", "__left")).alias("__by"))
-        mutual = best.join(taken, F.col("__best.__right") == F.col("__right")).filter(F.col("__by.__left") == F.col("__left"))
-        found = mutual.select("__left", "__right", F.col("__best.__apart").alias("days_apart"), *[F.col(f"__best.__v_{v}").alias(v) for v in values])
-        rounds.append(cut(found, "met"))
+        mutual = best.join(taken, F.col("__best.__row.id") == F.col("__right")).filter(F.col("__by.__left") == F.col("__left"))
+        rounds.append(cut(mutual.select("__left", "__right", "__best.__row", F.col("__best.__apart").alias("days_apart")), "met"))
         if rounds[-1].isEmpty():
             break
         rest = pairs.join(rounds[-1].select("__left"), "__left", "left_anti").join(rounds[-1].select("__right"), "__right", "left_anti")
-        pairs = cut(rest, "near-days", pairs)
-    met = reduce(DataFrame.unionAll, rounds).withColumnRenamed("__left", left_id).drop("__right")
-    return left.join(met, left_id, "left")
+        pairs = cut(rest, "near-pairs", pairs)
+    return reduce(DataFrame.unionAll, rounds).drop("__right")
 
 
 def replace_rows(table: DataFrame, replaced: Column, fresh: DataFrame) -> DataFrame:

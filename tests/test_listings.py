@@ -39,3 +39,69 @@ def test_nearest_rows_are_used_once(spark):
         ["team"], "day", ["xg"], "id", "other", days=2,
     )
     assert {r["id"]: r["xg"] for r in wide.collect()} == {1: 1.0, 2: 2.0, 3: None, 4: 4.0, 5: None, 6: None, 7: 6.0}
+
+
+def paired(left, right, days):
+    """Pairs by trying all of them, nearest first, then by the smaller ids: {left id: (days apart, value)}."""
+    met, used = {}, set()
+    some = [(abs((a[2] - b[2]).days), a[0], b[0], b[3]) for a in left for b in right if a[1] == b[1]]
+    while some := [p for p in some if p[0] <= days and p[1] not in met and p[2] not in used]:
+        # the nearest of all, the smallest left id of these and its smallest right id are each other's nearest
+        apart, a, b, v = min(some)
+        met[a] = (apart, v)
+        used.add(b)
+    return {a[0]: met.get(a[0], (None, None)) for a in left}
+
+
+LEFT, RIGHT = "id long, team string, day date", "other string, team string, day date, xg double"
+
+
+def nearest(spark, left, right, days):
+    found = joins.merge_nearest(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), ["team"], "day", ["xg"], "id", "other", days=days)
+    rows = found.collect()
+    assert len(rows) == len(left)
+    return {r["id"]: (r["days_apart"], r["xg"]) for r in rows}
+
+
+def random_sides(seed, moved=0, most=40):
+    rng = np.random.default_rng(seed)
+    at = lambda: day(1) + datetime.timedelta(days=int(rng.integers(0, most)))
+    left = [(int(i), "ab"[rng.integers(0, 2)], at()) for i in rng.permutation(160)]
+    right = [(f"x{i}", "ab"[rng.integers(0, 2)], at() + datetime.timedelta(days=moved), float(i)) for i in rng.permutation(200)]
+    return left, right
+
+
+def test_nearest_rows_of_full_days(spark):
+    for seed, moved, days, most in [(1, 0, 1, 40), (2, 0, 1, 120), (3, 1, 1, 8), (4, 0, 2, 90), (5, 2, 3, 30), (6, 0, 0, 20)]:
+        left, right = random_sides(seed, moved, most)
+        assert nearest(spark, left, right, days) == paired(left, right, days), (seed, days)
+
+
+def test_nearest_rows_with_ids_on_several_days_and_keys(spark):
+    for days in (1, 2):
+        left, right = random_sides(7, 0, 60)
+        left += [(left[0][0], "a", day(3)), (left[1][0], "b", day(9)), (left[5][0], "c", day(9)), left[9]]
+        right += [(right[0][0], "a", day(4), -1.0), (right[2][0], "c", day(9), -2.0), right[7], ("x500", "d", day(9), 0.0)]
+        assert nearest(spark, left, right, days) == paired(left, right, days)
+
+
+def test_a_null_id_holds_its_nearest_row(spark):
+    left = [(None, "a", day(5)), (1, "a", day(6)), (2, "b", day(6)), (3, "c", day(5))]
+    right = [("x", "a", day(5), 1.0), ("y", "b", day(5), 2.0), (None, "c", day(5), 3.0), ("z", "c", day(6), 4.0)]
+    assert nearest(spark, left, right, 1) == {None: (None, None), 1: (None, None), 2: (1, 2.0), 3: (None, None)}
+
+
+def test_nearest_rows_make_no_pairs(spark, monkeypatch):
+    """Days of many rows: what is written does not grow with the product of both sides."""
+    written, cut = [], joins.cut
+
+    def counted(df, *rest):
+        table = cut(df, *rest)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(joins, "cut", counted)
+    left = [(i, "a", day(1 + i % 3)) for i in range(300)]
+    right = [(f"x{i:04}", "a", day(1 + i % 3), float(i)) for i in range(900)]
+    assert nearest(spark, left, right, 1) == {i: (0, float(i)) for i in range(300)}
+    assert sum(written) <= len(left) + len(right)
