@@ -346,16 +346,20 @@ def _cell(i: int):
 
 
 def statistics_pages(spark, sf_dir, table: str):
-    """Pages of up to 16 table rows, one for each match; some rows are too short to count."""
+    """Pages of up to 16 table rows, one for each match; some rows are too short to count.
+
+    Matches move to their page as numbers, and their rows are written there.
+    """
     layout, _ = markup.LAYOUTS[table]
     kinds = {i: kind for i, kind in layout.values()}
-    cells = []
-    for i in range(1, CELLS):
-        value = F.format_number(_cell(i), 0)
-        cells.append(F.concat(F.lit("<td>"), F.concat(value, F.lit(".5%")) if kinds.get(i) == "double" else value, F.lit("</td>")))
+    cells = [F.concat(F.lit("<td>"), _cell(i).cast("string"), F.lit(".5%</td>" if kinds.get(i) == "double" else "</td>")) for i in range(1, CELLS)]
+    # thousands are set apart in the whole row at once: a formatting for each cell makes a method too long to be compiled
+    grouped = lambda some: F.regexp_replace(F.concat(*some), r"(\d)(\d{3})(?=\D)", "$1,$2")
     short = F.col("match_id") % 9 == 0
-    row = F.concat(F.lit("<tr><th>T"), _text(F.col("match_id")), F.lit("</th>"), F.when(short, F.concat(*cells[:5])).otherwise(F.concat(*cells)), F.lit("</tr>"))
-    rows = matches(spark, sf_dir).select(F.floor(F.col("match_id") / PAGE_ROWS).alias("page"), F.struct("match_id", row.alias("row")).alias("row"))
+    row = F.concat(F.lit("<tr><th>T"), _text(F.col("match_id")), F.lit("</th>"), grouped(cells[:5]), F.when(short, "").otherwise(grouped(cells[5:])), F.lit("</tr>"))
+    moved = matches(spark, sf_dir).select(F.floor(F.col("match_id") / PAGE_ROWS).alias("page"), "match_id")
+    moved = moved.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page")
+    rows = moved.select("page", F.struct("match_id", row.alias("row")).alias("row"))
     listed = rows.groupBy("page").agg(F.sort_array(F.collect_list("row")).alias("rows"))  # 16 at most
     body = F.array_join(F.col("rows.row"), "\n")
     return listed.select("page", F.concat(F.lit("<table><tbody><tr><th>Squad</th></tr>"), body, F.lit("</tbody></table>")).alias("html"))

@@ -176,14 +176,18 @@ class _Table:
         self.row = None
 
 
-def table_grid(page: str) -> list[dict]:
-    """Rows of all tables in page order: attributes and cells, each cell at all places of its row that it spans.
+#: A row of whole cells that hold text alone, read at once; and its cells.
+_PLAIN_ROW = re.compile(r"<tr>((?:\s*+<t[dh]>[^<]*+</t[dh]>)*+)\s*+</tr>", re.I)
+_PLAIN_CELL = re.compile(r"<t[dh]>([^<]*+)", re.I)
 
-    A table inside a cell has rows of its own and is no part of the cell; ends may be missing.
-    """
+
+def _grid(page: str) -> list[dict]:
+    """Rows of all tables in page order: attributes and cells, of plain rows what their cells hold as ``inners``."""
     rows: list[dict] = []
     tables = [_Table()]
-    for m in _TABLE_TAG.finditer(page):
+    at = 0
+    while m := _TABLE_TAG.search(page, at):
+        at = m.end()
         end, tag, top = bool(m[1]), m[2].lower(), tables[-1]
         if tag == "table" and not end:
             if top.cell is not None:
@@ -197,7 +201,10 @@ def table_grid(page: str) -> list[dict]:
                     tables[-1].cell["from"] = m.end()
         elif tag == "tr":
             top.close_row(page, m.start())
-            if not end:
+            if not end and not top.down and (whole := _PLAIN_ROW.match(page, m.start())):
+                rows.append({"attributes": "", "inners": _PLAIN_CELL.findall(whole[1])})
+                at = whole.end()
+            elif not end:
                 top.row = {"attributes": m[3], "cells": []}
                 rows.append(top.row)
         elif end:
@@ -211,6 +218,18 @@ def table_grid(page: str) -> list[dict]:
     return rows
 
 
+def table_grid(page: str) -> list[dict]:
+    """Rows of all tables in page order: attributes and cells, each cell at all places of its row that it spans.
+
+    A table inside a cell has rows of its own and is no part of the cell; ends may be missing.
+    """
+    rows = _grid(page)
+    for row in rows:
+        if "inners" in row:
+            row["cells"] = [{"attributes": "", "stat": "", "inner": x, "text": plain(x)} for x in row.pop("inners")]
+    return rows
+
+
 def rows_with_cells(df: DataFrame, html: str, keep: Sequence[str] = (), row_class: str = "") -> DataFrame:
     """Table rows as ``position, attributes, cells``, see :func:`table_grid`."""
     rows = _emitted(df, html, keep, table_grid, f"attributes string, cells array<{CELL_TYPE}>")
@@ -274,12 +293,26 @@ LAYOUTS = {"possession": (POSSESSION, 15), "passing": (PASSING, 20), "defensive"
 def team_statistics(
     df: DataFrame, html: str, layout: dict[str, tuple[int, str]], keep: Sequence[str] = (), minimum_cells: int = 15
 ) -> DataFrame:
-    """Team rows by cell number; commas and percent signs dropped, anything else not a number is 0."""
-    rows = rows_with_cells(df, html, keep).filter(F.size("cells") >= minimum_cells)
+    """Team rows by cell number; commas and percent signs dropped, anything else not a number is 0.
+
+    Only the texts of these cells leave the task that reads a page.
+    """
+    places = sorted({0, *(i for i, _ in layout.values())})
+    named = [(f"__cell{i}", i) for i in places]
+
+    def read(page: str) -> Iterator[dict]:
+        for row in _grid(page):
+            inners = row.get("inners")
+            n = len(row["cells"] if inners is None else inners)
+            if n >= minimum_cells:
+                text = (lambda i: plain(inners[i])) if inners is not None else (lambda i: row["cells"][i]["text"])
+                yield {name: text(i) for name, i in named if i < n}
+
+    rows = emitted(df, html, keep, read, ", ".join(f"{name} string" for name, _ in named))
     return rows.select(
         *keep,
-        cell_text(0).alias("team"),
-        *[conform.stripped_number(cell_text(i), kind).alias(n) for n, (i, kind) in layout.items()],
+        F.col("__cell0").alias("team"),
+        *[conform.stripped_number(F.col(f"__cell{i}"), kind).alias(n) for n, (i, kind) in layout.items()],
     )
 
 
